@@ -56,9 +56,12 @@ class Period:
     def holds(self, day: Column) -> Column:
         return day.between(F.lit(self.start), F.lit(self.end))
 
-    def history_holds(self, day: Column) -> Column:
+    def sql_holds(self, day: str) -> str:
+        return f"{day} BETWEEN DATE'{self.start}' AND DATE'{self.end}'"
+
+    def sql_history_holds(self, day: str) -> str:
         """``[start - N, start]``: both ends count, so it shares a day with the period."""
-        return day.between(F.lit(self.history_start), F.lit(self.start))
+        return f"{day} BETWEEN DATE'{self.history_start}' AND DATE'{self.start}'"
 
 
 def monthly_periods(start: date | str, end: date | str, history_days: int = 0) -> list[Period]:
@@ -118,27 +121,26 @@ def word_names(prefix: str, bits: int) -> list[str]:
     return [f"{prefix}_bits{k}" for k in range(-(-bits // WORD_BITS))]
 
 
-def mark_bits(position: Column, inside: Column, prefix: str, bits: int) -> list[Column]:
+def mark_bits(position: str, inside: str, prefix: str, bits: int) -> list[Column]:
     """Aggregates setting bit ``position`` for every row that is ``inside``."""
     words = []
     for k, name in enumerate(word_names(prefix, bits)):
-        low = k * WORD_BITS
-        here = inside & (position >= low) & (position < low + WORD_BITS)
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position - low)
-        words.append(F.coalesce(F.bit_or(F.when(here, bit)), F.lit(0).cast("bigint")).alias(name))
+        low, high = k * WORD_BITS, (k + 1) * WORD_BITS - 1
+        here = f"{inside} AND {position} BETWEEN {low} AND {high}"
+        bit = f"CASE WHEN {here} THEN shiftleft(1L, {position} - {low}) END"
+        words.append(F.expr(f"coalesce(bit_or({bit}), 0L) AS {name}"))
     return words
 
 
 def merge_bits(prefix: str, bits: int) -> list[Column]:
     """Aggregates uniting finished bitmaps."""
-    return [F.bit_or(name).alias(name) for name in word_names(prefix, bits)]
+    return [F.expr(f"bit_or({name}) AS {name}") for name in word_names(prefix, bits)]
 
 
-def count_bits(prefix: str, bits: int) -> Column:
-    total = F.lit(0).cast("bigint")
-    for name in word_names(prefix, bits):
-        total = total + F.coalesce(F.bit_count(name), F.lit(0))
-    return total
+def count_bits(prefix: str, bits: int) -> str:
+    """SQL for the number of set bits, 0 for a missing bitmap."""
+    words = (f"coalesce(bit_count({name}), 0)" for name in word_names(prefix, bits))
+    return f"CAST({' + '.join(words)} AS bigint)"
 
 
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:

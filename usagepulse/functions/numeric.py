@@ -20,6 +20,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
 
 
+def sql_percent(part: str, whole: str) -> str:
+    """`percent` as SQL text over column names."""
+    return f"CASE WHEN {whole} > 0 THEN {part} / {whole} * 100 ELSE 0D END"
+
+
 def round1_half_even(x: Column) -> Column:
     """Scale, round half to even, scale back: what pandas' ``round(1)`` does."""
     return F.rint(x * 10) / 10

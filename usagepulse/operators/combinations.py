@@ -27,12 +27,11 @@ def feature_combinations(
     name) and others above 15 % (``high``).
     """
     period = Period.of(start, end)
-    inside = period.holds(F.col("activity_date"))
     per_user = (
-        activity.filter(inside)
+        activity.filter(period.holds(F.col("activity_date")))
         .groupBy("user_id")
-        .agg(*rollup.feature_marks(F.lit(True), "uses", features))
-        .filter(rollup.count_of_features("uses", features) > 1)
+        .agg(*rollup.feature_marks("true", "uses", features))
+        .filter(f"{rollup.count_of_features('uses', features)} > 1")
     )
     names = [F.when(F.col(f"uses_{f}"), F.lit(f)) for f in sorted(features)]
     counted = (

@@ -21,7 +21,8 @@ from usagepulse.operators import rollup
 from usagepulse.sources.registry import FEATURE_LABELS, FEATURES
 
 
-def presence_marks(past: Column, now: Column, features: Sequence[str]) -> list[Column]:
+def presence_marks(past: str, now: str, features: Sequence[str]) -> list[Column]:
+    """Flags for activity, and for each feature, in the history and in the period."""
     return [
         rollup.any_mark(past, "was_active"),
         rollup.any_mark(now, "is_active"),
@@ -32,18 +33,18 @@ def presence_marks(past: Column, now: Column, features: Sequence[str]) -> list[C
 
 def dormancy_counts(features: Sequence[str]) -> list[Column]:
     """Counts over user rows carrying ``presence_marks``."""
-    nameless = F.col("user_id").isNull()
 
-    def dormant(past: str, now: str) -> Column:
-        return F.col(past) & (~F.col(now) | nameless)
+    def dormant(past: str, now: str) -> str:
+        return f"{past} AND (NOT {now} OR user_id IS NULL)"
 
-    counts = {
-        "overall_dormant_users": dormant("was_active", "is_active"),
-        **{f"{f}_dormant_users": dormant(f"used_{f}", f"uses_{f}") for f in features},
-        "total_historical_users": F.col("was_active"),
-        "total_current_users": F.col("is_active"),
-    }
-    return [F.count_if(met).alias(name) for name, met in counts.items()]
+    return rollup.count_where(
+        {
+            "overall_dormant_users": dormant("was_active", "is_active"),
+            **{f"{f}_dormant_users": dormant(f"used_{f}", f"uses_{f}") for f in features},
+            "total_historical_users": "was_active",
+            "total_current_users": "is_active",
+        }
+    )
 
 
 def dormant_analysis(
@@ -59,7 +60,13 @@ def dormant_analysis(
     per_user = (
         activity.filter(day.between(F.lit(period.history_start), F.lit(period.end)))
         .groupBy("user_id")
-        .agg(*presence_marks(period.history_holds(day), period.holds(day), features))
+        .agg(
+            *presence_marks(
+                period.sql_history_holds("activity_date"),
+                period.sql_holds("activity_date"),
+                features,
+            )
+        )
     )
     return per_user.agg(*dormancy_counts(features))
 

@@ -37,22 +37,24 @@ def unrestricted(users: DataFrame) -> DataFrame:
     return users.filter(~F.col("restricted"))
 
 
-def period_counts(features: Sequence[str], first_time: Column, member: Column) -> list[Column]:
-    """Counts over user rows that carry ``active_days`` and ``uses_<feature>`` flags."""
-    active = F.col("active_days") > 0
-    named = F.col("user_id").isNotNull()
+def period_counts(features: Sequence[str], first_time: str) -> list[Column]:
+    """Counts over user rows with ``member``, ``active_days`` and ``uses_<feature>``.
+
+    ``first_time`` is the SQL condition for the first activity ever to be in period.
+    """
     used = rollup.count_of_features("uses", features)
-    counts = {
-        "total_active_users": member & active,
-        "one_time_usage_users": member & (F.col("active_days") == 1),
-        "recurring_users": member & (F.col("active_days") >= 2),
-        "first_time_users": member & active & first_time,
-        **{f"{f}_users": F.col(f"uses_{f}") & named for f in features},
-        "single_feature_users": used == 1,
-        "multiple_feature_users": used > 1,
-        **{f"only_{f}_users": (used == 1) & F.col(f"uses_{f}") for f in features},
-    }
-    return [F.count_if(met).alias(name) for name, met in counts.items()]
+    return rollup.count_where(
+        {
+            "total_active_users": "member AND active_days > 0",
+            "one_time_usage_users": "member AND active_days = 1",
+            "recurring_users": "member AND active_days >= 2",
+            "first_time_users": f"member AND active_days > 0 AND {first_time}",
+            **{f"{f}_users": f"uses_{f} AND user_id IS NOT NULL" for f in features},
+            "single_feature_users": f"{used} = 1",
+            "multiple_feature_users": f"{used} > 1",
+            **{f"only_{f}_users": f"{used} = 1 AND uses_{f}" for f in features},
+        }
+    )
 
 
 def comprehensive_columns(features: Sequence[str]) -> list[str]:
@@ -79,20 +81,19 @@ def comprehensive_metrics(
     """
     period = Period.of(start, end)
     placed = with_positions(activity.filter(F.col("activity_date") <= period.end), period)
-    inside = F.col("in_period")
     per_user = placed.groupBy("user_id").agg(
         F.min("activity_date").alias("first_ever"),
-        *rollup.calendar_marks(inside, period.days),
-        *rollup.feature_marks(inside, "uses", features),
+        *rollup.calendar_marks("in_period", period.days),
+        *rollup.feature_marks("in_period", "uses", features),
     )
-    per_user = per_user.withColumn("active_days", rollup.active_units(period.days)["day"])
+    per_user = per_user.withColumn("active_days", rollup.active_days(period.days))
     members = unrestricted(users).select("user_id", "signup_date", F.lit(True).alias("member"))
     joined = per_user.join(members, "user_id", "full_outer")
 
     sums, averages = rollup.average_active_users(period.days)
     totals = joined.agg(
         F.count_if(period.holds(F.col("signup_date"))).alias("total_signups"),
-        *period_counts(features, period.holds(F.col("first_ever")), F.col("member")),
+        *period_counts(features, period.sql_holds("first_ever")),
         *sums,
     )
     return totals.withColumns(averages).select(*comprehensive_columns(features))
@@ -117,9 +118,9 @@ def feature_metrics(
     placed = with_positions(chosen.filter(period.holds(F.col("activity_date"))), period)
     per_user = placed.groupBy("user_id").agg(
         F.min("activity_date").alias("first_in_period"),
-        *rollup.calendar_marks(F.col("in_period"), period.days),
+        *rollup.calendar_marks("in_period", period.days),
     )
-    per_user = per_user.withColumn("active_days", rollup.active_units(period.days)["day"])
+    per_user = per_user.withColumn("active_days", rollup.active_days(period.days))
     signups = (
         unrestricted(users)
         .filter(period.holds(F.col("signup_date")))
@@ -155,10 +156,9 @@ def churn_count(activity: DataFrame, start: date | str, end: date | str) -> Data
     per_user = (
         activity.filter(F.col("activity_date") <= period.end)
         .groupBy("user_id")
-        .agg(rollup.any_mark(period.holds(F.col("activity_date")), "came_back"))
+        .agg(rollup.any_mark(period.sql_holds("activity_date"), "came_back"))
     )
-    gone = ~F.col("came_back") | F.col("user_id").isNull()
-    return per_user.agg(F.count_if(gone).alias("churn_count"))
+    return per_user.agg(*rollup.count_where({"churn_count": "NOT came_back OR user_id IS NULL"}))
 
 
 def absolute_metrics(activity: DataFrame, users: DataFrame, end: date | str) -> DataFrame:

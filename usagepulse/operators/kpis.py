@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagepulse.functions.calendar import Period, day_map, period_frame
-from usagepulse.functions.numeric import one_decimal_text, percent
+from usagepulse.functions.numeric import one_decimal_text, percent, sql_percent
 from usagepulse.operators import dormancy, rollup
 from usagepulse.operators.engagement import comprehensive_columns, period_counts, unrestricted
 from usagepulse.operators.retention import (
@@ -58,16 +58,15 @@ def usage_by_period(
     days = day_map(spark, periods)
     day = F.col("activity_date")
 
-    inside, before = F.col("in_period"), F.col("in_history")
     per_user = (
         activity.filter(day.between(F.lit(first_day), F.lit(last_day)))
         .join(days.withColumnRenamed("day", "activity_date"), "activity_date")
         .groupBy("user_id", "period_start", "period_end")
         .agg(
-            *rollup.calendar_marks(inside, longest),
-            *dormancy.presence_marks(before, inside, features),
+            *rollup.calendar_marks("in_period", longest),
+            *dormancy.presence_marks("in_history", "in_period", features),
         )
-        .withColumn("active_days", rollup.active_units(longest)["day"])
+        .withColumn("active_days", rollup.active_days(longest))
     )
     first_ever = (
         activity.filter(day <= last_day).groupBy("user_id").agg(F.min(day).alias("first_ever"))
@@ -76,13 +75,13 @@ def usage_by_period(
         "user_id", (~F.col("restricted")).alias("member"), *([by] if by else [])
     )
     sums, averages = rollup.average_active_users(longest)
-    first_time = F.col("first_ever").between(F.col("period_start"), F.col("period_end"))
+    first_time = "first_ever BETWEEN period_start AND period_end"
     counted = (
         per_user.join(first_ever, "user_id", "left")
         .join(attributes, "user_id", "left")
         .groupBy(*keys)
         .agg(
-            *period_counts(features, first_time, F.col("member")),
+            *period_counts(features, first_time),
             *sums,
             *dormancy.dormancy_counts(features),
         )
@@ -102,7 +101,7 @@ def usage_by_period(
     # Each measure comes from one of the parts; averages stay NULL without activity.
     return stacked.groupBy(*keys).agg(
         *(
-            F.max(m).alias(m) if m in averages else F.coalesce(F.max(m), F.lit(0)).alias(m)
+            F.expr(f"max({m}) AS {m}" if m in averages else f"coalesce(max({m}), 0) AS {m}")
             for m in measures
         )
     )
@@ -143,7 +142,7 @@ def kpi_long(
     """``usage_by_period`` as ``(period_start, period_end[, by], metric, value)``."""
     measures = [*comprehensive_columns(features), *dormancy_columns(features)]
     keys = _keys(by)
-    doubles = usage.select(*keys, *(F.col(m).cast("double").alias(m) for m in measures))
+    doubles = usage.selectExpr(*keys, *(f"CAST({m} AS double) AS {m}" for m in measures))
     return doubles.unpivot(keys, measures, "metric", "value")
 
 
@@ -163,17 +162,19 @@ def otherwise(outcome: str) -> Rule:
     return Rule(None, 0.0, outcome)
 
 
-def first_match(value: Column, rules: Sequence[Rule]) -> Column:
-    """Outcome of the first rule that holds, as one CASE expression."""
-    outcome = F.when(F.lit(False), F.lit(None).cast("string"))
-    for rule in rules:
-        if rule.op is None:
-            return outcome.otherwise(F.lit(rule.outcome))
-        if rule.op not in ("<", ">"):
-            raise ValueError(f"unknown operator {rule.op!r}")
-        met = value > rule.bound if rule.op == ">" else value < rule.bound
-        outcome = outcome.when(met, F.lit(rule.outcome))
-    return outcome
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def first_match(value: str, rules: Sequence[Rule]) -> str:
+    """SQL for the outcome of the first rule that holds."""
+    if rules[-1].op is not None:
+        raise ValueError("the last rule must always hold")
+    last = _literal(rules[-1].outcome)
+    if len(rules) == 1:
+        return last
+    branches = (f"WHEN {value} {r.op} {r.bound} THEN {_literal(r.outcome)}" for r in rules[:-1])
+    return f"CASE {' '.join(branches)} ELSE {last} END"
 
 
 # Alert level per metric, from percentages. First match wins.
@@ -341,32 +342,37 @@ def feature_ranking(
     return (
         usage.filter(active > 0)
         .select(*_keys(by), *(c.alias(n) for n, c in columns.items()))
-        .withColumn("most_used_alert", first_match(F.col("most_used_pct"), ALERT_RULES["most_used_share"]))
-        .withColumn("least_used_alert", first_match(F.col("least_used_pct"), ALERT_RULES["least_used_share"]))
+        .selectExpr(
+            "*",
+            f"{first_match('most_used_pct', ALERT_RULES['most_used_share'])} AS most_used_alert",
+            f"{first_match('least_used_pct', ALERT_RULES['least_used_share'])} AS least_used_alert",
+        )
     )
 
 
-def derived_rates(features: Sequence[str] = FEATURES) -> dict[str, Column]:
-    """Percentages judged by the alert rules; NULL where a metric does not exist."""
-    signups, active = F.col("total_signups"), F.col("total_active_users")
-    newcomers = F.col("first_time_users")
-    dormant, historical = F.col("overall_dormant_users"), F.col("total_historical_users")
-    used = [F.col(f"{f}_users") for f in features]
-    exists = active > 0
+def derived_rates(features: Sequence[str] = FEATURES) -> dict[str, str]:
+    """SQL of the percentages the alert rules judge; NULL where a metric does not exist."""
+    users = ", ".join(f"{f}_users" for f in features)
+    exists = "WHEN total_active_users > 0 THEN"
     return {
-        "conversion_rate": percent(newcomers, signups),
-        "adoption_rate": F.least(percent(newcomers, active), F.lit(100.0)),
-        **{f"{f}_share": percent(F.col(f"{f}_users"), active) for f in features},
-        "single_feature_share": percent(F.col("single_feature_users"), active),
-        "multiple_feature_share": percent(F.col("multiple_feature_users"), active),
-        "most_used_share": F.when(exists, percent(F.greatest(*used), active)),
-        "least_used_share": F.when(exists, percent(F.least(*used), active)),
-        **{f"only_{f}_share": percent(F.col(f"only_{f}_users"), active) for f in features},
-        "dormant_share": percent(dormant, historical),
-        # As defined by the source reports: period actives include newcomers, so
-        # this may turn negative or pass 100.
-        "reactivation_rate_ref": percent(F.col("total_current_users") - dormant, historical),
-        **{f"{f}_dormant_share": percent(F.col(f"{f}_dormant_users"), dormant) for f in features},
+        "conversion_rate": sql_percent("first_time_users", "total_signups"),
+        "adoption_rate": f"least({sql_percent('first_time_users', 'total_active_users')}, 100D)",
+        **{f"{f}_share": sql_percent(f"{f}_users", "total_active_users") for f in features},
+        "single_feature_share": sql_percent("single_feature_users", "total_active_users"),
+        "multiple_feature_share": sql_percent("multiple_feature_users", "total_active_users"),
+        "most_used_share": f"CASE {exists} greatest({users}) / total_active_users * 100 END",
+        "least_used_share": f"CASE {exists} least({users}) / total_active_users * 100 END",
+        **{f"only_{f}_share": sql_percent(f"only_{f}_users", "total_active_users") for f in features},
+        "dormant_share": sql_percent("overall_dormant_users", "total_historical_users"),
+        # As the source reports define it: period actives include newcomers, so this
+        # may turn negative or pass 100.
+        "reactivation_rate_ref": sql_percent(
+            "(total_current_users - overall_dormant_users)", "total_historical_users"
+        ),
+        **{
+            f"{f}_dormant_share": sql_percent(f"{f}_dormant_users", "overall_dormant_users")
+            for f in features
+        },
     }
 
 
@@ -379,28 +385,27 @@ def kpi_alerts(
     """Each derived percentage with its alert level and sentence, one row per metric."""
     keys = _keys(by)
     rates = derived_rates(features)
-    least = F.lower(least_used(features, labels)["name"])
-    rows = []
-    for metric, rate in rates.items():
-        insight = first_match(rate, INSIGHT_RULES[metric])
-        if metric == "least_used_share":
-            insight = F.replace(insight, F.lit("{least}"), least)
-        if metric == "dormant_share":
-            insight = F.replace(insight, F.lit("{value}"), one_decimal_text(rate))
-        rows.append(
-            F.struct(
-                F.lit(metric).alias("metric"),
-                rate.alias("value"),
-                first_match(rate, ALERT_RULES[metric]).alias("alert"),
-                insight.alias("insight"),
-            )
-        )
-    return usage.select(*keys, F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
+    least = F.lower(least_used(features, labels)["name"]).alias("least")
+    judged = (
+        usage.select(*keys, least, *(F.expr(sql).alias(metric) for metric, sql in rates.items()))
+        .unpivot([*keys, "least"], list(rates), "metric", "value")
+        .filter(F.col("value").isNotNull())
+    )
+
+    def by_metric(rules: dict[str, list[Rule]]) -> Column:
+        branches = (f"WHEN '{m}' THEN {first_match('value', rules[m])}" for m in rates)
+        return F.expr(f"CASE metric {' '.join(branches)} END")
+
+    insight = F.replace(by_metric(INSIGHT_RULES), F.lit("{least}"), F.col("least"))
+    insight = F.replace(insight, F.lit("{value}"), one_decimal_text(F.col("value")))
+    return judged.select(
+        *keys, "metric", "value", by_metric(ALERT_RULES).alias("alert"), insight.alias("insight")
+    )
 
 
 @dataclass(frozen=True)
 class Advice:
-    """Fixed texts of one insight or recommendation; ``{value}`` as in the rules."""
+    """Texts of one insight or recommendation; ``{value}`` as in the rules."""
 
     rule_id: str
     title: str
@@ -454,18 +459,24 @@ DAY1_LOW, WEEK1_HIGH = 20, 50
 DORMANCY_HIGH, FEATURE_CHURN_HIGH = 30, 25
 
 
-def _advice_row(advice: Advice, rate: Column, label: str = "") -> Column:
-    def text(template: str) -> Column:
-        filled = F.lit(template.replace("{label}", label))
-        if "{value}" not in template:
-            return filled
-        return F.replace(filled, F.lit("{value}"), one_decimal_text(rate))
+def _advice_if(condition: str, advice: Advice, value: str, label: str = "") -> str:
+    """SQL for a row of advice, NULL unless the condition holds."""
+    texts = {
+        "rule_id": advice.rule_id,
+        "title": advice.title,
+        "insight": advice.insight,
+        "recommendation": advice.recommendation,
+    }
+    fields = ", ".join(
+        f"'{name}', {_literal(text.replace('{label}', label))}" for name, text in texts.items()
+    )
+    return f"CASE WHEN {condition} THEN named_struct({fields}, 'value', {value}) END"
+
 
-    return F.struct(
-        F.lit(advice.rule_id).alias("rule_id"),
-        text(advice.title).alias("title"),
-        text(advice.insight).alias("insight"),
-        text(advice.recommendation).alias("recommendation"),
+def _advice_rows(frame: DataFrame, keys: list[str], advice: Column) -> DataFrame:
+    text = F.replace("insight", F.lit("{value}"), one_decimal_text(F.col("value")))
+    return frame.select(*keys, F.inline(advice)).select(
+        *keys, "rule_id", "title", text.alias("insight"), "recommendation"
     )
 
 
@@ -488,15 +499,17 @@ def insights(
 def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None) -> DataFrame:
     """Insights from finished `usage_by_period` and `retention_by_period` frames."""
     keys = _keys(by)
-    signups = F.col("total_signups")
-    activation = percent(F.col("total_active_users"), signups)
-    day1 = F.coalesce("day1_percent", F.lit(0.0))
-    week1 = F.coalesce("week1_percent", F.lit(0.0))
+    activation = sql_percent("total_active_users", "total_signups")
+    day1, week1 = "coalesce(day1_percent, 0D)", "coalesce(week1_percent, 0D)"
     fired = [
-        F.when((signups > 0) & (activation < ACTIVATION_LOW), _advice_row(LOW_ACTIVATION, activation)),
-        F.when((signups > 0) & (activation > ACTIVATION_HIGH), _advice_row(HIGH_ACTIVATION, activation)),
-        F.when(day1 < DAY1_LOW, _advice_row(LOW_DAY1, day1)),
-        F.when(week1 > WEEK1_HIGH, _advice_row(HIGH_WEEK1, week1)),
+        _advice_if(
+            f"total_signups > 0 AND {activation} < {ACTIVATION_LOW}", LOW_ACTIVATION, activation
+        ),
+        _advice_if(
+            f"total_signups > 0 AND {activation} > {ACTIVATION_HIGH}", HIGH_ACTIVATION, activation
+        ),
+        _advice_if(f"{day1} < {DAY1_LOW}", LOW_DAY1, day1),
+        _advice_if(f"{week1} > {WEEK1_HIGH}", HIGH_WEEK1, week1),
     ]
     # One row per period and segment on either side; stacking them keeps NULL
     # segments together, which an equi-join would not.
@@ -505,7 +518,7 @@ def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None)
     )
     columns = [c for c in measured.columns if c not in keys]
     merged = measured.groupBy(*keys).agg(*(F.max(c).alias(c) for c in columns))
-    return merged.select(*keys, F.inline(F.array_compact(F.array(*fired))))
+    return _advice_rows(merged, keys, F.expr(f"array_compact(array({', '.join(fired)}))"))
 
 
 def recommendations(
@@ -517,12 +530,13 @@ def recommendations(
     """Re-engagement recommendations per period; a single good-news row if none fires."""
     rates = derived_rates(features)
     overall = rates["dormant_share"]
-    fired = [F.when(overall > DORMANCY_HIGH, _advice_row(HIGH_DORMANCY, overall))]
+    fired = [_advice_if(f"{overall} > {DORMANCY_HIGH}", HIGH_DORMANCY, overall)]
     for f in features:
         share = rates[f"{f}_dormant_share"]
         fired.append(
-            F.when(share > FEATURE_CHURN_HIGH, _advice_row(FEATURE_CHURN, share, labels[f]))
+            _advice_if(f"{share} > {FEATURE_CHURN_HIGH}", FEATURE_CHURN, share, labels[f])
         )
-    found = F.array_compact(F.array(*fired))
-    default = F.array(_advice_row(GOOD_RETENTION, overall))
-    return usage.select(*_keys(by), F.inline(F.when(F.size(found) > 0, found).otherwise(default)))
+    found = F.expr(f"array_compact(array({', '.join(fired)}))")
+    default = F.expr(f"array({_advice_if('true', GOOD_RETENTION, '0D')})")
+    advice = F.when(F.size(found) > 0, found).otherwise(default)
+    return _advice_rows(usage, _keys(by), advice)

@@ -4,6 +4,9 @@ One hash aggregate turns activity into a row per user (or user and period) with
 calendar bitmaps and a flag per feature. All of its aggregates ignore repeats and
 combine on the map side, so a user holding a large share of the rows leaves each
 map task as one row, and activity need not be distinct.
+
+Aggregates are given as SQL text: there are many of them per report, and each
+costs the driver one call this way instead of ten.
 """
 
 from __future__ import annotations
@@ -25,33 +28,32 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
-def calendar_marks(inside: Column, longest_days: int) -> list[Column]:
+def calendar_marks(inside: str, longest_days: int) -> list[Column]:
     """Bitmap aggregates over ``day_pos``, ``week_pos`` and ``month_pos``."""
     return [
         word
         for unit, bits in calendar.bitmap_lengths(longest_days).items()
-        for word in calendar.mark_bits(F.col(f"{unit}_pos"), inside, unit, bits)
+        for word in calendar.mark_bits(f"{unit}_pos", inside, unit, bits)
     ]
 
 
-def feature_marks(inside: Column, prefix: str, features: Sequence[str]) -> list[Column]:
+def feature_marks(inside: str, prefix: str, features: Sequence[str]) -> list[Column]:
     """``<prefix>_<feature>``: whether any row inside the window has the feature."""
-    return [
-        F.coalesce(F.bool_or(inside & (F.col("feature") == f)), F.lit(False)).alias(f"{prefix}_{f}")
-        for f in features
-    ]
+    return [any_mark(f"{inside} AND feature = '{f}'", f"{prefix}_{f}") for f in features]
 
 
-def any_mark(inside: Column, name: str) -> Column:
-    return F.coalesce(F.bool_or(inside), F.lit(False)).alias(name)
+def any_mark(inside: str, name: str) -> Column:
+    return F.expr(f"coalesce(bool_or({inside}), false) AS {name}")
 
 
-def active_units(longest_days: int) -> dict[str, Column]:
-    """Days, weeks and months with activity, from finished bitmaps."""
-    return {
-        unit: calendar.count_bits(unit, bits)
-        for unit, bits in calendar.bitmap_lengths(longest_days).items()
-    }
+def active_days(longest_days: int) -> Column:
+    """Days with activity, from a finished bitmap."""
+    return F.expr(calendar.count_bits("day", calendar.bitmap_lengths(longest_days)["day"]))
+
+
+def count_where(conditions: dict[str, str]) -> list[Column]:
+    """``count_if`` per named SQL condition."""
+    return [F.expr(f"count_if({met}) AS {name}") for name, met in conditions.items()]
 
 
 def average_active_users(longest_days: int) -> tuple[list[Column], dict[str, Column]]:
@@ -61,18 +63,19 @@ def average_active_users(longest_days: int) -> tuple[list[Column], dict[str, Col
     Rows without a user key make a day exist but add no user to it. Returns the
     aggregates to compute over user rows, and the averages over their result.
     """
-    named_user = F.col("user_id").isNotNull()
     aggregates: list[Column] = []
     averages: dict[str, Column] = {}
     for unit, letter in zip(CALENDAR_UNITS, "dwm"):
         bits = calendar.bitmap_lengths(longest_days)[unit]
-        pairs = F.when(named_user, calendar.count_bits(unit, bits)).otherwise(0)
-        aggregates.append(F.sum(pairs).alias(f"{unit}_pairs"))
+        size = calendar.count_bits(unit, bits)
+        aggregates.append(
+            F.expr(f"sum(CASE WHEN user_id IS NULL THEN 0 ELSE {size} END) AS {unit}_pairs")
+        )
         aggregates.extend(calendar.merge_bits(unit, bits))
-        occupied = calendar.count_bits(unit, bits)
-        averages[f"avg_{letter}au"] = F.when(occupied > 0, F.col(f"{unit}_pairs") / occupied)
+        averages[f"avg_{letter}au"] = F.expr(f"{unit}_pairs / nullif({size}, 0)")
     return aggregates, averages
 
 
-def count_of_features(prefix: str, features: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, (F.col(f"{prefix}_{f}").cast("int") for f in features))
+def count_of_features(prefix: str, features: Sequence[str]) -> str:
+    """SQL for the number of features whose flag is set."""
+    return "(" + " + ".join(f"CAST({prefix}_{f} AS int)" for f in features) + ")"

@@ -85,7 +85,7 @@ def overview_trend(
 
     # From the start of the first bucket: its days before the period are not
     # counted, but they are activity as far as the running totals go.
-    inside, named = day >= period.start, F.col("user_id").isNotNull()
+    inside = period.sql_holds("activity_date")
     in_period = (
         history.filter(day >= truncate(F.lit(period.start), granularity))
         .groupBy(bucket(day), "user_id")
@@ -96,8 +96,12 @@ def overview_trend(
         .groupBy("dt")
         .agg(
             F.lit(True).alias("any_activity"),
-            F.count_if(F.col("is_active") & named).alias("active_users"),
-            *(F.count_if(F.col(f"uses_{f}") & named).alias(f"{f}_users") for f in features),
+            *rollup.count_where(
+                {
+                    "active_users": "is_active AND user_id IS NOT NULL",
+                    **{f"{f}_users": f"uses_{f} AND user_id IS NOT NULL" for f in features},
+                }
+            ),
         )
     )
     signups = members.groupBy(bucket(signed_up)).agg(
@@ -121,7 +125,7 @@ def overview_trend(
     merged = series.groupBy("dt").agg(
         F.bool_or("on_spine").alias("on_spine"),
         F.bool_or("any_activity").alias("any_activity"),
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed),
+        *(F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in summed),
     )
     so_far = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     absolute_signups = F.sum("signups_to_date").over(so_far)

@@ -22,6 +22,8 @@ def local_session(app: str, cores: int | str = "*", memory: str = "8g") -> Spark
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        # Skips recording the Python call site of every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -56,6 +56,11 @@ class FeatureSource:
     where: str | None = None
     join: DimensionJoin | None = None
 
+    def __post_init__(self) -> None:
+        # Report columns are named after features.
+        if not self.feature.isidentifier():
+            raise ValueError(f"feature name {self.feature!r} is not an identifier")
+
 
 @dataclass(frozen=True)
 class UserSource:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +11,8 @@ TableReader = Callable[[str], DataFrame]
 
 
 def parquet_reader(spark: SparkSession, root: str) -> TableReader:
-    """Tables stored as ``<root>/<name>.parquet``."""
-    return lambda name: spark.read.parquet(f"{root}/{name}.parquet")
+    """Tables stored as ``<root>/<name>.parquet``, each opened once per reader."""
+    return cache(lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
 
 
 def jdbc_reader(
