@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagepulse.functions.calendar import Period, day_map, period_frame
@@ -53,32 +53,31 @@ def usage_by_period(
     spark = activity.sparkSession
     keys = _keys(by)
     longest = max(p.days for p in periods)
-    first_day = min(p.history_start for p in periods)
     last_day = max(p.end for p in periods)
     days = day_map(spark, periods)
-    day = F.col("activity_date")
 
+    # A row per user and period, plus one without a period for days outside of all:
+    # the earliest of a user's rows is the first activity ever, in the same scan.
     per_user = (
-        activity.filter(day.between(F.lit(first_day), F.lit(last_day)))
-        .join(days.withColumnRenamed("day", "activity_date"), "activity_date")
+        activity.filter(F.col("activity_date") <= F.lit(last_day))
+        .join(days.withColumnRenamed("day", "activity_date"), "activity_date", "left")
         .groupBy("user_id", "period_start", "period_end")
         .agg(
+            F.min("activity_date").alias("first_here"),
             *rollup.calendar_marks("in_period", longest),
             *dormancy.presence_marks("in_history", "in_period", features),
         )
+        .withColumn("first_ever", F.min("first_here").over(Window.partitionBy("user_id")))
+        .filter(F.col("period_start").isNotNull())
         .withColumn("active_days", rollup.active_days(longest))
     )
-    first_ever = (
-        activity.filter(day <= last_day).groupBy("user_id").agg(F.min(day).alias("first_ever"))
-    )
     attributes = users.select(
         "user_id", (~F.col("restricted")).alias("member"), *([by] if by else [])
     )
     sums, averages = rollup.average_active_users(longest)
     first_time = "first_ever BETWEEN period_start AND period_end"
     counted = (
-        per_user.join(first_ever, "user_id", "left")
-        .join(attributes, "user_id", "left")
+        per_user.join(attributes, "user_id", "left")
         .groupBy(*keys)
         .agg(
             *period_counts(features, first_time),

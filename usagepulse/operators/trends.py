@@ -68,31 +68,36 @@ def overview_trend(
     inception; ``fill="carry"`` keeps the last value through quiet periods,
     ``fill="zero"`` shows 0 in a period without signups (or without activity).
 
-    The running total of distinct users is a running sum of users by first period,
-    so nothing is compared across periods. All partial series are summed in one
-    aggregate; the window then sees one row per period of the calendar.
+    Activity is read once. It shrinks to a row per user and period, with all time
+    before the spine as one more period, and the earliest of a user's rows marks the
+    newcomer. The running total of distinct users is then a running sum of newcomers,
+    so nothing is compared across periods.
     """
     if fill not in CUMULATIVE_FILLS:
         raise ValueError(f"unknown fill {fill!r}, expected one of {CUMULATIVE_FILLS}")
     period = Period.of(start, end)
     day, signed_up = F.col("activity_date"), F.col("signup_date")
+    opening = truncate(F.lit(period.start), granularity)
 
     def bucket(column: Column) -> Column:
-        return truncate(column, granularity).alias("dt")
+        """Period on the spine; NULL, which sorts first, for everything before it."""
+        return F.when(column >= opening, truncate(column, granularity)).alias("dt")
 
-    history = activity.filter(day <= period.end)
-    members = unrestricted(users).filter(signed_up <= period.end)
-
-    # From the start of the first bucket: its days before the period are not
-    # counted, but they are activity as far as the running totals go.
+    # The first period may open before the range: its earlier days are not counted,
+    # but they are activity as far as the running totals go.
     inside = period.sql_holds("activity_date")
-    in_period = (
-        history.filter(day >= truncate(F.lit(period.start), granularity))
+    per_user = (
+        activity.filter(day <= period.end)
         .groupBy(bucket(day), "user_id")
         .agg(
+            F.min("activity_date").alias("first_here"),
             rollup.any_mark(inside, "is_active"),
             *rollup.feature_marks(inside, "uses", features),
         )
+    )
+    first_ever = F.min("first_here").over(Window.partitionBy("user_id"))
+    usage = (
+        per_user.withColumn("is_new", F.col("first_here") == first_ever)
         .groupBy("dt")
         .agg(
             F.lit(True).alias("any_activity"),
@@ -100,33 +105,33 @@ def overview_trend(
                 {
                     "active_users": "is_active AND user_id IS NOT NULL",
                     **{f"{f}_users": f"uses_{f} AND user_id IS NOT NULL" for f in features},
+                    "new_users": "is_new AND user_id IS NOT NULL",
                 }
             ),
         )
     )
-    signups = members.groupBy(bucket(signed_up)).agg(
-        F.count_if(signed_up >= period.start).alias("signups"),
-        F.count("*").alias("signups_to_date"),
-    )
-    newcomers = (
-        history.groupBy("user_id")
-        .agg(F.min("activity_date").alias("first_day"))
-        .groupBy(bucket(F.col("first_day")))
-        .agg(F.count("user_id").alias("new_users"))
+    signups = (
+        unrestricted(users)
+        .filter(signed_up <= period.end)
+        .groupBy(bucket(signed_up))
+        .agg(
+            F.count_if(signed_up >= period.start).alias("signups"),
+            F.count("*").alias("signups_to_date"),
+        )
     )
     grid = spine(activity.sparkSession, period.start, period.end, granularity).select(
         "dt", F.lit(True).alias("on_spine")
     )
-    series = grid
-    for part in (in_period, signups, newcomers):
-        series = series.unionByName(part, allowMissingColumns=True)
-
+    series = grid.unionByName(usage, allowMissingColumns=True).unionByName(
+        signups, allowMissingColumns=True
+    )
     summed = ["signups", "active_users", *(f"{f}_users" for f in features), "signups_to_date", "new_users"]
     merged = series.groupBy("dt").agg(
         F.bool_or("on_spine").alias("on_spine"),
         F.bool_or("any_activity").alias("any_activity"),
         *(F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in summed),
     )
+    # One row per period of the spine and one for the time before it.
     so_far = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     absolute_signups = F.sum("signups_to_date").over(so_far)
     absolute_active = F.sum("new_users").over(so_far)

@@ -30,7 +30,10 @@ def consumer_finance_sources(excluded_provider: str) -> list[FeatureSource]:
 CONSUMER_FINANCE_USERS = UserSource("users", "id", "created_at", "restricted")
 
 
-_ORDER_OF_LINE = {"table": "orders", "fact_key": "l_orderkey", "dim_key": "o_orderkey"}
+# An order has a handful of lines, shipped on different days: nothing to merge.
+_ORDER_OF_LINE = {
+    "table": "orders", "fact_key": "l_orderkey", "dim_key": "o_orderkey", "merge_repeats": False,
+}
 _PRIORITY_SET = "o_orderpriority <> '4-NOT SPECIFIED'"
 
 COMMERCE_SOURCES = [

@@ -47,8 +47,8 @@ class Profile:
     def __init__(self, sources, users) -> None:
         self._sources, self._users = sources, users
 
-    def activity(self, read: TableReader) -> DataFrame:
-        return build_events(read, self._sources)
+    def activity(self, read: TableReader, feature: str | None = None) -> DataFrame:
+        return build_events(read, self._sources, feature)
 
     def fact(self, read: TableReader) -> DataFrame:
         return build_activity(read, self._sources)
@@ -63,7 +63,8 @@ EVENTS = Profile(profiles.EVENT_SOURCES, profiles.event_users)
 
 def _on_activity(profile: Profile, op, *args, **kwargs) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return op(profile.activity(parquet_reader(spark, root)), *args, **kwargs)
+        activity = profile.activity(parquet_reader(spark, root), kwargs.get("feature"))
+        return op(activity, *args, **kwargs)
 
     return run
 
@@ -71,7 +72,8 @@ def _on_activity(profile: Profile, op, *args, **kwargs) -> Query:
 def _on_both(profile: Profile, op, *args, **kwargs) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         read = parquet_reader(spark, root)
-        return op(profile.activity(read), profile.users(read), *args, **kwargs)
+        activity = profile.activity(read, kwargs.get("feature"))
+        return op(activity, profile.users(read), *args, **kwargs)
 
     return run
 
@@ -156,17 +158,19 @@ def all_queries() -> dict[str, Query]:
     }
     for feature in FEATURES:
         queries[f"feature_metrics_{feature}"] = _on_both(
-            COMMERCE, engagement.feature_metrics, *SPRING, feature
+            COMMERCE, engagement.feature_metrics, *SPRING, feature=feature
+        )
+        queries[f"retention_{feature}"] = _on_both(
+            COMMERCE, retention.retention, *SPRING, feature=feature
         )
-        queries[f"retention_{feature}"] = _on_both(COMMERCE, retention.retention, *SPRING, feature)
         queries[f"trend_dau_events_{feature}"] = _on_activity(
-            EVENTS, trends.active_user_trend, *EVENT_WEEKS, "day", feature
+            EVENTS, trends.active_user_trend, *EVENT_WEEKS, "day", feature=feature
         )
     for granularity, (_, name) in trends.SERIES_COLUMNS.items():
         queries[f"trend_{name}"] = _on_activity(
             COMMERCE, trends.active_user_trend, *YEAR, granularity
         )
         queries[f"trend_{name}_spending"] = _on_activity(
-            COMMERCE, trends.active_user_trend, *YEAR, granularity, "spending"
+            COMMERCE, trends.active_user_trend, *YEAR, granularity, feature="spending"
         )
     return queries

@@ -32,12 +32,19 @@ class DimensionJoin:
     """Dimension carrying the user key of a fact that only has a foreign key.
 
     The dimension key must be unique. ``where`` filters dimension rows.
+
+    With ``merge_repeats``, rows of the same key, date and outcome, which are one
+    event to every report, merge on the map side before the join shuffles them: a
+    key holding a large share of the fact reaches the join as one row per date.
+    That costs a shuffle, so leave it off where keys repeat little within a date;
+    adaptive execution then splits whatever key is hot.
     """
 
     table: str
     fact_key: str
     dim_key: str
     where: str | None = None
+    merge_repeats: bool = True
 
 
 @dataclass(frozen=True)
@@ -75,7 +82,7 @@ class UserSource:
 
 def _shares_scan(source: FeatureSource) -> tuple:
     join = source.join
-    keys = (join.table, join.fact_key, join.dim_key) if join else None
+    keys = (join.table, join.fact_key, join.dim_key, join.merge_repeats) if join else None
     return source.table, source.user_col, source.ts_col, keys
 
 
@@ -83,44 +90,49 @@ def _predicate(sql: str | None) -> Column:
     return F.expr(sql) if sql else F.lit(True)
 
 
-def _one_feature_per_row(conditions: dict[str, Column]) -> Column:
-    """The features a row counts for; a row may count for several."""
+def _tag(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``feature``, once per condition a row meets.
+
+    Explodes a fixed array and filters, which stays inside generated code.
+    """
+    rows = rows.filter(reduce(or_, conditions.values()))
+    kept = ["user_id", "activity_date"]
     if len(conditions) == 1:
-        return F.lit(next(iter(conditions)))
+        return rows.select(*kept, F.lit(next(iter(conditions))).alias("feature"))
     names = [F.when(met, F.lit(feature)) for feature, met in conditions.items()]
-    return F.explode(F.array_compact(F.array(*names)))
+    tagged = rows.select(*kept, F.explode(F.array(*names)).alias("feature"))
+    return tagged.filter(F.col("feature").isNotNull())
+
+
+def _any_of(known: dict[str, Column], feature: str, met: Column) -> None:
+    known[feature] = known[feature] | met if feature in known else met
 
 
 def _tag_single(fact: DataFrame, group: list[FeatureSource]) -> DataFrame:
+    head = group[0]
     conditions: dict[str, Column] = {}
     for source in group:
-        met = _predicate(source.where)
-        known = conditions.get(source.feature)
-        conditions[source.feature] = met if known is None else known | met
-    head = group[0]
-    return fact.filter(reduce(or_, conditions.values())).select(
-        F.col(head.user_col).cast("string").alias("user_id"),
-        F.to_date(head.ts_col).alias("activity_date"),
-        _one_feature_per_row(conditions).alias("feature"),
+        _any_of(conditions, source.feature, _predicate(source.where))
+    rows = fact.withColumns(
+        {
+            "activity_date": F.to_date(head.ts_col),
+            "user_id": F.col(head.user_col).cast("string"),
+        }
     )
+    return _tag(rows, conditions)
 
 
 def _tag_joined(fact: DataFrame, dim: DataFrame, group: list[FeatureSource]) -> DataFrame:
     head, join = group[0], group[0].join
     fact_met = [_predicate(s.where) for s in group]
     dim_met = [_predicate(s.join.where) for s in group]
-    # Same key, date and outcome are one event to every report, so repeats are
-    # merged on the map side before the join shuffles the fact: a key holding a
-    # large share of the fact reaches the join as at most one row per date.
-    events = (
-        fact.filter(reduce(or_, fact_met) & F.col(join.fact_key).isNotNull())
-        .select(
-            F.col(join.fact_key).alias("key"),
-            F.to_date(head.ts_col).alias("activity_date"),
-            *(met.alias(f"fact_met{i}") for i, met in enumerate(fact_met)),
-        )
-        .distinct()
+    events = fact.filter(reduce(or_, fact_met) & F.col(join.fact_key).isNotNull()).select(
+        F.col(join.fact_key).alias("key"),
+        F.to_date(head.ts_col).alias("activity_date"),
+        *(met.alias(f"fact_met{i}") for i, met in enumerate(fact_met)),
     )
+    if join.merge_repeats:
+        events = events.distinct()
     owners = dim.filter(reduce(or_, dim_met)).select(
         F.col(join.dim_key).alias("key"),
         F.col(head.user_col).cast("string").alias("user_id"),
@@ -128,25 +140,25 @@ def _tag_joined(fact: DataFrame, dim: DataFrame, group: list[FeatureSource]) ->
     )
     conditions: dict[str, Column] = {}
     for i, source in enumerate(group):
-        met = F.col(f"fact_met{i}") & F.col(f"dim_met{i}")
-        known = conditions.get(source.feature)
-        conditions[source.feature] = met if known is None else known | met
-    return (
-        events.join(owners, "key")
-        .filter(reduce(or_, conditions.values()))
-        .select("user_id", "activity_date", _one_feature_per_row(conditions).alias("feature"))
-    )
+        _any_of(conditions, source.feature, F.col(f"fact_met{i}") & F.col(f"dim_met{i}"))
+    return _tag(events.join(owners, "key"), conditions)
 
 
-def build_events(read: TableReader, sources: Sequence[FeatureSource]) -> DataFrame:
-    """All activity rows, repeats included.
+def build_events(
+    read: TableReader, sources: Sequence[FeatureSource], feature: str | None = None
+) -> DataFrame:
+    """All activity rows, or those of one feature, repeats included.
 
-    Sources over the same table and keys share one scan and one join. Every
-    operator of this package gives the same result with or without repeats, so a
-    one-off report starts from here and saves the shuffle of ``distinct``.
+    Sources over the same table and keys share one scan and one join; naming the
+    feature leaves out the tables of all others. Every operator of this package
+    gives the same result with or without repeats, so a one-off report starts from
+    here and saves the shuffle of ``distinct``.
     """
+    wanted = [s for s in sources if feature in (None, s.feature)]
+    if not wanted:
+        raise ValueError(f"no source for feature {feature!r}")
     groups: dict[tuple, list[FeatureSource]] = {}
-    for source in sources:
+    for source in wanted:
         groups.setdefault(_shares_scan(source), []).append(source)
     branches = []
     for group in groups.values():
