@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from usagepulse.functions import calendar
 from usagepulse.functions.numeric import capitalize, one_decimal_text, round1_half_even
 from usagepulse.functions.survey_json import answered_count
-from usagepulse.operators import survey
+from usagepulse.operators import rollup, survey
+from usagepulse.operators.engagement import positions_in
 
 
 def test_one_decimal_rounding(spark):
@@ -105,13 +107,28 @@ def test_survey_reports(spark):
     assert sorted(str(r["reaction"]) for r in listed) == ["Liked it", "None"]
 
 
-def test_bitmap_lengths_cover_every_alignment():
-    import datetime
-
-    for days in (1, 2, 8, 9, 28, 29, 30, 31, 59, 62, 366):
-        lengths = calendar.bitmap_lengths(days)
-        for shift in range(0, 400, 3):
-            start = datetime.date(2024, 1, 1) + datetime.timedelta(days=shift)
-            dates = [start + datetime.timedelta(days=n) for n in range(days)]
-            assert len({d - datetime.timedelta(days=d.weekday()) for d in dates}) <= lengths["week"]
-            assert len({(d.year, d.month) for d in dates}) <= lengths["month"]
+def test_bitmaps_count_days_weeks_and_months(spark):
+    rng = random.Random(3)
+    for days in (1, 2, 9, 31, 58, 64, 200):
+        start = date(2024, 1, 1) + timedelta(days=rng.randrange(400))
+        period = calendar.Period(start, start + timedelta(days=days - 1))
+        dates = {start + timedelta(days=rng.randrange(days)) for _ in range(days // 2 + 1)}
+        dates |= {period.start, period.end}
+        frame = spark.createDataFrame([(str(d),) for d in dates], "d string").selectExpr(
+            "to_date(d) AS activity_date"
+        )
+        marked = frame.agg(*rollup.calendar_marks("true", positions_in(period), period.days))
+        units = rollup.active_units(period.days)
+        found = marked.selectExpr(*(f"{sql} AS {unit}" for unit, sql in units.items())).first()
+        assert found["day"] == len(dates)
+        assert found["week"] == len({d - timedelta(days=d.weekday()) for d in dates})
+        assert found["month"] == len({(d.year, d.month) for d in dates})
+
+
+def test_month_bits_fit_every_alignment():
+    for days in (1, 2, 28, 29, 30, 31, 59, 62, 366):
+        for shift in range(0, 800, 3):
+            start = date(2023, 1, 1) + timedelta(days=shift)
+            end = start + timedelta(days=days - 1)
+            months = (end.year - start.year) * 12 + end.month - start.month + 1
+            assert months <= calendar.bitmap_lengths(days)["month"]

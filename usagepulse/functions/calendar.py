@@ -1,10 +1,11 @@
 """Report periods, period truncation, date spines and calendar bitmaps.
 
-A calendar bitmap holds one bit per day (or week, or month) of a report period.
-Its length follows from the period, which is known when the plan is built, so a
-user's active days reduce with ``bit_or`` in an ordinary hash aggregate: repeats
-cost nothing, the map side combines them, and counting distinct days, weeks and
-months needs neither ``Expand`` nor a second shuffle.
+A calendar bitmap holds one bit per day of a report period, another one a bit per
+month. Their length follows from the period, which is known when the plan is built,
+so a user's active days reduce with ``bit_or`` in an ordinary hash aggregate:
+repeats cost nothing, the map side combines them, and counting distinct days, weeks
+and months needs neither ``Expand`` nor a second shuffle. Day bits start on a Monday
+and a word holds nine whole weeks, so the weeks can be read off the days.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRANULARITIES = ("day", "week", "month")
-WORD_BITS = 64
+WORD_BITS = 63
+WEEK_STARTS = sum(1 << bit for bit in range(0, WORD_BITS, 7))
 
 # Rows of a calendar map up to which it is broadcast (about 60 bytes a row);
 # a longer one is left to a shuffled join.
@@ -95,26 +97,15 @@ def spine(spark: SparkSession, start: date | str, end: date | str, granularity:
     )
 
 
-def _month_number(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day)
-
-
-def bit_positions(day: Column, start: Column) -> dict[str, Column]:
-    """Zero-based day, week and month of ``day`` within a period opening at ``start``."""
-    return {
-        "day": F.date_diff(day, start),
-        "week": F.floor(F.date_diff(day, F.trunc(start, "week")) / 7).cast("int"),
-        "month": _month_number(day) - _month_number(start),
-    }
+def bit_positions(day: str, start: str) -> dict[str, str]:
+    """SQL for the bit of ``day`` in the day and month bitmaps of a period."""
+    months = f"(year({day}) - year({start})) * 12 + month({day}) - month({start})"
+    return {"day": f"date_diff({day}, trunc({start}, 'week'))", "month": months}
 
 
 def bitmap_lengths(longest_days: int) -> dict[str, int]:
     """Bits needed for periods of up to ``longest_days`` days starting on any day."""
-    return {
-        "day": longest_days,
-        "week": (longest_days + 5) // 7 + 1,
-        "month": (longest_days + 26) // 28 + 1,
-    }
+    return {"day": longest_days + 6, "month": (longest_days + 26) // 28 + 1}
 
 
 def word_names(prefix: str, bits: int) -> list[str]:
@@ -123,12 +114,16 @@ def word_names(prefix: str, bits: int) -> list[str]:
 
 def mark_bits(position: str, inside: str, prefix: str, bits: int) -> list[Column]:
     """Aggregates setting bit ``position`` for every row that is ``inside``."""
+    names = word_names(prefix, bits)
     words = []
-    for k, name in enumerate(word_names(prefix, bits)):
-        low, high = k * WORD_BITS, (k + 1) * WORD_BITS - 1
-        here = f"{inside} AND {position} BETWEEN {low} AND {high}"
-        bit = f"CASE WHEN {here} THEN shiftleft(1L, {position} - {low}) END"
-        words.append(F.expr(f"coalesce(bit_or({bit}), 0L) AS {name}"))
+    for k, name in enumerate(names):
+        low = k * WORD_BITS
+        here, bit = inside, position
+        if len(names) > 1:
+            here = f"{inside} AND {position} BETWEEN {low} AND {low + WORD_BITS - 1}"
+            bit = f"{position} - {low}"
+        marked = f"bit_or(CASE WHEN {here} THEN shiftleft(1L, {bit}) END)"
+        words.append(F.expr(f"coalesce({marked}, 0L) AS {name}"))
     return words
 
 
@@ -137,12 +132,28 @@ def merge_bits(prefix: str, bits: int) -> list[Column]:
     return [F.expr(f"bit_or({name}) AS {name}") for name in word_names(prefix, bits)]
 
 
+def has_bit(prefix: str, position: int) -> str:
+    """SQL for whether a bit of a finished bitmap is set."""
+    word, bit = divmod(position, WORD_BITS)
+    return f"({prefix}_bits{word} & {1 << bit}L) <> 0"
+
+
 def count_bits(prefix: str, bits: int) -> str:
     """SQL for the number of set bits, 0 for a missing bitmap."""
     words = (f"coalesce(bit_count({name}), 0)" for name in word_names(prefix, bits))
     return f"CAST({' + '.join(words)} AS bigint)"
 
 
+def count_weeks(prefix: str, bits: int) -> str:
+    """SQL for the number of weeks with a set day; a week's days fold onto its first bit."""
+
+    def weeks(word: str) -> str:
+        folded = " | ".join([word, *(f"shiftright({word}, {n})" for n in range(1, 7))])
+        return f"coalesce(bit_count(({folded}) & {WEEK_STARTS}L), 0)"
+
+    return f"CAST({' + '.join(map(weeks, word_names(prefix, bits)))} AS bigint)"
+
+
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     """``(period_start, period_end)``, one row per period."""
     rows = [
@@ -175,14 +186,14 @@ def day_map(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     days = ranges.select(
         "*", F.explode(F.sequence("history_start", "period_end", F.expr("INTERVAL 1 DAY"))).alias("day")
     )
-    day, start = F.col("day"), F.col("period_start")
-    placed = days.select(
+    positions = bit_positions("day", "period_start")
+    placed = days.selectExpr(
         "day",
         "period_start",
         "period_end",
-        (day >= start).alias("in_period"),
-        (day <= start).alias("in_history"),
-        *(col.alias(f"{name}_pos") for name, col in bit_positions(day, start).items()),
+        "day >= period_start AS in_period",
+        "day <= period_start AS in_history",
+        *(f"{sql} AS {unit}_pos" for unit, sql in positions.items()),
     )
     size = sum((p.end - p.history_start).days + 1 for p in periods)
     return F.broadcast(placed) if size <= BROADCAST_ROWS else placed.hint("shuffle_hash")

@@ -27,13 +27,15 @@ def feature_combinations(
     name) and others above 15 % (``high``).
     """
     period = Period.of(start, end)
+    recent = activity.filter(period.holds(F.col("activity_date")))
     per_user = (
-        activity.filter(period.holds(F.col("activity_date")))
+        rollup.numbered_features(recent, features)
         .groupBy("user_id")
         .agg(*rollup.feature_marks("true", "uses", features))
         .filter(f"{rollup.count_of_features('uses', features)} > 1")
     )
-    names = [F.when(F.col(f"uses_{f}"), F.lit(f)) for f in sorted(features)]
+    flags = rollup.feature_flags("uses", features)
+    names = [F.when(F.expr(flags[f]), F.lit(f)) for f in sorted(features)]
     counted = (
         per_user.groupBy(F.concat_ws(" + ", *names).alias("feature_combination"))
         .agg(F.count("*").alias("user_count"))

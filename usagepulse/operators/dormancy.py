@@ -22,7 +22,7 @@ from usagepulse.sources.registry import FEATURE_LABELS, FEATURES
 
 
 def presence_marks(past: str, now: str, features: Sequence[str]) -> list[Column]:
-    """Flags for activity, and for each feature, in the history and in the period."""
+    """Activity and features in use, in the history and in the period."""
     return [
         rollup.any_mark(past, "was_active"),
         rollup.any_mark(now, "is_active"),
@@ -33,14 +33,15 @@ def presence_marks(past: str, now: str, features: Sequence[str]) -> list[Column]
 
 def dormancy_counts(features: Sequence[str]) -> list[Column]:
     """Counts over user rows carrying ``presence_marks``."""
+    used, uses = rollup.feature_flags("used", features), rollup.feature_flags("uses", features)
 
     def dormant(past: str, now: str) -> str:
-        return f"{past} AND (NOT {now} OR user_id IS NULL)"
+        return f"{past} AND (NOT ({now}) OR user_id IS NULL)"
 
     return rollup.count_where(
         {
             "overall_dormant_users": dormant("was_active", "is_active"),
-            **{f"{f}_dormant_users": dormant(f"used_{f}", f"uses_{f}") for f in features},
+            **{f"{f}_dormant_users": dormant(used[f], uses[f]) for f in features},
             "total_historical_users": "was_active",
             "total_current_users": "is_active",
         }
@@ -57,8 +58,9 @@ def dormant_analysis(
     """One row of dormant counts, overall and per feature, and both population sizes."""
     period = Period.of(start, end, dormant_days)
     day = F.col("activity_date")
+    seen = activity.filter(day.between(F.lit(period.history_start), F.lit(period.end)))
     per_user = (
-        activity.filter(day.between(F.lit(period.history_start), F.lit(period.end)))
+        rollup.numbered_features(seen, features)
         .groupBy("user_id")
         .agg(
             *presence_marks(

@@ -21,15 +21,8 @@ from usagepulse.operators import rollup
 from usagepulse.sources.registry import FEATURES, of_feature
 
 
-def with_positions(activity: DataFrame, period: Period) -> DataFrame:
-    """Adds ``in_period`` and the calendar positions within one period."""
-    day = F.col("activity_date")
-    positions = bit_positions(day, F.lit(period.start))
-    return activity.select(
-        "*",
-        period.holds(day).alias("in_period"),
-        *(col.alias(f"{unit}_pos") for unit, col in positions.items()),
-    )
+def positions_in(period: Period) -> dict[str, str]:
+    return bit_positions("activity_date", f"DATE'{period.start}'")
 
 
 def unrestricted(users: DataFrame) -> DataFrame:
@@ -38,21 +31,21 @@ def unrestricted(users: DataFrame) -> DataFrame:
 
 
 def period_counts(features: Sequence[str], first_time: str) -> list[Column]:
-    """Counts over user rows with ``member``, ``active_days`` and ``uses_<feature>``.
+    """Counts over user rows with ``member``, ``active_days`` and the features in use.
 
     ``first_time`` is the SQL condition for the first activity ever to be in period.
     """
-    used = rollup.count_of_features("uses", features)
+    used, flags = rollup.count_of_features("uses", features), rollup.feature_flags("uses", features)
     return rollup.count_where(
         {
             "total_active_users": "member AND active_days > 0",
             "one_time_usage_users": "member AND active_days = 1",
             "recurring_users": "member AND active_days >= 2",
             "first_time_users": f"member AND active_days > 0 AND {first_time}",
-            **{f"{f}_users": f"uses_{f} AND user_id IS NOT NULL" for f in features},
+            **{f"{f}_users": f"{flag} AND user_id IS NOT NULL" for f, flag in flags.items()},
             "single_feature_users": f"{used} = 1",
             "multiple_feature_users": f"{used} > 1",
-            **{f"only_{f}_users": f"{used} = 1 AND uses_{f}" for f in features},
+            **{f"only_{f}_users": f"{used} = 1 AND {flag}" for f, flag in flags.items()},
         }
     )
 
@@ -80,13 +73,18 @@ def comprehensive_metrics(
     users on the same key, and one global aggregate over user rows.
     """
     period = Period.of(start, end)
-    placed = with_positions(activity.filter(F.col("activity_date") <= period.end), period)
-    per_user = placed.groupBy("user_id").agg(
-        F.min("activity_date").alias("first_ever"),
-        *rollup.calendar_marks("in_period", period.days),
-        *rollup.feature_marks("in_period", "uses", features),
+    inside = period.sql_holds("activity_date")
+    history = activity.filter(F.col("activity_date") <= period.end)
+    per_user = (
+        rollup.numbered_features(history, features)
+        .groupBy("user_id")
+        .agg(
+            F.min("activity_date").alias("first_ever"),
+            *rollup.calendar_marks(inside, positions_in(period), period.days),
+            *rollup.feature_marks(inside, "uses", features),
+        )
+        .withColumn("active_days", F.expr(rollup.active_units(period.days)["day"]))
     )
-    per_user = per_user.withColumn("active_days", rollup.active_days(period.days))
     members = unrestricted(users).select("user_id", "signup_date", F.lit(True).alias("member"))
     joined = per_user.join(members, "user_id", "full_outer")
 
@@ -115,12 +113,15 @@ def feature_metrics(
     """
     period = Period.of(start, end)
     chosen = of_feature(activity, feature, features)
-    placed = with_positions(chosen.filter(period.holds(F.col("activity_date"))), period)
-    per_user = placed.groupBy("user_id").agg(
-        F.min("activity_date").alias("first_in_period"),
-        *rollup.calendar_marks("in_period", period.days),
+    per_user = (
+        chosen.filter(period.holds(F.col("activity_date")))
+        .groupBy("user_id")
+        .agg(
+            F.min("activity_date").alias("first_in_period"),
+            *rollup.calendar_marks("true", positions_in(period), period.days),
+        )
+        .withColumn("active_days", F.expr(rollup.active_units(period.days)["day"]))
     )
-    per_user = per_user.withColumn("active_days", rollup.active_days(period.days))
     signups = (
         unrestricted(users)
         .filter(period.holds(F.col("signup_date")))

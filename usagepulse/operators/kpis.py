@@ -58,18 +58,20 @@ def usage_by_period(
 
     # A row per user and period, plus one without a period for days outside of all:
     # the earliest of a user's rows is the first activity ever, in the same scan.
+    history = activity.filter(F.col("activity_date") <= F.lit(last_day))
+    positions = {"day": "day_pos", "month": "month_pos"}
     per_user = (
-        activity.filter(F.col("activity_date") <= F.lit(last_day))
+        rollup.numbered_features(history, features)
         .join(days.withColumnRenamed("day", "activity_date"), "activity_date", "left")
         .groupBy("user_id", "period_start", "period_end")
         .agg(
             F.min("activity_date").alias("first_here"),
-            *rollup.calendar_marks("in_period", longest),
+            *rollup.calendar_marks("in_period", positions, longest),
             *dormancy.presence_marks("in_history", "in_period", features),
         )
         .withColumn("first_ever", F.min("first_here").over(Window.partitionBy("user_id")))
         .filter(F.col("period_start").isNotNull())
-        .withColumn("active_days", rollup.active_days(longest))
+        .withColumn("active_days", F.expr(rollup.active_units(longest)["day"]))
     )
     attributes = users.select(
         "user_id", (~F.col("restricted")).alias("member"), *([by] if by else [])

@@ -1,7 +1,7 @@
 """The per-user rollup shared by the engagement, dormancy and KPI operators.
 
 One hash aggregate turns activity into a row per user (or user and period) with
-calendar bitmaps and a flag per feature. All of its aggregates ignore repeats and
+calendar and feature bitmaps. All of its aggregates ignore repeats and
 combine on the map side, so a user holding a large share of the rows leaves each
 map task as one row, and activity need not be distinct.
 
@@ -19,36 +19,58 @@ from pyspark.sql import functions as F
 
 from usagepulse.functions import calendar
 
-CALENDAR_UNITS = ("day", "week", "month")
-
-
 def one_row(*frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames side by side, without a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
-def calendar_marks(inside: str, longest_days: int) -> list[Column]:
-    """Bitmap aggregates over ``day_pos``, ``week_pos`` and ``month_pos``."""
+def calendar_marks(inside: str, positions: dict[str, str], longest_days: int) -> list[Column]:
+    """Bitmap aggregates of the days and months of activity inside a period."""
     return [
         word
         for unit, bits in calendar.bitmap_lengths(longest_days).items()
-        for word in calendar.mark_bits(f"{unit}_pos", inside, unit, bits)
+        for word in calendar.mark_bits(positions[unit], inside, unit, bits)
     ]
 
 
+def numbered_features(activity: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Activity with ``feature_pos``, the place of its feature, instead of the name.
+
+    A feature that is not listed gets NULL: activity of no feature in particular.
+    """
+    places = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(features))
+    return activity.selectExpr(
+        "user_id", "activity_date", f"CASE feature {places} END AS feature_pos"
+    )
+
+
 def feature_marks(inside: str, prefix: str, features: Sequence[str]) -> list[Column]:
-    """``<prefix>_<feature>``: whether any row inside the window has the feature."""
-    return [any_mark(f"{inside} AND feature = '{f}'", f"{prefix}_{f}") for f in features]
+    """Bitmap aggregates of the features used inside a window."""
+    return calendar.mark_bits("feature_pos", inside, prefix, len(features))
+
+
+def feature_flags(prefix: str, features: Sequence[str]) -> dict[str, str]:
+    """SQL per feature for whether a finished feature bitmap holds it."""
+    return {f: calendar.has_bit(prefix, i) for i, f in enumerate(features)}
+
+
+def count_of_features(prefix: str, features: Sequence[str]) -> str:
+    return calendar.count_bits(prefix, len(features))
 
 
 def any_mark(inside: str, name: str) -> Column:
     return F.expr(f"coalesce(bool_or({inside}), false) AS {name}")
 
 
-def active_days(longest_days: int) -> Column:
-    """Days with activity, from a finished bitmap."""
-    return F.expr(calendar.count_bits("day", calendar.bitmap_lengths(longest_days)["day"]))
+def active_units(longest_days: int) -> dict[str, str]:
+    """SQL for the days, weeks and months set in finished bitmaps."""
+    bits = calendar.bitmap_lengths(longest_days)
+    return {
+        "day": calendar.count_bits("day", bits["day"]),
+        "week": calendar.count_weeks("day", bits["day"]),
+        "month": calendar.count_bits("month", bits["month"]),
+    }
 
 
 def count_where(conditions: dict[str, str]) -> list[Column]:
@@ -63,19 +85,14 @@ def average_active_users(longest_days: int) -> tuple[list[Column], dict[str, Col
     Rows without a user key make a day exist but add no user to it. Returns the
     aggregates to compute over user rows, and the averages over their result.
     """
-    aggregates: list[Column] = []
+    aggregates = [
+        word
+        for unit, bits in calendar.bitmap_lengths(longest_days).items()
+        for word in calendar.merge_bits(unit, bits)
+    ]
     averages: dict[str, Column] = {}
-    for unit, letter in zip(CALENDAR_UNITS, "dwm"):
-        bits = calendar.bitmap_lengths(longest_days)[unit]
-        size = calendar.count_bits(unit, bits)
-        aggregates.append(
-            F.expr(f"sum(CASE WHEN user_id IS NULL THEN 0 ELSE {size} END) AS {unit}_pairs")
-        )
-        aggregates.extend(calendar.merge_bits(unit, bits))
-        averages[f"avg_{letter}au"] = F.expr(f"{unit}_pairs / nullif({size}, 0)")
+    for unit, size in active_units(longest_days).items():
+        pairs = f"sum(CASE WHEN user_id IS NULL THEN 0 ELSE {size} END)"
+        aggregates.append(F.expr(f"{pairs} AS {unit}_pairs"))
+        averages[f"avg_{unit[0]}au"] = F.expr(f"{unit}_pairs / nullif({size}, 0)")
     return aggregates, averages
-
-
-def count_of_features(prefix: str, features: Sequence[str]) -> str:
-    """SQL for the number of features whose flag is set."""
-    return "(" + " + ".join(f"CAST({prefix}_{f} AS int)" for f in features) + ")"

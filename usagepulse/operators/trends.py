@@ -87,7 +87,7 @@ def overview_trend(
     # but they are activity as far as the running totals go.
     inside = period.sql_holds("activity_date")
     per_user = (
-        activity.filter(day <= period.end)
+        rollup.numbered_features(activity.filter(day <= period.end), features)
         .groupBy(bucket(day), "user_id")
         .agg(
             F.min("activity_date").alias("first_here"),
@@ -95,6 +95,7 @@ def overview_trend(
             *rollup.feature_marks(inside, "uses", features),
         )
     )
+    flags = rollup.feature_flags("uses", features)
     first_ever = F.min("first_here").over(Window.partitionBy("user_id"))
     usage = (
         per_user.withColumn("is_new", F.col("first_here") == first_ever)
@@ -104,7 +105,7 @@ def overview_trend(
             *rollup.count_where(
                 {
                     "active_users": "is_active AND user_id IS NOT NULL",
-                    **{f"{f}_users": f"uses_{f} AND user_id IS NOT NULL" for f in features},
+                    **{f"{f}_users": f"{flag} AND user_id IS NOT NULL" for f, flag in flags.items()},
                     "new_users": "is_new AND user_id IS NOT NULL",
                 }
             ),
