@@ -201,3 +201,24 @@ def test_distinct_activity_changes_nothing(world, activity_of, users_of):
     activity, users = world.frames(activity_of, users_of)
     for op in (engagement.comprehensive_metrics, trends.overview_trend, retention.retention):
         assert op(activity, users, START, END).collect() == op(activity.distinct(), users, START, END).collect()
+
+
+def test_tables_over_features_equal_single_reports(world, activity_of, users_of):
+    activity, users = world.frames(activity_of, users_of)
+    metrics = engagement.metrics_by_feature(activity, users, START, END).collect()
+    kept = retention.retention_by_feature(activity, users, START, END).collect()
+    assert {r["feature"] for r in metrics} == {r["feature"] for r in kept} == set(FEATURES)
+    feature = FEATURES[len(world.facts) % len(FEATURES)]
+    for table, op in ((metrics, engagement.feature_metrics), (kept, retention.retention)):
+        (row,) = (r.asDict() for r in table if r["feature"] == feature)
+        row.pop("feature")
+        assert one(op(activity, users, START, END, feature)) == row
+
+
+def test_series_equals_the_three_trends(world, activity_of):
+    activity = activity_of((u, str(d), f) for u, d, f in world.rows)
+    series = trends.active_user_series(activity, START, END).collect()
+    for granularity in trends.SERIES_COLUMNS:
+        trend = trends.active_user_trend(activity, START, END, granularity).collect()
+        picked = sorted((r["period_start"], r["users"]) for r in series if r["granularity"] == granularity)
+        assert picked == [tuple(r) for r in trend]

@@ -154,6 +154,23 @@ def count_weeks(prefix: str, bits: int) -> str:
     return f"CAST({' + '.join(map(weeks, word_names(prefix, bits)))} AS bigint)"
 
 
+def next_bit(prefix: str, bits: int, after: str) -> str:
+    """SQL for the first set bit beyond position ``after``, NULL without one.
+
+    ``x & -x`` keeps the lowest set bit, and the ones below it count its place.
+    """
+    found = []
+    for k, name in enumerate(word_names(prefix, bits)):
+        low = k * WORD_BITS
+        first = f"({after} + 1 - {low})"
+        rest = (
+            f"(CASE WHEN {first} <= 0 THEN {name} WHEN {first} >= {WORD_BITS} THEN 0L "
+            f"ELSE {name} & shiftleft(-1L, {first}) END)"
+        )
+        found.append(f"CASE WHEN {rest} <> 0 THEN {low} + bit_count(({rest} & -{rest}) - 1) END")
+    return f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
+
+
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     """``(period_start, period_end)``, one row per period."""
     rows = [

@@ -97,25 +97,19 @@ def comprehensive_metrics(
     return totals.withColumns(averages).select(*comprehensive_columns(features))
 
 
-def feature_metrics(
-    activity: DataFrame,
-    users: DataFrame,
-    start: date | str,
-    end: date | str,
-    feature: str,
-    features: Sequence[str] = FEATURES,
-) -> DataFrame:
-    """One row of metrics for a single feature over ``[start, end]``.
+FEATURE_METRICS = [
+    "total_active_users", "first_time_users", "recurring_users",
+    "avg_dau", "avg_wau", "avg_mau", "stickiness",
+]
 
-    A first-time user here signed up within the period and first used the feature
-    within it on or after the signup date; `comprehensive_metrics` instead asks for
-    the first activity ever. ``stickiness`` is avg DAU over avg MAU, 0 if undefined.
-    """
-    period = Period.of(start, end)
-    chosen = of_feature(activity, feature, features)
+
+def _feature_users(
+    activity: DataFrame, users: DataFrame, period: Period, keys: Sequence[str]
+) -> DataFrame:
+    """A row per user (and other keys) of the period, with the signup if within it."""
     per_user = (
-        chosen.filter(period.holds(F.col("activity_date")))
-        .groupBy("user_id")
+        activity.filter(period.holds(F.col("activity_date")))
+        .groupBy("user_id", *keys)
         .agg(
             F.min("activity_date").alias("first_in_period"),
             *rollup.calendar_marks("true", positions_in(period), period.days),
@@ -127,24 +121,72 @@ def feature_metrics(
         .filter(period.holds(F.col("signup_date")))
         .select("user_id", "signup_date")
     )
-    sums, averages = rollup.average_active_users(period.days)
-    totals = per_user.join(signups, "user_id", "left").agg(
+    return per_user.join(signups, "user_id", "left")
+
+
+def _feature_counts(period: Period) -> tuple[list[Column], dict[str, Column]]:
+    """Aggregates over ``_feature_users``, and the columns derived from them."""
+    sums, derived = rollup.average_active_users(period.days)
+    counts = [
         F.count("user_id").alias("total_active_users"),
         F.count_if(F.col("first_in_period") >= F.col("signup_date")).alias("first_time_users"),
         F.count_if(F.col("active_days") > 1).alias("recurring_users"),
-        *sums,
+    ]
+    return [*counts, *sums], derived
+
+
+def _with_stickiness(metrics: DataFrame) -> DataFrame:
+    """Average DAU over average MAU, 0 if undefined."""
+    return metrics.withColumn(
+        "stickiness", F.coalesce(ratio(F.col("avg_dau"), F.col("avg_mau")), F.lit(0.0))
     )
-    stickiness = F.coalesce(
-        ratio(F.coalesce("avg_dau", F.lit(0.0)), F.col("avg_mau")), F.lit(0.0)
+
+
+def feature_metrics(
+    activity: DataFrame,
+    users: DataFrame,
+    start: date | str,
+    end: date | str,
+    feature: str,
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """One row of metrics for a single feature over ``[start, end]``.
+
+    A first-time user here signed up within the period and first used the feature
+    within it on or after the signup date; `comprehensive_metrics` instead asks for
+    the first activity ever. ``stickiness`` is average DAU over average MAU.
+    """
+    period = Period.of(start, end)
+    chosen = of_feature(activity, feature, features)
+    counts, derived = _feature_counts(period)
+    totals = _feature_users(chosen, users, period, []).agg(*counts)
+    return _with_stickiness(totals.withColumns(derived)).select(*FEATURE_METRICS)
+
+
+def metrics_by_feature(
+    activity: DataFrame,
+    users: DataFrame,
+    start: date | str,
+    end: date | str,
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """`feature_metrics` of every feature, one row each, from a single pass."""
+    period = Period.of(start, end)
+    listed = activity.filter(F.col("feature").isin(*features))
+    counts, derived = _feature_counts(period)
+    found = _feature_users(listed, users, period, ["feature"]).groupBy("feature").agg(*counts)
+    found = found.withColumns(derived).select("feature", *FEATURE_METRICS[:-1])
+    # A feature nobody used still has its row of zeros.
+    everything = activity.sparkSession.range(1).select(
+        F.explode(F.array(*map(F.lit, features))).alias("feature")
     )
-    return (
-        totals.withColumns(averages)
-        .withColumn("stickiness", stickiness)
-        .select(
-            "total_active_users", "first_time_users", "recurring_users",
-            "avg_dau", "avg_wau", "avg_mau", "stickiness",
+    merged = everything.unionByName(found, allowMissingColumns=True).groupBy("feature").agg(
+        *(
+            F.expr(f"max({m}) AS {m}" if m.startswith("avg") else f"coalesce(max({m}), 0) AS {m}")
+            for m in FEATURE_METRICS[:-1]
         )
     )
+    return _with_stickiness(merged).select("feature", *FEATURE_METRICS)
 
 
 def churn_count(activity: DataFrame, start: date | str, end: date | str) -> DataFrame:

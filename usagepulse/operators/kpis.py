@@ -23,6 +23,7 @@ from usagepulse.operators.retention import (
     first_returns,
     retained_counts,
     retention_ratios,
+    signups_within,
 )
 from usagepulse.sources.registry import FEATURE_LABELS, FEATURES
 
@@ -117,18 +118,13 @@ def retention_by_period(
     """Signups per period with retention percentages, seen up to the period's end."""
     keys = _keys(by)
     days = day_map(activity.sparkSession, [Period(p.start, p.end) for p in periods])
-    first_day, last_day = min(p.start for p in periods), max(p.end for p in periods)
-    signups = (
-        unrestricted(users)
-        .filter(F.col("signup_date").between(F.lit(first_day), F.lit(last_day)))
-        .select("user_id", "signup_date", *([by] if by else []))
-    )
-    seen = activity.filter(F.col("activity_date").between(F.lit(first_day), F.lit(last_day)))
+    reach = Period(min(p.start for p in periods), max(p.end for p in periods))
+    signups = signups_within(users, reach, *([by] if by else []))
     placed = days.filter("in_period").select(
         F.col("day").alias("signup_date"), "period_start", "period_end"
     )
     counted = (
-        first_returns(signups, seen)
+        first_returns(signups, activity, reach, "left")
         .join(placed, "signup_date")
         .groupBy(*keys)
         .agg(F.count("*").alias("total_signups"), *retained_counts(F.col("period_end")))
@@ -522,6 +518,19 @@ def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None)
     return _advice_rows(merged, keys, F.expr(f"array_compact(array({', '.join(fired)}))"))
 
 
+def feature_insights(retained: DataFrame) -> DataFrame:
+    """Retention insights per feature, from `retention_by_feature`.
+
+    Features have no signups of their own, so activation is never judged for them.
+    """
+    fired = [
+        _advice_if(f"day1_percent < {DAY1_LOW}", LOW_DAY1, "day1_percent"),
+        _advice_if(f"week1_percent > {WEEK1_HIGH}", HIGH_WEEK1, "week1_percent"),
+    ]
+    advice = F.expr(f"array_compact(array({', '.join(fired)}))")
+    return _advice_rows(retained, ["feature"], advice)
+
+
 def recommendations(
     usage: DataFrame,
     by: str | None = None,

@@ -14,30 +14,37 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagepulse.functions.calendar import Period, as_date
+from usagepulse.functions import calendar
+from usagepulse.functions.calendar import Period
 from usagepulse.functions.numeric import ratio
-from usagepulse.operators.engagement import unrestricted
+from usagepulse.operators.engagement import positions_in, unrestricted
 from usagepulse.sources.registry import FEATURES, of_feature
 
 # Days after signup that still count, per horizon; day 1 has to be exact.
 HORIZONS = {"day1": 1, "week1": 7, "month1": 30}
 
 
-def first_returns(signups: DataFrame, activity: DataFrame) -> DataFrame:
+def first_returns(
+    signups: DataFrame, activity: DataFrame, period: Period, how: str, by: Sequence[str] = ()
+) -> DataFrame:
     """Adds ``first_return`` to each signup: its first activity on a later date.
 
-    Activity shrinks to one row per user and date before it meets the signups, so
-    no user brings more rows to the join than the range has days.
+    Activity of the period shrinks to one row of day bits per user (and ``by``) on
+    the map side, meets the signups on the same key, and the return is the next set
+    bit after the signup. So activity is shuffled once, one row per user.
     """
-    days = activity.select("user_id", "activity_date").distinct()
-    return (
-        signups.join(days, "user_id", "left")
-        .groupBy(*signups.columns)
-        .agg(
-            F.min(
-                F.when(F.col("activity_date") > F.col("signup_date"), F.col("activity_date"))
-            ).alias("first_return")
-        )
+    bits = calendar.bitmap_lengths(period.days)["day"]
+    position = positions_in(period)["day"]
+    per_user = (
+        activity.filter(period.holds(F.col("activity_date")))
+        .groupBy("user_id", *by)
+        .agg(*calendar.mark_bits(position, "true", "day", bits))
+    )
+    monday = f"trunc(DATE'{period.start}', 'week')"
+    after = f"date_diff(signup_date, {monday})"
+    returned = F.expr(f"date_add({monday}, {calendar.next_bit('day', bits, after)})")
+    return signups.join(per_user, "user_id", how).select(
+        *signups.columns, *by, returned.alias("first_return")
     )
 
 
@@ -52,17 +59,25 @@ def retained_counts(seen_until: Column) -> list[Column]:
     ]
 
 
-def retention_ratios(signups: str = "total_signups") -> dict[str, Column]:
+def retention_ratios() -> dict[str, Column]:
     """Ratio per horizon (NULL without signups) and the same as a percentage (then 0)."""
     columns: dict[str, Column] = {}
     for name in HORIZONS:
-        columns[f"{name}_retention"] = ratio(F.col(f"{name}_users"), F.col(signups))
+        columns[f"{name}_retention"] = ratio(F.col(f"{name}_users"), F.col("total_signups"))
     for name in HORIZONS:
-        percent = ratio(F.col(f"{name}_users"), F.col(signups)) * 100
+        percent = ratio(F.col(f"{name}_users"), F.col("total_signups")) * 100
         columns[f"{name}_percent"] = F.coalesce(percent, F.lit(0.0))
     return columns
 
 
+def signups_within(users: DataFrame, period: Period, *extra: str) -> DataFrame:
+    return (
+        unrestricted(users)
+        .filter(period.holds(F.col("signup_date")) & F.col("user_id").isNotNull())
+        .select("user_id", "signup_date", *extra)
+    )
+
+
 def retention(
     activity: DataFrame,
     users: DataFrame,
@@ -73,14 +88,39 @@ def retention(
 ) -> DataFrame:
     """Signups of ``[start, end]`` and their day-1, week-1 and month-1 retention."""
     period = Period.of(start, end)
-    signups = (
-        unrestricted(users)
-        .filter(period.holds(F.col("signup_date")) & F.col("user_id").isNotNull())
-        .select("user_id", "signup_date")
-    )
-    seen = of_feature(activity, feature, features).filter(period.holds(F.col("activity_date")))
-    totals = first_returns(signups, seen).agg(
-        F.count("*").alias("total_signups"), *retained_counts(F.lit(as_date(end)))
+    chosen = of_feature(activity, feature, features)
+    totals = first_returns(signups_within(users, period), chosen, period, "left").agg(
+        F.count("*").alias("total_signups"), *retained_counts(F.lit(period.end))
     )
     ratios = retention_ratios()
     return totals.select("total_signups", *(c.alias(n) for n, c in ratios.items()))
+
+
+def retention_by_feature(
+    activity: DataFrame,
+    users: DataFrame,
+    start: date | str,
+    end: date | str,
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """`retention` of every feature, one row each, from a single pass over activity."""
+    period = Period.of(start, end)
+    signups = signups_within(users, period)
+    listed = F.explode(F.array(*map(F.lit, features))).alias("feature")
+    # One row of totals, repeated per feature: every feature has the same cohort.
+    cohort = signups.agg(F.count("*").alias("total_signups")).select(listed, "total_signups")
+    kept = (
+        first_returns(
+            signups, activity.filter(F.col("feature").isin(*features)), period, "inner", ["feature"]
+        )
+        .groupBy("feature")
+        .agg(*retained_counts(F.lit(period.end)))
+    )
+    counts = ["total_signups", *(f"{name}_users" for name in HORIZONS)]
+    totals = (
+        cohort.unionByName(kept, allowMissingColumns=True)
+        .groupBy("feature")
+        .agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts))
+    )
+    ratios = retention_ratios()
+    return totals.select("feature", "total_signups", *(c.alias(n) for n, c in ratios.items()))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagepulse.functions.calendar import Period, spine, truncate
+from usagepulse.functions.calendar import GRANULARITIES, Period, spine, truncate
 from usagepulse.operators import rollup
 from usagepulse.operators.engagement import unrestricted
 from usagepulse.sources.registry import FEATURES, of_feature
@@ -46,6 +46,35 @@ def active_user_trend(
     )
 
 
+def active_user_series(
+    activity: DataFrame,
+    start: date | str,
+    end: date | str,
+    feature: str | None = None,
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """The daily, weekly and monthly series as ``(granularity, period_start, users)``.
+
+    One pass for all three: each row counts for its day, week and month, and repeats
+    merge on the map side.
+    """
+    period = Period.of(start, end)
+    day = F.col("activity_date")
+    buckets = F.array(
+        *(
+            F.struct(F.lit(g).alias("granularity"), truncate(day, g).alias("period_start"))
+            for g in GRANULARITIES
+        )
+    )
+    return (
+        of_feature(activity, feature, features)
+        .filter(period.holds(day))
+        .select("user_id", F.inline(buckets))
+        .groupBy("granularity", "period_start")
+        .agg(F.count_distinct("user_id").alias("users"))
+    )
+
+
 def overview_columns(features: Sequence[str]) -> list[str]:
     return [
         "signups", "active_users", *(f"{f}_users" for f in features),
@@ -153,18 +182,22 @@ def melt_trend(
     metrics: Sequence[str],
     granularity: str,
     smooth: bool = False,
+    labels: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Selected columns of an overview trend as ``(activity_date, metric, count)``.
 
+    ``labels`` gives the metric names to show instead of the column names.
+
     ``smooth`` replaces daily and weekly counts by a trailing mean of up to 7 days
     or 4 weeks, shorter at the start of the series; monthly counts stay as they are.
     """
     unknown = sorted(set(metrics) - set(trend.columns))
     if unknown:
         raise ValueError(f"unknown trend metrics {unknown}")
+    names = {m: (labels or {}).get(m, m) for m in metrics}
     melted = trend.select(
-        "activity_date", *(F.col(m).cast("double").alias(m) for m in metrics)
-    ).unpivot(["activity_date"], list(metrics), "metric", "count")
+        "activity_date", *(F.col(m).cast("double").alias(name) for m, name in names.items())
+    ).unpivot("activity_date", [F.col(f"`{name}`") for name in names.values()], "metric", "count")
     rows = SMOOTHING_ROWS.get(granularity)
     if not smooth or rows is None:
         return melted

@@ -209,6 +209,11 @@ SELECT signups AS total_signups, {ratios}, {percents} FROM counted
 """
 
 
+def _by_feature(single) -> str:
+    """One oracle per feature, stacked."""
+    return " UNION ALL ".join(f"SELECT '{f}' AS feature, * FROM ({single(f)})" for f in FEATURES)
+
+
 def _trend(
     profile: str, window: tuple[str, str], unit: str, names: tuple[str, str], feature: str | None = None
 ) -> str:
@@ -672,6 +677,25 @@ FROM placed a LEFT JOIN placed b ON b.k = 2 WHERE a.k = 1
 """,
         "retention_overall": _retention(COMMERCE, SPRING),
         "retention_events": _retention(EVENTS, EVENT_START),
+        "feature_metrics_all": _by_feature(lambda f: _feature_metrics(f, SPRING)),
+        "retention_by_feature": _by_feature(lambda f: _retention(EVENTS, EVENT_START, f)),
+        "feature_insights": f"""
+WITH retained AS ({_by_feature(lambda f: _retention(EVENTS, EVENT_START, f))})
+SELECT feature, 'low_day1_retention' AS rule_id, 'Day 1 Retention Needs Attention' AS title,
+       format('Only {{:.1f}}% of users return the next day.', day1_percent) AS insight,
+       'Implement push notifications and email sequences for new users.' AS recommendation
+FROM retained WHERE day1_percent < 20
+UNION ALL
+SELECT feature, 'high_week1_retention', 'Strong Week 1 Retention',
+       format('{{:.1f}}% of users return within a week.', week1_percent),
+       'Focus on converting these engaged users to power users.'
+FROM retained WHERE week1_percent > 50
+""",
+        "trend_series": " UNION ALL ".join(
+            f"SELECT '{unit}' AS granularity, {unit}_start AS period_start, n AS users "
+            f"FROM ({_trend(EVENTS, EVENT_WEEKS, unit, (f'{unit}_start', 'n'))})"
+            for unit in ("day", "week", "month")
+        ),
         "churn_count": f"""
 WITH {COMMERCE}
 SELECT count(*) AS churn_count FROM (
@@ -693,7 +717,11 @@ SELECT (SELECT count(*) FROM person WHERE NOT restricted AND signup_date <= DATE
         "overview_trend_week_zero": (
             f"WITH {_overview(COMMERCE, MIDWEEK, 'week', 'zero')} SELECT * FROM overview"
         ),
-        "overview_trend_melted": _melted(overview_day, ["signups", "active_users"], 1),
+        "overview_trend_melted": f"""
+WITH {overview_day}
+SELECT activity_date, 'Signups' AS metric, CAST(signups AS DOUBLE) AS "count" FROM overview
+UNION ALL SELECT activity_date, 'Active Users', CAST(active_users AS DOUBLE) FROM overview
+""",
         "overview_trend_smoothed": _melted(overview_day, metrics, 7),
         "overview_trend_smoothed_week": _melted(overview_week, metrics, 4),
         "dormant_analysis": f"WITH {COMMERCE}, {_dormant(MARCH)} {_dormant_row()}",

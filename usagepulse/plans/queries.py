@@ -32,6 +32,8 @@ EVENT_START = ("2024-01-01", "2024-01-14")
 MIDWEEK = ("1998-02-18", "1998-05-20")
 DORMANT_DAYS = 30
 
+LABELS = {"signups": "Signups", "active_users": "Active Users"}
+
 # Users active on day ``activity_date``, as parameterised SQL over a view.
 DAILY_USERS_SQL = """
     SELECT activity_date, count(DISTINCT user_id) AS dau
@@ -119,9 +121,15 @@ def all_queries() -> dict[str, Query]:
         "combination_highlights": _then(combos, combinations.combination_highlights),
         "retention_overall": _on_both(COMMERCE, retention.retention, *SPRING),
         "retention_events": _on_both(EVENTS, retention.retention, *EVENT_START),
+        "feature_metrics_all": _on_both(COMMERCE, engagement.metrics_by_feature, *SPRING),
+        "retention_by_feature": _on_both(EVENTS, retention.retention_by_feature, *EVENT_START),
+        "feature_insights": _then(
+            _on_both(EVENTS, retention.retention_by_feature, *EVENT_START), kpis.feature_insights
+        ),
         "churn_count": _on_activity(COMMERCE, engagement.churn_count, *MARCH),
         "absolute_metrics": _on_both(COMMERCE, engagement.absolute_metrics, MARCH[1]),
         "trend_dau_sql": _daily_users_sql,
+        "trend_series": _on_activity(EVENTS, trends.active_user_series, *EVENT_WEEKS),
         "overview_trend_day": overview,
         "overview_trend_week": by_week,
         "overview_trend_month": _on_both(COMMERCE, trends.overview_trend, *YEAR, "month"),
@@ -129,7 +137,7 @@ def all_queries() -> dict[str, Query]:
             COMMERCE, trends.overview_trend, *MIDWEEK, "week", fill="zero"
         ),
         "overview_trend_melted": _then(
-            overview, trends.melt_trend, ["signups", "active_users"], "day"
+            overview, trends.melt_trend, ["signups", "active_users"], "day", labels=LABELS
         ),
         "overview_trend_smoothed": _then(overview, trends.melt_trend, metrics, "day", smooth=True),
         "overview_trend_smoothed_week": _then(
