@@ -154,6 +154,16 @@ def count_weeks(prefix: str, bits: int) -> str:
     return f"CAST({' + '.join(map(weeks, word_names(prefix, bits)))} AS bigint)"
 
 
+def set_positions(prefix: str, bits: int) -> str:
+    """SQL for the array of set positions, which unfolds a bitmap inside its row."""
+    words = (
+        f"transform(filter(sequence(0, {WORD_BITS - 1}), i -> getbit({name}, i) = 1), "
+        f"i -> i + {k * WORD_BITS})"
+        for k, name in enumerate(word_names(prefix, bits))
+    )
+    return f"flatten(array({', '.join(words)}))"
+
+
 def next_bit(prefix: str, bits: int, after: str) -> str:
     """SQL for the first set bit beyond position ``after``, NULL without one.
 

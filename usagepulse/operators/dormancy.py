@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagepulse.functions import calendar
 from usagepulse.functions.calendar import Period
 from usagepulse.functions.numeric import percent, round1_half_even
 from usagepulse.operators import rollup
@@ -80,21 +81,30 @@ def dormant_trend(
 
     Counts the historical users seen on each date and subtracts, so no user is
     paired with a date they were absent. A date on which everyone came has no row.
+    Activity is shuffled once, as one row of day bits per user, and unfolds into
+    dates only to be counted per date on the spot.
     """
     period = Period.of(start, end, dormant_days)
     day = F.col("activity_date")
+    bits = dormant_days + period.days
+    opening = f"DATE'{period.history_start}'"
     user_days = (
         activity.filter(day.between(F.lit(period.history_start), F.lit(period.end)))
-        .select("user_id", "activity_date")
-        .distinct()
-        .withColumn("first_day", F.min("activity_date").over(Window.partitionBy("user_id")))
+        .groupBy("user_id")
+        .agg(*calendar.mark_bits(f"date_diff(activity_date, {opening})", "true", "day", bits))
+        .selectExpr(
+            "user_id",
+            f"{calendar.next_bit('day', bits, '-1')} AS first_pos",
+            f"explode({calendar.set_positions('day', bits)}) AS pos",
+        )
+        .withColumn("activity_date", F.expr(f"date_add({opening}, pos)"))
     )
     # The range opens with the history, so a first day up to the start of the
     # period means historical; each such user is counted once, on that day.
-    historical = (F.col("first_day") <= period.start) & F.col("user_id").isNotNull()
+    historical = (F.col("first_pos") <= dormant_days) & F.col("user_id").isNotNull()
     per_date = user_days.groupBy("activity_date").agg(
         F.count_if(historical).alias("seen"),
-        F.count_if(historical & (day == F.col("first_day"))).alias("joined"),
+        F.count_if(historical & (F.col("pos") == F.col("first_pos"))).alias("joined"),
     )
     # One row per date of the range: the unpartitioned window is as small as it.
     everyone = F.sum("joined").over(Window.partitionBy())
