@@ -112,21 +112,31 @@ def word_names(prefix: str, bits: int) -> list[str]:
     return [f"{prefix}_bits{k}" for k in range(-(-bits // WORD_BITS))]
 
 
-def mark_bits(position: str, inside: str, prefix: str, bits: int) -> list[Column]:
-    """Aggregates setting bit ``position`` for every row that is ``inside``."""
-    names = word_names(prefix, bits)
+def _words(position: str, inside: str, bits: int) -> list[str]:
+    # Two comparisons instead of BETWEEN, which would bind ``position`` to a column of
+    # its own for every word.
+    count = -(-bits // WORD_BITS)
     words = []
-    for k, name in enumerate(names):
-        low = k * WORD_BITS
+    for low in range(0, count * WORD_BITS, WORD_BITS):
         here, bit = inside, position
-        if len(names) > 1:
-            here = f"{inside} AND {position} BETWEEN {low} AND {low + WORD_BITS - 1}"
+        if count > 1:
+            here = f"{inside} AND {position} >= {low} AND {position} < {low + WORD_BITS}"
             bit = f"{position} - {low}"
-        marked = f"bit_or(CASE WHEN {here} THEN shiftleft(1L, {bit}) END)"
-        words.append(F.expr(f"coalesce({marked}, 0L) AS {name}"))
+        words.append(f"coalesce(bit_or(CASE WHEN {here} THEN shiftleft(1L, {bit}) END), 0L)")
     return words
 
 
+def mark_bits(position: str, inside: str, prefix: str, bits: int) -> list[Column]:
+    """Aggregates setting bit ``position`` for every row that is ``inside``."""
+    words = zip(_words(position, inside, bits), word_names(prefix, bits))
+    return [F.expr(f"{word} AS {name}") for word, name in words]
+
+
+def mark_bit_array(position: str, inside: str, name: str, bits: int) -> Column:
+    """The same bitmap as one array column, which spares the optimizer a long one."""
+    return F.expr(f"array({', '.join(_words(position, inside, bits))}) AS {name}")
+
+
 def merge_bits(prefix: str, bits: int) -> list[Column]:
     """Aggregates uniting finished bitmaps."""
     return [F.expr(f"bit_or({name}) AS {name}") for name in word_names(prefix, bits)]
@@ -164,21 +174,34 @@ def set_positions(prefix: str, bits: int) -> str:
     return f"flatten(array({', '.join(words)}))"
 
 
-def next_bit(prefix: str, bits: int, after: str) -> str:
-    """SQL for the first set bit beyond position ``after``, NULL without one.
+def with_next_bit(frame: DataFrame, words: str, after: str) -> DataFrame:
+    """Adds ``next_pos``, the first set bit beyond ``after`` in its word or the one following.
 
-    ``x & -x`` keeps the lowest set bit, and the ones below it count its place.
+    So it looks at least ``WORD_BITS`` positions ahead and is NULL if all are clear.
+    Picking two words keeps the expression the same for any length of bitmap.
     """
-    found = []
-    for k, name in enumerate(word_names(prefix, bits)):
-        low = k * WORD_BITS
-        first = f"({after} + 1 - {low})"
-        rest = (
-            f"(CASE WHEN {first} <= 0 THEN {name} WHEN {first} >= {WORD_BITS} THEN 0L "
-            f"ELSE {name} & shiftleft(-1L, {first}) END)"
-        )
-        found.append(f"CASE WHEN {rest} <> 0 THEN {low} + bit_count(({rest} & -{rest}) - 1) END")
-    return f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
+
+    def lowest(word: str, number: str) -> str:
+        # x & -x keeps the lowest set bit, and the ones below it count its place.
+        return f"{number} * {WORD_BITS} + bit_count(({word} & -{word}) - 1)"
+
+    kept = frame.columns
+    located = frame.selectExpr(
+        *kept,
+        f"CAST({after} + 1 AS int) AS from_pos",
+        f"CAST(({after} + 1) DIV {WORD_BITS} AS int) AS word_no",
+    )
+    picked = located.selectExpr(
+        *kept,
+        "word_no",
+        f"get({words}, word_no) & shiftleft(-1L, from_pos - word_no * {WORD_BITS}) AS this_word",
+        f"get({words}, word_no + 1) AS following_word",
+    )
+    return picked.selectExpr(
+        *kept,
+        f"CASE WHEN this_word <> 0 THEN {lowest('this_word', 'word_no')} "
+        f"WHEN following_word <> 0 THEN {lowest('following_word', '(word_no + 1)')} END AS next_pos",
+    )
 
 
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:

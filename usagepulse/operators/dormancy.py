@@ -91,20 +91,19 @@ def dormant_trend(
     user_days = (
         activity.filter(day.between(F.lit(period.history_start), F.lit(period.end)))
         .groupBy("user_id")
-        .agg(*calendar.mark_bits(f"date_diff(activity_date, {opening})", "true", "day", bits))
-        .selectExpr(
-            "user_id",
-            f"{calendar.next_bit('day', bits, '-1')} AS first_pos",
-            f"explode({calendar.set_positions('day', bits)}) AS pos",
+        .agg(
+            F.min("activity_date").alias("first_day"),
+            *calendar.mark_bits(f"date_diff(activity_date, {opening})", "true", "day", bits),
         )
+        .selectExpr("user_id", "first_day", f"explode({calendar.set_positions('day', bits)}) AS pos")
         .withColumn("activity_date", F.expr(f"date_add({opening}, pos)"))
     )
     # The range opens with the history, so a first day up to the start of the
     # period means historical; each such user is counted once, on that day.
-    historical = (F.col("first_pos") <= dormant_days) & F.col("user_id").isNotNull()
+    historical = (F.col("first_day") <= period.start) & F.col("user_id").isNotNull()
     per_date = user_days.groupBy("activity_date").agg(
         F.count_if(historical).alias("seen"),
-        F.count_if(historical & (F.col("pos") == F.col("first_pos"))).alias("joined"),
+        F.count_if(historical & (day == F.col("first_day"))).alias("joined"),
     )
     # One row per date of the range: the unpartitioned window is as small as it.
     everyone = F.sum("joined").over(Window.partitionBy())

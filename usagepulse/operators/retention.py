@@ -31,20 +31,21 @@ def first_returns(
 
     Activity of the period shrinks to one row of day bits per user (and ``by``) on
     the map side, meets the signups on the same key, and the return is the next set
-    bit after the signup. So activity is shuffled once, one row per user.
+    bit after the signup. So activity is shuffled once, one row per user. A return
+    too late for every horizon may be left NULL.
     """
     bits = calendar.bitmap_lengths(period.days)["day"]
     position = positions_in(period)["day"]
     per_user = (
         activity.filter(period.holds(F.col("activity_date")))
         .groupBy("user_id", *by)
-        .agg(*calendar.mark_bits(position, "true", "day", bits))
+        .agg(calendar.mark_bit_array(position, "true", "active_days", bits))
     )
     monday = f"trunc(DATE'{period.start}', 'week')"
-    after = f"date_diff(signup_date, {monday})"
-    returned = F.expr(f"date_add({monday}, {calendar.next_bit('day', bits, after)})")
-    return signups.join(per_user, "user_id", how).select(
-        *signups.columns, *by, returned.alias("first_return")
+    joined = signups.join(per_user, "user_id", how)
+    found = calendar.with_next_bit(joined, "active_days", f"date_diff(signup_date, {monday})")
+    return found.selectExpr(
+        *signups.columns, *by, f"date_add({monday}, CAST(next_pos AS int)) AS first_return"
     )
 
 
