@@ -7,6 +7,7 @@ import pytest
 from conftest import TESTDATA
 from usagepulse.operators import engagement
 from usagepulse.plans.queries import all_queries
+from usagepulse.sources.registry import DimensionJoin, FeatureSource, build_events
 
 ROOT = f"{TESTDATA}/sf0.001"
 QUERIES = all_queries()
@@ -109,3 +110,30 @@ def test_hot_user_is_combined_before_the_shuffle(spark):
     per_exchange = records_shuffled(result)
     # Eight map tasks hold at most 51 users each.
     assert per_exchange and max(per_exchange) <= 8 * 51
+
+
+def test_hot_join_key_is_merged_before_the_join(no_broadcast):
+    """A plan with most of the transactions reaches its join as one row per date."""
+    spark = no_broadcast
+    transactions = spark.range(0, 80_000, 1, 8).selectExpr(
+        "IF(id % 4 = 0, id, 7) AS plan_id",
+        "CAST(date_add(DATE'2024-03-01', CAST(id % 5 AS int)) AS timestamp) AS updated_at",
+    )
+    plans = spark.range(0, 80_000, 1, 4).selectExpr("id", "CAST(id AS string) AS user_id")
+    tables = {"transactions": transactions, "plans": plans}
+
+    def shuffled(merge_repeats):
+        join = DimensionJoin("plans", "plan_id", "id", merge_repeats=merge_repeats)
+        source = FeatureSource("savings", "transactions", "user_id", "updated_at", join=join)
+        events = build_events(tables.__getitem__, [source])
+        result = (events.distinct().count(), events.select("user_id").distinct().count())
+        events.collect()
+        return result, records_shuffled(events)
+
+    merged, written = shuffled(True)
+    plain, unmerged = shuffled(False)
+    # One date for each cold plan, five for the hot one.
+    assert merged == plain == (20_000 + 5, 20_000 + 1)
+    # The fact's own rows: 20,000 cold ones, and five dates of the hot key per map task.
+    assert 80_000 in unmerged
+    assert max(w for w in written if w != 80_000) <= 20_000 + 8 * 5
