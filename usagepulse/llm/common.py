@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import usagepulse
+
 # A word is a run of code points other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,7 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let the Python workers of this session import the package from where it lies."""
+    place = str(Path(usagepulse.__file__).parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if place not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [place, known]))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

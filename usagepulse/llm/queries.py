@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagepulse.llm import simhash
+from usagepulse.llm import quality_rules, simhash
 from usagepulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,14 @@ def op3_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs).select("doc_id", "_rules.*")
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op5_quality_rules": op5_quality_rules,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
     }
 
