@@ -30,7 +30,7 @@ BAD, ABSTAIN, GOOD = 0, 1, 2
 # becomes the bad class and other kinds are explained as good documents that a rule
 # happens to dislike.
 EXPECTED = ((0.3, 0.2, 0.5), (0.002, 0.1, 0.898))
-EXPECTED_WEIGHT = 4.0
+EXPECTED_WEIGHT = 10.0
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES)
     return good
 
 
-def _measure(text: str):
+def _measure(text: str, keep: list[str]):
     names = list(BASE) + ["pattern"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +123,14 @@ def _measure(text: str):
             ratios = np.array([r for _, r in found]).reshape(len(found), len(RATIOS))
             columns = [pa.array(c) for c in base.T] + [pa.array(vote_patterns(ratios))]
             struct = pa.StructArray.from_arrays(columns, names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, "_rules"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), struct], [*keep, "_rules"])
 
     kind = StructType([StructField(n, LongType()) for n in names])
     return run, kind
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_rules``: base counts, ``posterior``, ``kept``.
+def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with a struct column ``_rules``: base counts, ``posterior``, ``kept``.
 
     Also holds ``base_failed``: fewer than MIN_WORDS words, or more than
     MAX_REPEAT_PERCENT of the words in repeated windows. A null or empty text has no word
@@ -139,8 +139,9 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     empty result.
     """
     docs = docs.drop("_rules")
-    run, kind = _measure(text)
-    schema = StructType([*docs.schema.fields, StructField("_rules", kind)])
+    keep = docs.columns if keep is None else keep
+    run, kind = _measure(text, keep)
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("_rules", kind)])
     measured = materialise(docs.mapInArrow(run, schema), "rules")
     counted = measured.groupBy(F.col("_rules.pattern").alias("pattern")).count().toPandas()
     patterns = counted["pattern"].to_numpy(np.int64)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from usagepulse.llm import quality_rules, simhash
-from usagepulse.llm.common import table
+from usagepulse.llm import mixing, quality_rules, simhash, warc
+from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,17 +17,102 @@ def op3_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = materialise(sized, "sizes")
+    return mixing.mix(sized).select(
+        "doc_id",
+        "size",
+        "_mix.source_size",
+        "_mix.target",
+        "_mix.taken",
+        "_mix.copies",
+        F.get("_mix.times", F.lit(0)).alias("first_time"),
+    )
+
+
+SOURCE_MIXING_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src,
+        md5(coalesce(doc_id::VARCHAR, '')) AS pos,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    FROM documents
+), sources AS (
+    SELECT none, src, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (ORDER BY none, src) AS place FROM sources
+), weighed AS (
+    SELECT *, [3.0::DOUBLE, 1.0, 2.0][((place - 1) % 3 + 1)::INT] AS weight,
+        [-0.5::DOUBLE, 0.0, 0.5][((place - 1) % 3 + 1)::INT] AS slope
+    FROM ranked
+), shares AS (
+    SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)::DOUBLE
+        - coalesce(sum(2.0::DOUBLE * source_size) OVER (
+            ORDER BY 2.0::DOUBLE * source_size / weight, place
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (
+            ORDER BY 2.0::DOUBLE * source_size / weight, place
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+    FROM weighed
+), targets AS (
+    SELECT none, src, source_size, slope, least(2.0::DOUBLE * source_size,
+        (SELECT max(share) FROM shares WHERE share <= 2.0::DOUBLE * source_size / weight)
+        * weight) AS target
+    FROM shares
+), placed AS (
+    SELECT doc_id, size, source_size, target, slope,
+        CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes,
+        coalesce(sum(size) OVER (
+            PARTITION BY none, src ORDER BY pos, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + size / 2.0::DOUBLE AS middle
+    FROM sized JOIN targets USING (none, src)
+), counted AS (
+    SELECT *, passes + (middle < target - passes * source_size)::BIGINT AS copies FROM placed
+)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies,
+    CASE WHEN copies > 0 THEN
+        2.0::DOUBLE * least(1.0::DOUBLE, middle / target) / (1 - slope
+        + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(1.0::DOUBLE, middle / target)))
+    END AS first_time
+FROM counted
+"""
+
+
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).select("doc_id", "_rules.*")
+    return quality_rules.judge(docs, keep=["doc_id"]).select("doc_id", "_rules.*")
+
+
+def op10_warc(spark: SparkSession, root: str) -> DataFrame:
+    return warc.round_trip(table(spark, root, "pages"))
+
+
+WARC_SQL = """
+WITH keyed AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+        sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), led AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000
+        THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS lead
+    FROM keyed
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN lead <> page_id THEN lead END AS refers_to
+FROM led
+"""
 
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
+        "op10_warc": op10_warc,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_source_mixing": SOURCE_MIXING_SQL, "op10_warc": WARC_SQL}
