@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import mixing, quality_rules, simhash, warc
+from usagepulse.llm import mixing, packing, quality_rules, simhash, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op3_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"))
 
 
+def op1_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -107,6 +111,7 @@ FROM led
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op10_warc": op10_warc,
