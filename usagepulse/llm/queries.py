@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import fingerprints, mixing, packing, quality_rules, simhash, warc
+from usagepulse.llm import fingerprints, mixing, packing, pii, quality_rules, simhash, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,10 @@ def op8_document_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, root, "documents"))
 
 
+def op9_pii(spark: SparkSession, root: str) -> DataFrame:
+    return pii.report(table(spark, root, "documents"))
+
+
 def op10_warc(spark: SparkSession, root: str) -> DataFrame:
     return warc.round_trip(table(spark, root, "pages"))
 
@@ -119,6 +123,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
         "op8_document_fingerprints": op8_document_fingerprints,
+        "op9_pii": op9_pii,
         "op10_warc": op10_warc,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
     }
