@@ -134,7 +134,10 @@ def _terms(text: Column) -> Column:
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """Rows ``(key, entity, context)``: each match in ``texts(key, text)`` with its context terms."""
+    """Rows ``(row, entity, context)``: each match in ``texts`` with its context terms.
+
+    ``row`` numbers the documents; it is fixed once the result is written.
+    """
     text = F.col("text")
 
     def near(kind: str):
@@ -157,27 +160,33 @@ def mentions(texts: DataFrame) -> DataFrame:
         return one
 
     kinds = [F.transform(_base(text, kind), near(kind)) for kind in KINDS]
-    return texts.select("key", F.explode(F.concat(*kinds)).alias("m")).select("key", "m.*")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "text")
+    return numbered.select("row", F.explode(F.concat(*kinds)).alias("m")).select("row", "m.*")
 
 
 def revealing_terms(texts: DataFrame) -> DataFrame:
-    """Terms beyond the disclosure thresholds: ``term, share``, over ``texts(key, text)``.
+    """Terms beyond the disclosure thresholds: ``term, share``, over the column ``text``.
 
-    Counts are of distinct texts, so copies count once. ``share`` is the largest share of a
-    term's texts that hold one entity; the gain in bits is log2 of that share over the
-    entity's own share of all texts.
+    Counts are of documents, copies included on both sides of every share; a term needs
+    MIN_CONTEXTS distinct contexts besides. ``share`` is the largest share of a term's
+    documents that hold one entity; the gain in bits is log2 of that share over the
+    entity's own share of all documents. The documents with a term near any entity bound
+    its documents from below, which rules out common words before they are counted.
     """
     found = materialise(mentions(texts), "mentions")
-    total = texts.select(F.approx_count_distinct("key")).first()[0]
-    entities = found.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
+    total = texts.count()
+    entities = found.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
     pairs = found.select(
-        "key", "entity", F.xxhash64("context").alias("context"), F.explode("context").alias("term")
+        "row", "entity", F.xxhash64("context").alias("context"), F.explode("context").alias("term")
     )
-    # Repeats of a pair in one context or text are merged before anything is moved.
+    # Repeats of a pair in one context or document are merged before anything is moved.
+    near = pairs.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     candidates = materialise(
         pairs.groupBy("entity", "term")
-        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("n_te"))
+        .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_te"))
         .where(F.col("contexts") >= MIN_CONTEXTS)
+        .join(near, "term")
+        .where(F.col("n_te") >= MIN_SHARE * F.col("n_near"))
         .select("entity", "term", "n_te"),
         "candidates",
     )
@@ -185,9 +194,8 @@ def revealing_terms(texts: DataFrame) -> DataFrame:
         return candidates.select("term", F.lit(0.0).alias("share"))
     wanted = candidates.select("term").distinct()
     holding = (
-        texts.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+        texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
         .join(wanted, "term", "left_semi")
-        .distinct()
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
     )
