@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import fingerprints, mixing, packing, pii, quality_rules, simhash, warc
+from usagepulse.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    return quality_classifier.classify(
+        table(spark, root, "documents"), table(spark, root, "labels")
+    )
+
+
 def op4_source_mixing(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -88,6 +94,10 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.judge(docs, keep=["doc_id"]).select("doc_id", "_rules.*")
 
 
+def op7_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.classify(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op8_document_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, root, "documents"))
 
@@ -120,8 +130,10 @@ FROM led
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
+        "op7_toxicity": op7_toxicity,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_pii": op9_pii,
         "op10_warc": op10_warc,
