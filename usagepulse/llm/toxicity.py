@@ -1,6 +1,6 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel compares two words by the three-character subsequences they share, each weighted
+The kernel compares two words by the four-character subsequences they share, each weighted
 down by the gaps it spans, so an insult with letters pulled apart or characters put between
 them stays close to itself. A sentence is as toxic as its worst word, a document as its
 worst sentence.
@@ -27,28 +27,30 @@ from pyspark.sql import functions as F
 from usagepulse.llm.common import bounded_sample, held_out, materialise
 
 SAMPLE = 20_000  # labelled documents the machine is trained on, those of the smallest id hashes
-HARD = 10_000  # clean words that a first machine takes for toxic
+HARD = 6_000  # clean words that a first machine takes for toxic
 SUSPECTS = 5_000  # most telling words of toxic sentences
-CLEAN = 20_000  # words of clean sentences: the most frequent, and as many by hash
-LANDMARKS = 384
-DECAY = 0.6  # weight of a subsequence for every position it spans beyond three
+CLEAN = 12_000  # words of clean sentences: the most frequent, and as many by hash
+LANDMARKS = 320
+DECAY = 0.6  # weight of a subsequence for every position it spans beyond four
 SPAN = 6
 LONG = 24  # a longer word is read in windows of this many characters
 FALSE_SHARE = 0.05  # of the suspects that chance may have put there
-COST = 10.0
+COST = 40.0
 THRESHOLD = 0.5
 NOTHING = -4.0  # decision for a text without words
 CACHE = 1_000_000  # words whose decision a worker remembers
 
 _STRIP = re.compile(r"^\W+|\W+$")
+_INNER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
-_PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+_PATTERNS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def units(text: str) -> set[str]:
-    """Distinct words of a text in lower case: bare of outer punctuation, runs of single
-    characters also joined, long words in overlapping windows."""
+    """Distinct words of a text in lower case: bare of outer punctuation; also bare of
+    inner punctuation; runs of single characters also joined; long words in overlapping
+    windows."""
     words = text.lower().split()
     found = set(words)
     run: list[str] = []
@@ -70,6 +72,9 @@ def units(text: str) -> set[str]:
     for word in found:
         if not word.isalnum():
             word = _STRIP.sub("", word)
+            bare = _INNER.sub("", word)
+            if 1 < len(bare) <= LONG:
+                out.add(bare)
         if len(word) > LONG:
             out.update(word[i : i + LONG] for i in range(0, len(word) - LONG // 2, LONG // 2))
         elif word:
@@ -84,16 +89,19 @@ def sentences(text: str) -> list[str]:
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, weights and word numbers of all subsequences, word boundaries included.
 
-    A key packs three code points. Weights are scaled to unit length by word.
+    A key packs four code points, each folded to 16 bits. Weights are scaled to unit length
+    by word; a word shorter than two characters has none.
     """
     text = "".join(f"^{w}$" for w in words)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    points = (points ^ (points >> np.uint64(16))) & np.uint64(0xFFFF)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     keys, weights, owners = [], [], []
-    for a, b in _PATTERNS:
-        at = np.flatnonzero(owner[:-b] == owner[b:]) if len(owner) > b else np.zeros(0, np.int64)
-        keys.append((points[at] << np.uint64(42)) | (points[at + a] << np.uint64(21)) | points[at + b])
-        weights.append(np.full(len(at), DECAY ** (b - 2)))
+    for a, b, c in _PATTERNS:
+        at = np.flatnonzero(owner[:-c] == owner[c:]) if len(owner) > c else np.zeros(0, np.int64)
+        left = (points[at] << np.uint64(16)) | points[at + a]
+        keys.append((left << np.uint64(32)) | (points[at + b] << np.uint64(16)) | points[at + c])
+        weights.append(np.full(len(at), DECAY ** (c - 3)))
         owners.append(owner[at])
     key, weight, own = map(np.concatenate, (keys, weights, owners))
     # Repeats within a word add up before its length is taken.
@@ -156,7 +164,7 @@ def decisions(machine: Machine, texts: list[str | None], step: int = 256) -> np.
     return out
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
+def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear machine with squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], 1.0)
@@ -224,7 +232,7 @@ def fit(suspects: list[tuple[str, int]], clean: list[tuple[str, int]]) -> Machin
     extra = [(s, n) for i, (w, n) in enumerate(suspects) if len(w) > 3 for s in spoilt(w, i)]
     x = np.vstack([mapped(words), mapped([w for w, _ in extra]), mapped([w for w, _ in clean])])
     y = np.r_[np.ones(len(words) + len(extra)), -np.ones(len(clean))]
-    weight = np.log1p([n for _, n in [*suspects, *extra, *clean]])
+    weight = np.sqrt([n for _, n in [*suspects, *extra, *clean]])
     weight[len(words) : len(words) + len(extra)] *= 0.3
     weight[y > 0] *= (weight[y < 0].sum() / weight[y > 0].sum()) ** 0.5
     w, offset = support_vectors(x, y, weight / weight.mean())
