@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import fingerprints, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from usagepulse.llm import fingerprints, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,12 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality_rules.judge(docs, keep=["doc_id"]).select("doc_id", "_rules.*")
 
 
+def op6_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    """The target is what ``labels`` calls good."""
+    good = table(spark, root, "labels").where("quality = 1 AND doc_id IS NOT NULL")
+    return lm_scoring.score(table(spark, root, "documents"), good)
+
+
 def op7_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.classify(table(spark, root, "documents"), table(spark, root, "labels"))
 
@@ -133,6 +139,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_quality_classifier": op2_quality_classifier,
         "op4_source_mixing": op4_source_mixing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_toxicity": op7_toxicity,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_pii": op9_pii,
