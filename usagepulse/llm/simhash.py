@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagepulse.llm.common import materialise
@@ -57,9 +57,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text")
         values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"]
-        )
+        names = [n for n in batch.schema.names if n != "text"]
+        columns = {n: batch.column(n) for n in names} | {"fp": pa.array(values.view(np.int64))}
+        order = ["doc_id", "fp", *[n for n in names if n != "doc_id"]]
+        yield pa.RecordBatch.from_arrays([columns[n] for n in order], order)
 
 
 def forest(left: np.ndarray, right: np.ndarray | None = None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +231,27 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.withColumnRenamed("lead", "root")
 
 
+def _groups(docs: DataFrame, doc_id: str, text: str, key: str | None) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and ``fp, root, component_id`` of each fingerprint."""
+    columns = [F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")]
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long"
+    if key:
+        columns.append(F.col(key).alias("key"))
+        schema += f", key {docs.schema[key].dataType.simpleString()}"
+    prints = materialise(docs.select(*columns).mapInArrow(_fingerprints, schema), "fingerprints")
+    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
+    roots = materialise(components(links(fps)), "roots")
+    firsts = fps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
+    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    grouped = firsts.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    ids = fps.join(grouped, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "first").alias("component_id"),
+    )
+    return prints, materialise(ids, "components")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
@@ -239,24 +261,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     group of null ids only has a null id). Repeated rows give repeated rows; other
     columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    prints = materialise(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-            _fingerprints, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long"
-        ),
-        "fingerprints",
+    prints, ids = _groups(docs, doc_id, text, None)
+    return prints.join(ids, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-    fps = materialise(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fps"
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, all columns kept.
+
+    That is the row with the smallest ``doc_id`` (nulls last); of several with that id, one
+    of those with the smallest hash of their text. A column ``_row`` is replaced.
+    """
+    columns = [c for c in docs.columns if c != "_row"]
+    row = F.concat_ws(
+        ":",
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
+        F.hex(F.xxhash64(F.col(text).cast("string"))),
     )
-    roots = materialise(components(links(fps)), "roots")
-    firsts = fps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
-    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = firsts.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    ids = (
-        fps.join(grouped, "fp", "left")
-        .select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    marked = docs.withColumn("_row", row)
+    prints, ids = _groups(marked, doc_id, text, "_row")
+    # Merged on the map side: a group of any size leaves each task as one row.
+    chosen = (
+        prints.join(ids, "fp")
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
+        .select(F.col("least.key").alias("_row"))
+        .distinct()
     )
-    ids = materialise(ids, "components")
-    return prints.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    number = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+    return (
+        marked.join(chosen, "_row", "left_semi")
+        .withColumn("_number", number)
+        .where("_number = 1")
+        .select(*columns)
     )
