@@ -1,0 +1,121 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import TESTDATA
+
+from usagepulse.llm import simhash
+
+
+def slow_fingerprint(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_groups(prints):
+    """Place of the group's first member, for each place."""
+    lead = list(range(len(prints)))
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    values = np.array(prints, np.uint64)
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 3) + i + 1:
+            a, b = sorted((top(i), top(int(j))))
+            lead[b] = a
+    return [top(i) for i in range(len(prints))]
+
+
+def expected(rows):
+    prints = [slow_fingerprint(t) for _, t in rows]
+    tops = slow_groups(prints)
+    out = []
+    for (doc_id, _), value, top in zip(rows, prints, tops):
+        ids = [rows[i][0] for i, t in enumerate(tops) if t == top and rows[i][0] is not None]
+        out.append((doc_id, f"{value:016x}", min(ids, default=None)))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=repr)
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "one TWO", "É a\x1cb c d", "a b c " * 50])
+def test_fingerprint_of_awkward_texts(text):
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_documents_match_brute_force(spark, monkeypatch, tile):
+    """With tiles of three, most band values are compared tile by tile."""
+    monkeypatch.setattr(simhash, "MIN_TILE", tile)
+    monkeypatch.setattr(simhash, "TILES", 10**6)
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert found(docs) == expected(rows)
+
+
+def test_a_dense_group_is_joined_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MIN_TILE", 4)
+    monkeypatch.setattr(simhash, "TILES", 10**6)
+    rnd = random.Random(3)
+    values = [0]
+    for _ in range(150):  # a chain of near values, far from each other at its ends
+        values.append(rnd.choice(values) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))
+    values += [rnd.getrandbits(64) for _ in range(50)]
+    values = sorted(set(values))
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    roots = dict(map(tuple, simhash.components(simhash.links(fps)).collect()))
+    tops = slow_groups(values)
+    for i, top in enumerate(tops):
+        same = {roots.get(signed[j], signed[j]) for j, t in enumerate(tops) if t == top}
+        assert same == {roots.get(signed[i], signed[i])}
+    assert len({roots.get(s, s) for s in signed}) == len(set(tops))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_forest_holds_groups_together(seed):
+    rnd = random.Random(seed)
+    centres = [rnd.getrandbits(64) for _ in range(6)]
+    values = [c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for c in centres for _ in range(9)]
+    values = sorted(set(values))
+    members, leads = simhash.forest(np.array(values, np.uint64))
+    lead = dict(zip(members.tolist(), leads.tolist()))
+    tops = slow_groups(values)
+    for i, a in enumerate(values):
+        for j, b in enumerate(values):
+            assert (lead.get(a, a) == lead.get(b, b)) == (tops[i] == tops[j])
+
+
+def test_a_pair_of_tiles_links_only_across():
+    left, right = np.array([0, 1], np.uint64), np.array([1 << 40, 3], np.uint64)
+    members, leads = simhash.forest(left, right)
+    assert len(members) == 3 and len(set(leads.tolist())) == 1
+    far = np.array([2**64 - 1], np.uint64)
+    assert not len(simhash.forest(left, far)[0])
+
+
+def test_awkward_rows(awkward, no_rows):
+    rows = [(r.doc_id, r.text) for r in awkward.select("doc_id", "text").collect()]
+    assert found(awkward) == expected(rows)
+    assert found(no_rows) == []
+
+
+def test_one_row_of_each_group_stays(awkward, no_rows):
+    kept = simhash.deduplicate(awkward)
+    assert kept.columns == awkward.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9]
+    assert ids.count(None) == 1
+    assert simhash.deduplicate(no_rows).count() == 0

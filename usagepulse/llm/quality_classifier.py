@@ -46,7 +46,7 @@ class Forest:
         rows = np.arange(len(values))[:, None]
         node = np.zeros((len(values), len(self.feature)), np.int64)
         inner = self.feature.shape[1]
-        while inner and node[0, 0] < inner:
+        for _ in range(inner.bit_length()):
             right = values[rows, self.feature[trees, node]] > self.cut[trees, node]
             node = 2 * node + 1 + right
         return total + self.leaf[trees, node - inner].sum(axis=1)

@@ -36,6 +36,7 @@ SPAN = 6
 LONG = 24  # a longer word is read in windows of this many characters
 FALSE_SHARE = 0.05  # of the suspects that chance may have put there
 COST = 40.0
+OFFSET = -1.0
 THRESHOLD = 0.5
 NOTHING = -4.0  # decision for a text without words
 CACHE = 1_000_000  # words whose decision a worker remembers
@@ -164,22 +165,23 @@ def decisions(machine: Machine, texts: list[str | None], step: int = 256) -> np.
     return out
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(x.shape[1], 1.0)
-    ridge[-1] = 1e-6
+def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, by Newton steps.
+
+    The offset is fixed: a word like none of the landmarks is clean, at the margin.
+    """
+    ridge = np.ones(x.shape[1])
     w = np.zeros(x.shape[1])
 
     def loss(w: np.ndarray) -> float:
-        slack = np.maximum(0, 1 - y * (x @ w))
-        return float((ridge * w * w).sum() / 2 + COST * (weight * slack**2).sum() / 2)
+        slack = np.maximum(0, 1 - y * (x @ w + OFFSET))
+        return float(w @ w / 2 + COST * (weight * slack**2).sum() / 2)
 
     now = loss(w)
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
+        slack = 1 - y * (x @ w + OFFSET)
         on = slack > 0
-        gradient = ridge * w - COST * x[on].T @ (weight[on] * y[on] * slack[on])
+        gradient = w - COST * x[on].T @ (weight[on] * y[on] * slack[on])
         hessian = np.diag(ridge) + COST * (x[on].T * weight[on]) @ x[on]
         step, size = np.linalg.solve(hessian, gradient), 1.0
         while size > 1e-4 and loss(w - size * step) > now:
@@ -188,7 +190,7 @@ def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: in
         before, now = now, loss(w)
         if before - now < 1e-7 * max(1.0, before):
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
 def spoilt(word: str, place: int) -> list[str]:
@@ -204,7 +206,7 @@ def fit(suspects: list[tuple[str, int]], clean: list[tuple[str, int]]) -> Machin
     the first of both lists.
     """
     if not suspects or not clean:
-        return Machine(np.zeros(0, np.uint64), np.zeros(0), -1.0)
+        return Machine(np.zeros(0, np.uint64), np.zeros(0), OFFSET)
     marks = [w for w, _ in suspects[: LANDMARKS // 2]]
     marks = list(dict.fromkeys(marks + [w for w, _ in clean[: LANDMARKS - len(marks)]]))
     key, weight, own = subsequences(marks)
@@ -235,8 +237,8 @@ def fit(suspects: list[tuple[str, int]], clean: list[tuple[str, int]]) -> Machin
     weight = np.sqrt([n for _, n in [*suspects, *extra, *clean]])
     weight[len(words) : len(words) + len(extra)] *= 0.3
     weight[y > 0] *= (weight[y < 0].sum() / weight[y > 0].sum()) ** 0.5
-    w, offset = support_vectors(x, y, weight / weight.mean())
-    return Machine(vocabulary, basis @ (root @ w), offset)
+    w = support_vectors(x, y, weight / weight.mean())
+    return Machine(vocabulary, basis @ (root @ w), OFFSET)
 
 
 def telling(toxic: np.ndarray, clean: np.ndarray, words: np.ndarray, base: float) -> np.ndarray:
