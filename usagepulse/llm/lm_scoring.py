@@ -152,8 +152,9 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # The targets have no bound, so they are never broadcast: one plan at every size.
     chosen = target.select("doc_id").distinct().withColumn("target", F.lit(True))
-    counts = models(count_ngrams(docs.join(chosen, "doc_id", "left")))
+    counts = models(count_ngrams(docs.join(chosen.hint("shuffle_hash"), "doc_id", "left")))
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 * ORDER * CELLS numbers
     return docs.mapInArrow(
         _score(shared),
