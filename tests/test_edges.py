@@ -15,6 +15,7 @@ from usagepulse.operators import (
 )
 from usagepulse.plans.profiles import CONSUMER_FINANCE_USERS, consumer_finance_sources
 from usagepulse.sources.registry import (
+    FEATURES,
     FeatureSource,
     build_activity,
     build_events,
@@ -315,20 +316,51 @@ def test_one_period_equals_single_reports(activity_of, users_of):
     assert {k: usage[k] for k in expected} == expected
 
 
-def test_overlapping_periods_and_forced_shuffle_join(activity_of, users_of, monkeypatch):
-    from usagepulse.functions import calendar
-
+def test_overlapping_periods(activity_of, users_of):
     activity = activity_of([("a", "2024-03-04", "spending"), ("b", "2024-03-20", "savings")])
     periods = [Period.of(START, END, 5), Period.of("2024-03-15", "2024-04-15", 20)]
+    usage = kpis.usage_by_period(activity, users_of([]), periods)
+    found = sorted((r["period_start"], r["total_current_users"], r["total_historical_users"]) for r in usage.collect())
+    assert found == [(date(2024, 3, 1), 2, 0), (date(2024, 3, 15), 1, 1)]
 
-    def counts():
-        usage = kpis.usage_by_period(activity, users_of([]), periods)
-        return sorted((r["period_start"], r["total_current_users"], r["total_historical_users"]) for r in usage.collect())
 
-    expected = [(date(2024, 3, 1), 2, 0), (date(2024, 3, 15), 1, 1)]
-    assert counts() == expected
-    monkeypatch.setattr(calendar, "BROADCAST_ROWS", 0)
-    assert counts() == expected
+def test_many_daily_periods_equal_single_reports(activity_of, users_of):
+    activity = activity_of(
+        [(u, f"2024-03-{d:02d}", f) for u, d, f in [("a", 1, "spending"), ("a", 9, "savings"), ("b", 9, "spending"), ("c", 30, "assistant")]]
+    )
+    users = users_of([("a", "2024-03-01", False), ("c", "2024-03-09", False)])
+    periods = [Period.of(f"2024-03-{d:02d}", f"2024-03-{d:02d}", 4) for d in range(1, 32)]
+    usage = {r["period_start"].day: r.asDict() for r in kpis.usage_by_period(activity, users, periods).collect()}
+    assert len(usage) == 31
+    for d in (1, 5, 9, 10, 30):
+        expected = only(dormancy.dormant_analysis(activity, periods[d - 1].start, periods[d - 1].end, 4))
+        expected |= only(engagement.comprehensive_metrics(activity, users, periods[d - 1].start, periods[d - 1].end))
+        assert {k: usage[d][k] for k in expected} == expected
+
+
+def test_features_beyond_the_declared_ones(activity_of, users_of):
+    """Five features, one of them unknown to labels and rules."""
+    features = (*FEATURES, "gift_cards")
+    activity = activity_of(
+        [("a", "2024-03-04", "gift_cards"), ("b", "2024-03-04", "spending"), ("c", "2024-02-20", "gift_cards")]
+    )
+    users = users_of([("a", "2024-03-01", False), ("b", "2024-03-01", False)])
+    usage = kpis.usage_by_period(activity, users, [Period.of(START, END, 30)], features=features)
+    assert only(kpis.feature_ranking(usage, features=features))["most_used_feature"] in {"Spending", "Gift Cards"}
+    alerts = {r["metric"]: r for r in kpis.kpi_alerts(usage, features=features).collect()}
+    assert alerts["gift_cards_dormant_share"]["alert"] is None
+    assert alerts["gift_cards_dormant_share"]["value"] == 100.0
+    assert any("Gift Cards" in r["title"] + r["insight"] + r["recommendation"] for r in kpis.recommendations(usage, features=features).collect())
+    rows = dormancy.dormant_breakdown(dormancy.dormant_analysis(activity, START, END, 30, features), features)
+    assert "Gift Cards" in {r["feature"] for r in rows.collect()}
+
+
+def test_nameless_user_gives_dormant_trend_rows_of_zero(activity_of):
+    days = [(None, "2024-02-20"), ("a", "2024-03-01"), ("a", "2024-03-05")]
+    rows = [(u, d, "spending") for u, d in days]
+    found = dormancy.dormant_trend(activity_of(rows), START, END, 30).collect()
+    assert [tuple(r) for r in found] == [(date(2024, 3, 1), 0), (date(2024, 3, 5), 0)]
+    assert dormancy.dormant_trend(activity_of(rows[1:]), START, END, 30).collect() == []
 
 
 def test_unknown_feature_is_an_error(activity_of):

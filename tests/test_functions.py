@@ -33,56 +33,57 @@ def test_capitalize(spark, text):
     assert frame.select(capitalize(F.col("t"))).first()[0] == text.capitalize()
 
 
-def answers_in_python(text):
-    """Straight reading of the rules: any surprise while collecting empties the record."""
-    collected = {}
-    try:
-        document = json.loads(text)
-        if isinstance(document, dict) and "plan" in document:
-            for item in document["plan"]:
-                if isinstance(item, dict):
-                    collected[item["question"]] = item["answer"]
-    except Exception:
-        return 0
-    return len([v for v in collected.values() if v not in (None, "", [], {})])
-
-
-SUBMISSIONS = [
-    "bad", None, "", "[1]", "7", '"plan"', "{}", '{"plan":{"a":1}}', '{"plan":null}', '{"plan":[]}',
-    '{"plan":"text"}', '{"other":[{"question":"q","answer":1}]}',
-    '{"plan":[{"answer":1},{"question":"q","answer":2}]}',
-    '{"plan":[{"question":"q"},{"question":"r","answer":2}]}',
-    '{"plan":[{"question":"q","answer":[]},{"question":"r","answer":0},3]}',
-    '{"plan":[{"question":"q","answer":null},{"question":"q","answer":"z"}]}',
-    '{"plan":[{"question":"q","answer":"z"},{"question":"q","answer":null}]}',
-    '{"plan":[{"question":["q"],"answer":"z"},{"question":"r","answer":"z"}]}',
-    '{"plan":[{"question":{"a":1},"answer":"z"}]}',
-    '{"plan":[{"question":null,"answer":"z"},{"question":null,"answer":""}]}',
-    '{"plan":[{"question":"[q","answer":"z"},{"question":"{r","answer":false}]}',
-    '{"plan":[{"question":"q","answer":{}},{"question":"r","answer":{"a":null}},{"question":"s","answer":[null]}]}',
-    '{"plan":[{"question":"q","answer":" "},"x",null,[1],{"question":"é\\n","answer":"null"}]}',
-]
+# Submissions and the answers each one counts, worked out by hand.
+SUBMISSIONS = {
+    "bad": 0, None: 0, "": 0, "[1]": 0, "7": 0, '"plan"': 0, "{}": 0,
+    '{"plan":{"a":1}}': 0, '{"plan":null}': 0, '{"plan":[]}': 0, '{"plan":"text"}': 0,
+    '{"other":[{"question":"q","answer":1}]}': 0,
+    # An entry without question or answer voids the whole record.
+    '{"plan":[{"answer":1},{"question":"q","answer":2}]}': 0,
+    '{"plan":[{"question":"q"},{"question":"r","answer":2}]}': 0,
+    '{"plan":[{"question":"q","answer":[]},{"question":"r","answer":0},3]}': 1,
+    # The last answer to a question stands.
+    '{"plan":[{"question":"q","answer":null},{"question":"q","answer":"z"}]}': 1,
+    '{"plan":[{"question":"q","answer":"z"},{"question":"q","answer":null}]}': 0,
+    # So does a question that is a list or an object.
+    '{"plan":[{"question":["q"],"answer":"z"},{"question":"r","answer":"z"}]}': 0,
+    '{"plan":[{"question":{"a":1},"answer":"z"}]}': 0,
+    '{"plan":[{"question":null,"answer":"z"},{"question":null,"answer":""}]}': 0,
+    '{"plan":[{"question":"[q","answer":"z"},{"question":"{r","answer":false}]}': 2,
+    '{"plan":[{"question":"q","answer":{}},{"question":"r","answer":{"a":null}},{"question":"s","answer":[null]}]}': 2,
+    '{"plan":[{"question":"q","answer":" "},"x",null,[1],{"question":"é\\n","answer":"null"}]}': 2,
+}
 
 
 def test_answered_count_on_odd_documents(spark):
     frame = spark.createDataFrame([(s,) for s in SUBMISSIONS], "metadata string")
     found = frame.select("metadata", answered_count(F.col("metadata"))).collect()
-    assert [(r[0], r[1]) for r in found] == [(s, answers_in_python(s)) for s in SUBMISSIONS]
+    assert {r[0]: r[1] for r in found} == SUBMISSIONS
 
 
 def test_answered_count_on_random_documents(spark):
+    """The generator knows what it builds: each question's last answer, and whether a void
+    entry went in."""
     rng = random.Random(11)
-    answers = [None, "", [], {}, 0, False, "a", [0], {"k": 1}, 2.5, "null", "[]"]
-
-    def entry():
-        if rng.random() < 0.03:
-            return rng.choice([3, "s", None, {"question": "q1"}])
-        return {"question": rng.choice(["q1", "q2", "q3", "q4"]), "answer": rng.choice(answers)}
-
-    documents = [json.dumps({"plan": [entry() for _ in range(rng.randrange(9))]}) for _ in range(300)]
-    frame = spark.createDataFrame([(d,) for d in documents], "metadata string")
-    found = frame.select("metadata", answered_count(F.col("metadata"))).collect()
-    assert all(n == answers_in_python(d) for d, n in found)
+    full, empty = [0, False, "a", [0], {"k": 1}, 2.5, "null", "[]"], [None, "", [], {}]
+    cases = []
+    for _ in range(300):
+        plan, stands, void = [], [False] * 4, False
+        for _ in range(rng.randrange(9)):
+            kind = rng.random()
+            if kind < 0.02:
+                plan.append({"question": "q0"})
+                void = True
+            elif kind < 0.05:
+                plan.append(rng.choice([3, "s", None]))
+            else:
+                place, counts = rng.randrange(4), rng.random() < 0.6
+                plan.append({"question": f"q{place}", "answer": rng.choice(full if counts else empty)})
+                stands[place] = counts
+        cases.append((json.dumps({"plan": plan}), 0 if void else stands.count(True)))
+    frame = spark.createDataFrame(cases, "metadata string, expected int")
+    found = frame.select("metadata", "expected", answered_count(F.col("metadata"))).collect()
+    assert [r[2] for r in found] == [r.expected for r in found]
 
 
 def test_long_document_is_counted_whole(spark):

@@ -6,8 +6,11 @@ import __spark_entry__
 from compare import duckdb_over, duckdb_result, spark_result
 from conftest import TESTDATA
 
-QUERIES = __spark_entry__.queries()
-ORACLES = __spark_entry__.oracle_sql()
+from usagepulse.plans.oracle import all_oracles
+from usagepulse.plans.queries import all_queries
+
+QUERIES = all_queries()
+ORACLES = all_oracles()
 SPARK_TYPES = {
     "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "INTEGER": "int",
 }
@@ -33,5 +36,10 @@ def test_query_matches_oracle(spark, tables, name):
     assert {f.name: f.dataType.simpleString() for f in result.schema} == expected
 
 
+def test_entry_registers_them_all():
+    assert QUERIES.keys() <= __spark_entry__.queries().keys()
+    assert ORACLES.keys() <= __spark_entry__.oracle_sql().keys()
+
+
 def test_entry_returns_one_row(spark):
     assert __spark_entry__.entry(spark).count() == 1

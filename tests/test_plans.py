@@ -59,12 +59,48 @@ def test_no_cross_join_and_no_python_in_any_plan(no_broadcast, name):
         assert operator not in plan
 
 
-def test_only_calendar_maps_are_broadcast(no_broadcast):
-    periodic = re.compile("kpi|insights|recommendations|feature_ranking|retention_monthly")
+def test_nothing_is_broadcast_by_hint(no_broadcast):
     for name, query in QUERIES.items():
-        plan = plan_of(query(no_broadcast, ROOT))
-        assert ("BroadcastExchange" in plan) == bool(periodic.match(name)), name
-        assert plan.count("BroadcastExchange") <= plan.count("explode(sequence"), name
+        assert "BroadcastExchange" not in plan_of(query(no_broadcast, ROOT)), name
+
+
+def test_periods_are_placed_without_a_join(no_broadcast):
+    """Activity meets no calendar: rows are placed in their periods where they are read,
+    merged on the map side, and shuffled as one row per user and period."""
+    plan = plan_of(QUERIES["kpi_monthly"](no_broadcast, ROOT))
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert not any("activity_date" in k or "signup_date" in k for k in keys)
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[(\w+?)#", plan)
+    assert set(joins) == {"key", "user_id"}
+
+
+def test_a_hot_key_is_split_where_repeats_are_not_merged(spark):
+    """An order with most of the lines: adaptive execution splits its join partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        lines = spark.range(0, 200_000, 1, 16).selectExpr(
+            "IF(id % 10 < 8, 0, id) AS order", "DATE'2024-03-01' + CAST(id % 50000 AS int) AS at"
+        )
+        orders = spark.range(0, 200_000, 1, 4).selectExpr("id", "CAST(id % 100 AS string) AS user")
+        join = DimensionJoin("orders", "order", "id", merge_repeats=False)
+        source = FeatureSource("spending", "lines", "user", "at", join=join)
+        events = build_events({"lines": lines, "orders": orders}.__getitem__, [source])
+        counted = events.groupBy("user_id").count()
+        assert sum(r["count"] for r in counted.collect()) == 200_000
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_filters_and_columns_reach_the_scans(no_broadcast):

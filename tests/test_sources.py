@@ -1,6 +1,11 @@
 """Readers and the stored fact."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from usagepulse.operators import engagement
+from usagepulse.plans.profiles import consumer_finance_sources
+from usagepulse.sources.registry import FeatureSource, build_events
 from usagepulse.sources.tables import (
     catalog_reader,
     jdbc_reader,
@@ -56,6 +61,38 @@ def test_jdbc_reader_splits_declared_tables():
             return self.calls[-1]
 
     split = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
-    read = jdbc_reader(Recorder(), {"url": "jdbc:x"}, {"transactions": split})
+    read = jdbc_reader(Recorder(), {"url": "jdbc:x"}, {"transactions": split}, small=["users"])
     assert read("users") == {"url": "jdbc:x", "dbtable": "users"}
     assert read("transactions") == {"url": "jdbc:x", "dbtable": "transactions", **split}
+    with pytest.raises(ValueError):
+        read("messages")
+
+
+def test_the_day_of_a_point_in_time_ignores_the_session_zone(spark):
+    """Half past eleven at night in UTC, and the hour that clocks in Berlin repeat."""
+    points = [1709335800, 1729985400, 1729989000]
+    table = spark.createDataFrame([(p,) for p in points], "p long").select(
+        F.lit("u").alias("user"), F.timestamp_seconds("p").alias("at")
+    )
+
+    def days(zone):
+        source = FeatureSource("spending", "t", "user", "at", zone=zone)
+        return [str(r[0]) for r in build_events(lambda _: table, [source]).select("activity_date").collect()]
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session in ("UTC", "Asia/Tokyo", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", session)
+            assert days("UTC") == ["2024-03-01", "2024-10-26", "2024-10-27"]
+            assert days("Europe/Berlin") == ["2024-03-02", "2024-10-27", "2024-10-27"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_text_with_quotes_stays_text(spark):
+    sources = consumer_finance_sources(excluded_provider="O'Neil \\ sons")
+    kept = next(s.where for s in sources if s.where)
+    frame = spark.createDataFrame(
+        [("success", "O'Neil \\ sons"), ("success", "other")], "status string, provider_number string"
+    )
+    assert [r[1] for r in frame.filter(kept).collect()] == ["other"]

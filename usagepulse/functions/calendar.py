@@ -10,6 +10,7 @@ and a word holds nine whole weeks, so the weeks can be read off the days.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -21,10 +22,6 @@ GRANULARITIES = ("day", "week", "month")
 WORD_BITS = 63
 WEEK_STARTS = sum(1 << bit for bit in range(0, WORD_BITS, 7))
 
-# Rows of a calendar map up to which it is broadcast (about 60 bytes a row);
-# a longer one is left to a shuffled join.
-BROADCAST_ROWS = 100_000
-
 
 def as_date(value: date | str) -> date:
     return value if isinstance(value, date) else date.fromisoformat(value)
@@ -213,37 +210,27 @@ def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def day_map(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
-    """Every day of every period and its history, ready for an equi-join on ``day``.
+def periods_holding(periods: Sequence[Period], day: str) -> Column:
+    """Array of ``(period_start, period_end)`` of the periods whose range or history holds ``day``.
 
-    Expanding the ranges turns "activity inside any of these periods" into a hash
-    join on the date. The row count is known here, so the frame is broadcast only
-    below ``BROADCAST_ROWS`` and joined by shuffle above it.
+    The periods of every day are worked out here and looked up by the day's number, so
+    placing a row needs no join and costs the same however many periods there are. Both
+    tables are constants of the plan: one entry per calendar day and per period.
     """
     if not periods:
         raise ValueError("at least one period is needed")
     if len(set(periods)) != len(periods):
         raise ValueError("periods repeat")
-    rows = [
-        F.struct(
-            F.lit(p.start).alias("period_start"),
-            F.lit(p.end).alias("period_end"),
-            F.lit(p.history_start).alias("history_start"),
-        )
-        for p in periods
-    ]
-    ranges = spark.range(1).select(F.inline(F.array(*rows)))
-    days = ranges.select(
-        "*", F.explode(F.sequence("history_start", "period_end", F.expr("INTERVAL 1 DAY"))).alias("day")
-    )
-    positions = bit_positions("day", "period_start")
-    placed = days.selectExpr(
-        "day",
-        "period_start",
-        "period_end",
-        "day >= period_start AS in_period",
-        "day <= period_start AS in_history",
-        *(f"{sql} AS {unit}_pos" for unit, sql in positions.items()),
+    first = min(p.history_start for p in periods)
+    length = (max(p.end for p in periods) - first).days + 1
+    holding: list[list[int]] = [[] for _ in range(length)]
+    for number, p in enumerate(periods):
+        for place in range((p.history_start - first).days, (p.end - first).days + 1):
+            holding[place].append(number)
+    ranges = json.dumps([{"s": str(p.start), "e": str(p.end)} for p in periods])
+    return F.expr(
+        f"transform(get(from_json('{json.dumps(holding)}', 'array<array<int>>'), "
+        f"date_diff({day}, DATE'{first}')), number -> named_struct("
+        f"'period_start', get(from_json('{ranges}', 'array<struct<s:date,e:date>>'), number).s, "
+        f"'period_end', get(from_json('{ranges}', 'array<struct<s:date,e:date>>'), number).e))"
     )
-    size = sum((p.end - p.history_start).days + 1 for p in periods)
-    return F.broadcast(placed) if size <= BROADCAST_ROWS else placed.hint("shuffle_hash")

@@ -19,7 +19,7 @@ from usagepulse.functions import calendar
 from usagepulse.functions.calendar import Period
 from usagepulse.functions.numeric import percent, round1_half_even
 from usagepulse.operators import rollup
-from usagepulse.sources.registry import FEATURE_LABELS, FEATURES
+from usagepulse.sources.registry import FEATURES, FEATURE_LABELS, label_of
 
 
 def presence_marks(past: str, now: str, features: Sequence[str]) -> list[Column]:
@@ -80,7 +80,9 @@ def dormant_trend(
     """Per date with activity in the period: historical users not active on it.
 
     Counts the historical users seen on each date and subtracts, so no user is
-    paired with a date they were absent. A date on which everyone came has no row.
+    paired with a date they were absent. A date on which everyone came has no row. The
+    nameless user adds to no count, but as it is never found present it gives every date
+    a row, with 0 where all others came.
     Activity is shuffled once, as one row of day bits per user, and unfolds into
     dates only to be counted per date on the spot.
     """
@@ -101,15 +103,18 @@ def dormant_trend(
     # The range opens with the history, so a first day up to the start of the
     # period means historical; each such user is counted once, on that day.
     historical = (F.col("first_day") <= period.start) & F.col("user_id").isNotNull()
+    nameless = (F.col("first_day") <= period.start) & F.col("user_id").isNull()
     per_date = user_days.groupBy("activity_date").agg(
         F.count_if(historical).alias("seen"),
         F.count_if(historical & (day == F.col("first_day"))).alias("joined"),
+        F.bool_or(nameless).alias("nameless"),
     )
     # One row per date of the range: the unpartitioned window is as small as it.
-    everyone = F.sum("joined").over(Window.partitionBy())
+    whole = Window.partitionBy()
     return (
-        per_date.withColumn("dormant_count", everyone - F.col("seen"))
-        .filter(period.holds(day) & (F.col("dormant_count") > 0))
+        per_date.withColumn("dormant_count", F.sum("joined").over(whole) - F.col("seen"))
+        .withColumn("nameless", F.bool_or("nameless").over(whole))
+        .filter(period.holds(day) & ((F.col("dormant_count") > 0) | F.col("nameless")))
         .select("activity_date", "dormant_count")
         .orderBy("activity_date")
     )
@@ -143,7 +148,7 @@ def dormant_breakdown(
     above the mean of the counts; ``top_feature`` is the first label with the
     largest count.
     """
-    names = ["Overall", *(labels[f] for f in features)]
+    names = ["Overall", *(label_of(f, labels) for f in features)]
     counts = [F.col("overall_dormant_users"), *(F.col(f"{f}_dormant_users") for f in features)]
     overall = counts[0]
     shares = [F.lit(100.0), *(round1_half_even(percent(c, overall)) for c in counts[1:])]

@@ -8,14 +8,15 @@ one period and no segment it equals `comprehensive_metrics` next to
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagepulse.functions.calendar import Period, day_map, period_frame
+from usagepulse.functions.calendar import Period, bit_positions, period_frame, periods_holding
 from usagepulse.functions.numeric import one_decimal_text, percent, sql_percent
+from usagepulse.functions.sql_text import quoted
 from usagepulse.operators import dormancy, rollup
 from usagepulse.operators.engagement import comprehensive_columns, period_counts, unrestricted
 from usagepulse.operators.retention import (
@@ -25,7 +26,7 @@ from usagepulse.operators.retention import (
     retention_ratios,
     signups_within,
 )
-from usagepulse.sources.registry import FEATURE_LABELS, FEATURES
+from usagepulse.sources.registry import FEATURE_LABELS, FEATURES, label_of
 
 
 def dormancy_columns(features: Sequence[str]) -> list[str]:
@@ -39,6 +40,11 @@ def _keys(by: str | None) -> list[str]:
     return ["period_start", "period_end", *([by] if by else [])]
 
 
+def _holding_signup(periods: Sequence[Period]) -> Column:
+    """The periods, without their histories, that hold a signup."""
+    return periods_holding([Period(p.start, p.end) for p in periods], "signup_date")
+
+
 def usage_by_period(
     activity: DataFrame,
     users: DataFrame,
@@ -55,20 +61,20 @@ def usage_by_period(
     keys = _keys(by)
     longest = max(p.days for p in periods)
     last_day = max(p.end for p in periods)
-    days = day_map(spark, periods)
-
     # A row per user and period, plus one without a period for days outside of all:
     # the earliest of a user's rows is the first activity ever, in the same scan.
     history = activity.filter(F.col("activity_date") <= F.lit(last_day))
-    positions = {"day": "day_pos", "month": "month_pos"}
+    positions = bit_positions("activity_date", "period_start")
+    in_period, in_history = "activity_date >= period_start", "activity_date <= period_start"
     per_user = (
         rollup.numbered_features(history, features)
-        .join(days.withColumnRenamed("day", "activity_date"), "activity_date", "left")
+        .select("*", F.explode_outer(periods_holding(periods, "activity_date")).alias("held"))
+        .select("user_id", "activity_date", "feature_pos", "held.*")
         .groupBy("user_id", "period_start", "period_end")
         .agg(
             F.min("activity_date").alias("first_here"),
-            *rollup.calendar_marks("in_period", positions, longest),
-            *dormancy.presence_marks("in_history", "in_period", features),
+            *rollup.calendar_marks(in_period, positions, longest),
+            *dormancy.presence_marks(in_history, in_period, features),
         )
         .withColumn("first_ever", F.min("first_here").over(Window.partitionBy("user_id")))
         .filter(F.col("period_start").isNotNull())
@@ -91,7 +97,7 @@ def usage_by_period(
     )
     signups = (
         unrestricted(users)
-        .join(days.filter("in_period").withColumnRenamed("day", "signup_date"), "signup_date")
+        .select(*([by] if by else []), F.inline(_holding_signup(periods)))
         .groupBy(*keys)
         .agg(F.count("*").alias("total_signups"))
     )
@@ -117,15 +123,11 @@ def retention_by_period(
 ) -> DataFrame:
     """Signups per period with retention percentages, seen up to the period's end."""
     keys = _keys(by)
-    days = day_map(activity.sparkSession, [Period(p.start, p.end) for p in periods])
     reach = Period(min(p.start for p in periods), max(p.end for p in periods))
     signups = signups_within(users, reach, *([by] if by else []))
-    placed = days.filter("in_period").select(
-        F.col("day").alias("signup_date"), "period_start", "period_end"
-    )
     counted = (
         first_returns(signups, activity, reach, "left")
-        .join(placed, "signup_date")
+        .select("*", F.inline(_holding_signup(periods)))
         .groupBy(*keys)
         .agg(F.count("*").alias("total_signups"), *retained_counts(F.col("period_end")))
     )
@@ -159,18 +161,14 @@ def otherwise(outcome: str) -> Rule:
     return Rule(None, 0.0, outcome)
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def first_match(value: str, rules: Sequence[Rule]) -> str:
     """SQL for the outcome of the first rule that holds."""
     if rules[-1].op is not None:
         raise ValueError("the last rule must always hold")
-    last = _literal(rules[-1].outcome)
+    last = quoted(rules[-1].outcome)
     if len(rules) == 1:
         return last
-    branches = (f"WHEN {value} {r.op} {r.bound} THEN {_literal(r.outcome)}" for r in rules[:-1])
+    branches = (f"WHEN {value} {r.op} {r.bound} THEN {quoted(r.outcome)}" for r in rules[:-1])
     return f"CASE {' '.join(branches)} ELSE {last} END"
 
 
@@ -299,7 +297,7 @@ def _features_by_users(features: Sequence[str], labels: dict[str, str], sign: in
             F.struct(
                 F.col(f"{f}_users").alias("users"),
                 F.lit(sign * place).alias("place"),
-                F.lit(labels[f]).alias("name"),
+                F.lit(label_of(f, labels)).alias("name"),
             )
             for place, f in enumerate(features)
         )
@@ -378,8 +376,16 @@ def kpi_alerts(
     by: str | None = None,
     features: Sequence[str] = FEATURES,
     labels: dict[str, str] = FEATURE_LABELS,
+    alert_rules: Mapping[str, Sequence[Rule]] | None = None,
+    insight_rules: Mapping[str, Sequence[Rule]] | None = None,
 ) -> DataFrame:
-    """Each derived percentage with its alert level and sentence, one row per metric."""
+    """Each derived percentage with its alert level and sentence, one row per metric.
+
+    Rules default to ``ALERT_RULES`` and ``INSIGHT_RULES``. A metric without rules, such as
+    the share of a feature they do not know, has a NULL alert or insight.
+    """
+    alert_rules = ALERT_RULES if alert_rules is None else alert_rules
+    insight_rules = INSIGHT_RULES if insight_rules is None else insight_rules
     keys = _keys(by)
     rates = derived_rates(features)
     least = F.lower(least_used(features, labels)["name"]).alias("least")
@@ -389,14 +395,14 @@ def kpi_alerts(
         .filter(F.col("value").isNotNull())
     )
 
-    def by_metric(rules: dict[str, list[Rule]]) -> Column:
-        branches = (f"WHEN '{m}' THEN {first_match('value', rules[m])}" for m in rates)
-        return F.expr(f"CASE metric {' '.join(branches)} END")
+    def by_metric(rules: Mapping[str, Sequence[Rule]]) -> Column:
+        branches = [f"WHEN '{m}' THEN {first_match('value', rules[m])}" for m in rates if m in rules]
+        return F.expr(f"CASE metric {' '.join(branches)} END" if branches else "CAST(NULL AS string)")
 
-    insight = F.replace(by_metric(INSIGHT_RULES), F.lit("{least}"), F.col("least"))
+    insight = F.replace(by_metric(insight_rules), F.lit("{least}"), F.col("least"))
     insight = F.replace(insight, F.lit("{value}"), one_decimal_text(F.col("value")))
     return judged.select(
-        *keys, "metric", "value", by_metric(ALERT_RULES).alias("alert"), insight.alias("insight")
+        *keys, "metric", "value", by_metric(alert_rules).alias("alert"), insight.alias("insight")
     )
 
 
@@ -465,7 +471,7 @@ def _advice_if(condition: str, advice: Advice, value: str, label: str = "") -> s
         "recommendation": advice.recommendation,
     }
     fields = ", ".join(
-        f"'{name}', {_literal(text.replace('{label}', label))}" for name, text in texts.items()
+        f"'{name}', {quoted(text.replace('{label}', label))}" for name, text in texts.items()
     )
     return f"CASE WHEN {condition} THEN named_struct({fields}, 'value', {value}) END"
 
@@ -544,7 +550,7 @@ def recommendations(
     for f in features:
         share = rates[f"{f}_dormant_share"]
         fired.append(
-            _advice_if(f"{share} > {FEATURE_CHURN_HIGH}", FEATURE_CHURN, share, labels[f])
+            _advice_if(f"{share} > {FEATURE_CHURN_HIGH}", FEATURE_CHURN, share, label_of(f, labels))
         )
     found = F.expr(f"array_compact(array({', '.join(fired)}))")
     default = F.expr(f"array({_advice_if('true', GOOD_RETENTION, '0D')})")

@@ -22,6 +22,8 @@ from usagepulse.sources.registry import FEATURES, of_feature
 
 # Days after signup that still count, per horizon; day 1 has to be exact.
 HORIZONS = {"day1": 1, "week1": 7, "month1": 30}
+# Next activity is looked for in a word of day bits and the one after it.
+assert max(HORIZONS.values()) <= calendar.WORD_BITS
 
 
 def first_returns(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagepulse.functions import calendar
+from usagepulse.functions.sql_text import quoted
 
 def one_row(*frames: DataFrame) -> DataFrame:
     """Columns of several one-row frames side by side, without a cross join."""
@@ -39,7 +40,10 @@ def numbered_features(activity: DataFrame, features: Sequence[str]) -> DataFrame
 
     A feature that is not listed gets NULL: activity of no feature in particular.
     """
-    places = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(features))
+    for f in features:
+        if not f.isidentifier():
+            raise ValueError(f"feature name {f!r} is not an identifier")
+    places = " ".join(f"WHEN {quoted(f)} THEN {i}" for i, f in enumerate(features))
     return activity.selectExpr(
         "user_id", "activity_date", f"CASE feature {places} END AS feature_pos"
     )

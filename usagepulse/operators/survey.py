@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from usagepulse.functions.calendar import Period
 from usagepulse.functions.numeric import capitalize
 from usagepulse.functions.survey_json import answered_count
+from usagepulse.functions.zones import day_of
 
 
 def _within(frame: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    return frame.filter(Period.of(start, end).holds(F.to_date("created_at")))
+    return frame.filter(Period.of(start, end).holds(day_of(frame, "created_at")))
 
 
 def survey_completion(submissions: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -40,7 +41,7 @@ def survey_completion(submissions: DataFrame, start: date | str, end: date | str
 def daily_submissions(submissions: DataFrame, start: date | str, end: date | str) -> DataFrame:
     return (
         _within(submissions, start, end)
-        .groupBy(F.to_date("created_at").alias("submission_date"))
+        .groupBy(day_of(submissions, "created_at").alias("submission_date"))
         .agg(F.count("*").alias("submissions"))
         .orderBy("submission_date")
     )

@@ -55,8 +55,8 @@ def active_user_series(
 ) -> DataFrame:
     """The daily, weekly and monthly series as ``(granularity, period_start, users)``.
 
-    One pass for all three: each row counts for its day, week and month, and repeats
-    merge on the map side.
+    Activity shrinks to distinct users and days before anything else; each such pair
+    then counts for its day, week and month.
     """
     period = Period.of(start, end)
     day = F.col("activity_date")
@@ -69,6 +69,8 @@ def active_user_series(
     return (
         of_feature(activity, feature, features)
         .filter(period.holds(day))
+        .select("user_id", "activity_date")
+        .distinct()
         .select("user_id", F.inline(buckets))
         .groupBy("granularity", "period_start")
         .agg(F.count_distinct("user_id").alias("users"))

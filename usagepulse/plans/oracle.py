@@ -284,9 +284,11 @@ recent AS (SELECT * FROM usage WHERE {_between('d', window)})"""
 
 def _away(feature: str | None) -> str:
     only = f"WHERE feature = '{feature}'" if feature else ""
+    # A nameless user is never found again: NULL equals nothing.
+    also = f"AND r.feature = '{feature}'" if feature else ""
     return (
-        f"(SELECT count(*) FROM (SELECT user_id FROM past {only} "
-        f"EXCEPT SELECT user_id FROM recent {only}))"
+        f"(SELECT count(*) FROM (SELECT DISTINCT user_id FROM past {only}) p "
+        f"WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = p.user_id {also}))"
     )
 
 
@@ -322,7 +324,7 @@ def _dormant_trend() -> str:
     return f"""
 {COMMERCE}, {_dormant(MARCH)},
 away AS (
-    SELECT dates.d AS activity_date, count(*) AS dormant_count
+    SELECT dates.d AS activity_date, count(h.user_id) AS dormant_count
     FROM (SELECT DISTINCT d FROM recent) dates, (SELECT DISTINCT user_id FROM past) h
     WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.user_id = h.user_id AND r.d = dates.d)
     GROUP BY dates.d
@@ -698,9 +700,10 @@ FROM retained WHERE week1_percent > 50
         ),
         "churn_count": f"""
 WITH {COMMERCE}
-SELECT count(*) AS churn_count FROM (
-    SELECT user_id FROM usage WHERE d <= DATE '{MARCH[1]}'
-    EXCEPT SELECT user_id FROM usage WHERE {_between('d', MARCH)}
+SELECT count(*) AS churn_count
+FROM (SELECT DISTINCT user_id FROM usage WHERE d <= DATE '{MARCH[1]}') u
+WHERE NOT EXISTS (
+    SELECT 1 FROM usage r WHERE r.user_id = u.user_id AND {_between('r.d', MARCH)}
 )
 """,
         "absolute_metrics": f"""

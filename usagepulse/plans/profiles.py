@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagepulse.functions.sql_text import quoted
 from usagepulse.sources.registry import DimensionJoin, FeatureSource, UserSource
 from usagepulse.sources.tables import TableReader
 
 
 def consumer_finance_sources(excluded_provider: str) -> list[FeatureSource]:
     """Budgeting, plan transactions and chat messages of a consumer-finance product."""
-    settled = f"status = 'success' AND provider_number <> '{excluded_provider}'"
+    settled = f"status = 'success' AND provider_number <> {quoted(excluded_provider)}"
     return [
         FeatureSource("spending", "budgets", "user_id", "created_at"),
         FeatureSource("spending", "manual_and_external_transactions", "user_id", "created_at"),

@@ -6,7 +6,7 @@ of source tables feed it, each through a ``FeatureSource``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -14,6 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagepulse.functions.zones import ZONE, day_of
 from usagepulse.sources.tables import TableReader, require_columns
 
 # Declared order; it also breaks ties between equally used features.
@@ -27,6 +28,11 @@ FEATURE_LABELS = {
 }
 
 
+def label_of(feature: str, labels: Mapping[str, str] = FEATURE_LABELS) -> str:
+    """A feature's label, by default its name in title case."""
+    return labels.get(feature, feature.replace("_", " ").title())
+
+
 @dataclass(frozen=True)
 class DimensionJoin:
     """Dimension carrying the user key of a fact that only has a foreign key.
@@ -62,6 +68,7 @@ class FeatureSource:
     ts_col: str
     where: str | None = None
     join: DimensionJoin | None = None
+    zone: str = ZONE  # in which a point in time has its day
 
     def __post_init__(self) -> None:
         # Report columns are named after features.
@@ -78,12 +85,13 @@ class UserSource:
     ts_col: str
     restricted_col: str
     segment_col: str | None = None
+    zone: str = ZONE
 
 
 def _shares_scan(source: FeatureSource) -> tuple:
     join = source.join
     keys = (join.table, join.fact_key, join.dim_key, join.merge_repeats) if join else None
-    return source.table, source.user_col, source.ts_col, keys
+    return source.table, source.user_col, source.ts_col, source.zone, keys
 
 
 def _predicate(sql: str | None) -> Column:
@@ -115,7 +123,7 @@ def _tag_single(fact: DataFrame, group: list[FeatureSource]) -> DataFrame:
         _any_of(conditions, source.feature, _predicate(source.where))
     rows = fact.withColumns(
         {
-            "activity_date": F.to_date(head.ts_col),
+            "activity_date": day_of(fact, head.ts_col, head.zone),
             "user_id": F.col(head.user_col).cast("string"),
         }
     )
@@ -128,7 +136,7 @@ def _tag_joined(fact: DataFrame, dim: DataFrame, group: list[FeatureSource]) ->
     dim_met = [_predicate(s.join.where) for s in group]
     events = fact.filter(reduce(or_, fact_met) & F.col(join.fact_key).isNotNull()).select(
         F.col(join.fact_key).alias("key"),
-        F.to_date(head.ts_col).alias("activity_date"),
+        day_of(fact, head.ts_col, head.zone).alias("activity_date"),
         *(met.alias(f"fact_met{i}") for i, met in enumerate(fact_met)),
     )
     if join.merge_repeats:
@@ -185,7 +193,7 @@ def build_users(read: TableReader, source: UserSource) -> DataFrame:
     table = read(source.table)
     columns = [
         F.col(source.id_col).cast("string").alias("user_id"),
-        F.to_date(source.ts_col).alias("signup_date"),
+        day_of(table, source.ts_col, source.zone).alias("signup_date"),
         F.col(source.restricted_col).alias("restricted"),
     ]
     if source.segment_col:

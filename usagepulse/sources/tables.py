@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +19,18 @@ def jdbc_reader(
     spark: SparkSession,
     options: Mapping[str, str],
     splits: Mapping[str, Mapping[str, str]] | None = None,
+    small: Collection[str] = (),
 ) -> TableReader:
     """Tables of a relational database.
 
     ``splits`` gives, per table, the ``partitionColumn``, ``lowerBound``,
-    ``upperBound`` and ``numPartitions`` that let executors read it in parallel;
-    a table without an entry is read by one task.
+    ``upperBound`` and ``numPartitions`` that let executors read it in parallel.
+    Only tables named in ``small`` are read by one task; any other is an error.
     """
 
     def read(name: str) -> DataFrame:
+        if name not in (splits or {}) and name not in small:
+            raise ValueError(f"table {name!r} has no splits and is not declared small")
         table_options = {**options, **(splits or {}).get(name, {}), "dbtable": name}
         return spark.read.format("jdbc").options(**table_options).load()
 
