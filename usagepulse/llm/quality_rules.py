@@ -9,7 +9,6 @@ rule votes which way, and gives each pattern its posterior.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,20 +112,16 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES)
     return good
 
 
-def _measure(text: str, keep: list[str]):
-    names = list(BASE) + ["pattern"]
+_COUNTS = [*BASE, "pattern"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column(text)]
-            base = np.array([b for b, _ in found], np.int64).reshape(len(found), len(BASE))
-            ratios = np.array([r for _, r in found]).reshape(len(found), len(RATIOS))
-            columns = [pa.array(c) for c in base.T] + [pa.array(vote_patterns(ratios))]
-            struct = pa.StructArray.from_arrays(columns, names)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), struct], [*keep, "_rules"])
 
-    kind = StructType([StructField(n, LongType()) for n in names])
-    return run, kind
+def _measured(texts: pa.Array) -> pa.Array:
+    """Base counts and vote pattern of each text."""
+    found = [statistics(t.as_py()) for t in texts]
+    base = np.array([b for b, _ in found], np.int64).reshape(len(found), len(BASE))
+    ratios = np.array([r for _, r in found]).reshape(len(found), len(RATIOS))
+    columns = [pa.array(c) for c in base.T] + [pa.array(vote_patterns(ratios))]
+    return pa.StructArray.from_arrays(columns, _COUNTS)
 
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -140,9 +135,11 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     """
     docs = docs.drop("_rules")
     keep = docs.columns if keep is None else keep
-    run, kind = _measure(text, keep)
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("_rules", kind)])
-    measured = materialise(docs.mapInArrow(run, schema), "rules")
+    # Only texts go to Python and only counts come back; the other columns stay behind.
+    measure = F.arrow_udf(_measured, StructType([StructField(n, LongType()) for n in _COUNTS]))
+    measured = materialise(
+        docs.select(*keep, measure(F.col(text).cast("string")).alias("_rules")), "rules"
+    )
     counted = measured.groupBy(F.col("_rules.pattern").alias("pattern")).count().toPandas()
     patterns = counted["pattern"].to_numpy(np.int64)
     good = posteriors(patterns, counted["count"].to_numpy(float))
