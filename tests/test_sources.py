@@ -1,5 +1,7 @@
 """Readers and the stored fact."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,21 @@ def test_text_with_quotes_stays_text(spark):
         [("success", "O'Neil \\ sons"), ("success", "other")], "status string, provider_number string"
     )
     assert [r[1] for r in frame.filter(kept).collect()] == ["other"]
+
+
+def test_a_day_is_replaced_and_first_seen_gives_the_same_reports(spark, activity_of, users_of, tmp_path):
+    path = str(tmp_path / "activity")
+    write_activity(activity_of([("a", "2024-03-04", "spending"), (None, "2024-02-01", "savings"), ("c", "2024-01-05", "savings")]), path)
+    later = activity_of([("b", "2024-03-04", "savings"), ("a", "2024-03-01", "spending"), ("z", "2024-02-01", "savings")])
+    write_activity(later, path, date(2024, 3, 1), date(2024, 3, 4))
+    stored = read_activity(spark, path)
+    assert sorted(str(r[0]) for r in stored.select("user_id").collect()) == ["None", "a", "b", "c"]
+    first, users = engagement.first_seen(stored), users_of([("a", "2024-03-01", False)])
+    month = ("2024-03-02", "2024-03-31")
+    quick = engagement.churn_count(stored.filter("activity_date >= DATE'2024-03-02'"), *month, first=first)
+    assert quick.first() == engagement.churn_count(stored, *month).first() == (3,)
+    assert (
+        engagement.absolute_metrics(stored, users, month[1], first=first).first()
+        == engagement.absolute_metrics(stored, users, month[1]).first()
+        == (1, 3)
+    )

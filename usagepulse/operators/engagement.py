@@ -189,30 +189,56 @@ def metrics_by_feature(
     return _with_stickiness(merged).select("feature", *FEATURE_METRICS)
 
 
-def churn_count(activity: DataFrame, start: date | str, end: date | str) -> DataFrame:
+def first_seen(activity: DataFrame) -> DataFrame:
+    """``(user_id, first_ever)``: each user's first active day. Kept up to date in a table,
+    it spares reports that look back to the beginning all activity before their period."""
+    return activity.groupBy("user_id").agg(F.min("activity_date").alias("first_ever"))
+
+
+def churn_count(
+    activity: DataFrame, start: date | str, end: date | str, first: DataFrame | None = None
+) -> DataFrame:
     """Users active at any time up to ``end`` but not within ``[start, end]``.
 
     One flag per user replaces the anti join. The nameless user always counts, as
-    it never matches itself in an anti join.
+    it never matches itself in an anti join. With ``first``, a `first_seen` frame,
+    only the period's activity is read.
     """
     period = Period.of(start, end)
-    per_user = (
-        activity.filter(F.col("activity_date") <= period.end)
-        .groupBy("user_id")
-        .agg(rollup.any_mark(period.sql_holds("activity_date"), "came_back"))
+    day = F.col("activity_date")
+    seen = activity.filter(day <= period.end)
+    if first is not None:
+        known = first.filter(F.col("first_ever") <= period.end)
+        seen = (
+            activity.filter(period.holds(day))
+            .select("user_id", "activity_date")
+            .unionByName(known.select("user_id", F.lit(None).cast("date").alias("activity_date")))
+        )
+    per_user = seen.groupBy("user_id").agg(
+        rollup.any_mark(period.sql_holds("activity_date"), "came_back")
     )
     return per_user.agg(*rollup.count_where({"churn_count": "NOT came_back OR user_id IS NULL"}))
 
 
-def absolute_metrics(activity: DataFrame, users: DataFrame, end: date | str) -> DataFrame:
-    """Unrestricted signups and distinct active users from inception to ``end``."""
+def absolute_metrics(
+    activity: DataFrame, users: DataFrame, end: date | str, first: DataFrame | None = None
+) -> DataFrame:
+    """Unrestricted signups and distinct active users from inception to ``end``.
+
+    With ``first``, a `first_seen` frame, no activity is read.
+    """
     last = F.lit(Period.of(end, end).end)
     signups = (
         unrestricted(users)
         .filter(F.col("signup_date") <= last)
         .agg(F.count("*").alias("absolute_total_signups"))
     )
-    active = activity.filter(F.col("activity_date") <= last).agg(
-        F.count_distinct("user_id").alias("absolute_total_active_users")
-    )
+    if first is None:
+        active = activity.filter(F.col("activity_date") <= last).agg(
+            F.count_distinct("user_id").alias("absolute_total_active_users")
+        )
+    else:
+        active = first.filter(F.col("first_ever") <= last).agg(
+            F.count("user_id").alias("absolute_total_active_users")
+        )
     return rollup.one_row(signups, active)

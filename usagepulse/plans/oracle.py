@@ -771,6 +771,8 @@ SELECT concat(upper(left(event_type, 1)), lower(substr(event_type, 2))) AS react
 FROM events WHERE {in_event_weeks}
 """,
     }
+    for name in ("churn_count", "absolute_metrics"):
+        oracles[f"{name}_first_seen"] = oracles[name]
     series = {"day": ("activity_date", "dau"), "week": ("week", "wau"), "month": ("month", "mau")}
     for f in FEATURES:
         oracles[f"feature_metrics_{f}"] = _feature_metrics(f, SPRING)

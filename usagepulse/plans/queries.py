@@ -94,6 +94,25 @@ def _daily_users_sql(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql(DAILY_USERS_SQL, args=window, activity=activity)
 
 
+def _with_first_seen(op, *args) -> Query:
+    """Activity reports from a first-seen frame, derived here and kept in a table elsewhere."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        read = parquet_reader(spark, root)
+        activity = COMMERCE.activity(read)
+        return op(activity, read, engagement.first_seen(activity), *args)
+
+    return run
+
+
+def _churn_since(activity: DataFrame, read: TableReader, first: DataFrame) -> DataFrame:
+    return engagement.churn_count(activity, *MARCH, first=first)
+
+
+def _absolute_since(activity: DataFrame, read: TableReader, first: DataFrame) -> DataFrame:
+    return engagement.absolute_metrics(activity, COMMERCE.users(read), MARCH[1], first=first)
+
+
 def all_queries() -> dict[str, Query]:
     months = monthly_periods(*YEAR, history_days=DORMANT_DAYS)
     march = [Period.of(*MARCH, DORMANT_DAYS)]
@@ -127,6 +146,8 @@ def all_queries() -> dict[str, Query]:
             _on_both(EVENTS, retention.retention_by_feature, *EVENT_START), kpis.feature_insights
         ),
         "churn_count": _on_activity(COMMERCE, engagement.churn_count, *MARCH),
+        "churn_count_first_seen": _with_first_seen(_churn_since),
+        "absolute_metrics_first_seen": _with_first_seen(_absolute_since),
         "absolute_metrics": _on_both(COMMERCE, engagement.absolute_metrics, MARCH[1]),
         "trend_dau_sql": _daily_users_sql,
         "trend_series": _on_activity(EVENTS, trends.active_user_series, *EVENT_WEEKS),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping
+from datetime import date
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TableReader = Callable[[str], DataFrame]
 
@@ -49,15 +51,27 @@ def require_columns(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     return df
 
 
-def write_activity(activity: DataFrame, path: str) -> None:
+def write_activity(
+    activity: DataFrame, path: str, start: date | None = None, end: date | None = None
+) -> None:
     """Store the fact once, partitioned by date, for every later report to prune.
 
+    With ``start`` or ``end`` only those dates are written, over what is stored for them;
+    the others stay. A date that has no activity any more keeps what it had.
+
     The rebalance hint lets adaptive execution split a date that holds a large
     share of the rows and pack small ones, instead of one writer task per date.
     """
+    day = F.col("activity_date")
+    if start is not None:
+        activity = activity.filter(day >= F.lit(start))
+    if end is not None:
+        activity = activity.filter(day <= F.lit(end))
+    part = start is not None or end is not None
     (
         activity.hint("rebalance", "activity_date")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if part else "static")
         .partitionBy("activity_date")
         .parquet(path)
     )
