@@ -35,7 +35,7 @@ DECAY = 0.6  # weight of a subsequence for every position it spans beyond four
 SPAN = 6
 LONG = 24  # a longer word is read in windows of this many characters
 FALSE_SHARE = 0.05  # of the suspects that chance may have put there
-COST = 40.0
+COST = 8.0
 OFFSET = -1.0
 THRESHOLD = 0.5
 NOTHING = -4.0  # decision for a text without words
