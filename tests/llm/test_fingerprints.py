@@ -86,3 +86,18 @@ def test_fewer_edits_are_nearer():
 def test_short_texts(text):
     assert fingerprints.signature(text).shape == (fingerprints.SLOTS,)
     assert fingerprints.likeness(fingerprints.signature(text), fingerprints.signature(text or "")) == 1.0
+
+
+def test_half_edited_texts_are_nearer_than_unrelated_ones(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, "".join(chr(97 + c) for c in rnd.integers(0, 26, 800))) for i in range(400)]
+    got = fingerprints.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400
+    assert sum(r.near_edited > r.near_next for r in got) >= 0.99 * len(got)
+
+
+def test_blocks_of_slots_change_nothing(monkeypatch):
+    text = "the quick brown fox jumps over lazy dogs " * 9
+    whole = fingerprints.signature(text)
+    monkeypatch.setattr(fingerprints, "RANKS", 1000)
+    assert (fingerprints.signature(text) == whole).all()

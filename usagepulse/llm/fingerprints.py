@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K = 6
-SLOTS = 16
+SLOTS = 64  # a text with half of it new agrees in a ninth of them; none agree once in 2,000
 TUPLE = 2
+RANKS = 1 << 18  # numbers ranked at once, or one slot of a longer text
 RANGE_ROWS = 1024
 MAX_RANGES = 65_536
 
@@ -55,12 +56,14 @@ def signature(text: str | None) -> np.ndarray:
     occurrence = np.empty(n, np.uint64)
     occurrence[places] = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
     numbered = (_mix(hashes + occurrence * _BASE) >> np.uint64(32)).astype(np.uint32)
-    ranks = (numbered ^ _XOR) * _ODD
     picked = np.empty((SLOTS, min(TUPLE, n)), np.int64)
-    rows = np.arange(SLOTS)
-    for t in range(picked.shape[1]):
-        picked[:, t] = ranks.argmin(axis=1)
-        ranks[rows, picked[:, t]] = np.uint32(0xFFFFFFFF)
+    block = max(1, RANKS // n)
+    for at in range(0, SLOTS, block):
+        ranks = (numbered ^ _XOR[at : at + block]) * _ODD[at : at + block]
+        rows = np.arange(len(ranks))
+        for t in range(picked.shape[1]):
+            found = picked[at : at + block, t] = ranks.argmin(axis=1)
+            ranks[rows, found] = np.uint32(0xFFFFFFFF)
     picked.sort(axis=1)
     out = np.zeros(SLOTS, np.uint64)
     for t in range(picked.shape[1]):
