@@ -79,3 +79,15 @@ def test_awkward_rows(awkward, no_rows):
     assert all(math.isfinite(r.score) for r in rows)
     assert lm_scoring.score(no_rows, target).count() == 0
     assert lm_scoring.score(awkward, target.where("doc_id > 9")).count() == awkward.count()
+
+
+def test_many_distinct_ngrams_keep_their_own_counts(spark):
+    rnd = np.random.default_rng(5)
+    texts = ["".join(chr(97 + c) for c in rnd.integers(0, 60, 8000)) for _ in range(100)]
+    good = [i % 3 == 0 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    target = docs.where("doc_id % 3 = 0").select("doc_id")
+    rows = {r.doc_id: r for r in lm_scoring.score(docs, target).collect()}
+    for i in (0, 1):
+        wanted = slow_losses(texts, good, texts[i])
+        assert (rows[i].target_loss, rows[i].background_loss) == pytest.approx(wanted, rel=1e-6)

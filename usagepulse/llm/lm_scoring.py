@@ -1,26 +1,38 @@
 """Cross-entropy difference under matched character n-gram models.
 
 A target model and a background model have the same order, smoothing and vocabulary. Both
-are counted over whole texts: the background over all documents, the target over those
-chosen. N-grams are hashed to ``2 ** BITS`` cells per order, which bounds the models
-whatever the corpus; every task adds up its own texts before anything is moved. A document's score is the mean over its tokens of target
-loss minus background loss: the lower, the more it resembles the target.
+are counted exactly over whole texts: the background over all documents, the target over
+those chosen. A document's score is the mean over its tokens of target loss minus
+background loss: the lower, the more it resembles the target.
+
+A token's loss depends on the n-gram of full order that ends there, so the models become
+a table of losses by n-gram, which grows with the corpus and stays a table. Documents are
+dealt into blocks by hash; a block adds up its n-grams before they are moved, and gets the
+losses of its own distinct n-grams back by a join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagepulse.llm.common import materialise
+
 ORDER = 4
-BITS = 20
-CELLS = 1 << BITS
 PSEUDO = 5.0  # weight of the next lower order
 STEP = 1 << 20  # code points handled at once, or one text if it is longer
+BLOCK = 1 << 22  # code points of a block, about
+POINT = 21  # bits of a code point; an n-gram is two pairs of them
+LOW = (1 << POINT) - 1
+
+# Cells of ``losses``, which scores by hashed counts held in memory. No query uses it.
+BITS = 20
+CELLS = 1 << BITS
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -61,53 +73,11 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield at, held
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, ORDER * CELLS), np.int64)
-    for batch in batches:
-        chosen = batch.column("target").to_pylist()
-        texts = batch.column("text").to_pylist()
-        for wanted in (False, True):
-            part = [t for t, c in zip(texts, chosen) if bool(c) == wanted]
-            for _, chunk in _chunks(part):
-                points, token = _joined(chunk)
-                for n, cells in enumerate(_cells(points)):
-                    found = np.bincount(cells[token], minlength=CELLS)
-                    counts[int(wanted), n * CELLS : (n + 1) * CELLS] += found
-    cells = np.flatnonzero(counts.any(axis=0))
-    for at in range(0, len(cells), 1 << 16):
-        part = cells[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(part.astype(np.int32)),
-                pa.array(counts[1, part]),
-                pa.array(counts[:, part].sum(axis=0)),
-            ],
-            ["cell", "target", "background"],
-        )
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """``cell, target, background`` over ``docs(text, target)``; at most ORDER * CELLS rows."""
-    return (
-        docs.select("text", "target")
-        .mapInArrow(_count, "cell int, target long, background long")
-        .groupBy("cell")
-        .agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    )
-
-
-def models(counted: DataFrame) -> np.ndarray:
-    """Counts of both models: target in row 0, background in row 1."""
-    out = np.zeros((2, ORDER * CELLS), np.float32)
-    rows = counted.toArrow()
-    cells = rows.column("cell").to_numpy()
-    for i, name in enumerate(("target", "background")):
-        out[i, cells] = rows.column(name).to_numpy()
-    return out
-
-
 def losses(counts: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each text, and its mean loss in bits under each model (0 without tokens)."""
+    """Tokens of each text, and its mean loss in bits under each model (0 without tokens).
+
+    ``counts`` are hashed to cells, which n-grams share when they are many.
+    """
     tokens = np.array([len(t or "") for t in texts], np.int64)
     sums = np.zeros((len(counts), len(texts)))
     # Both models give an n-gram the same chance before any count: one vocabulary.
@@ -129,17 +99,182 @@ def losses(counts: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.
     return tokens, sums / np.maximum(tokens, 1)
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, mean = losses(shared.value, batch.column("text").to_pylist())
+def _pairs(points: np.ndarray) -> np.ndarray:
+    """Each code point with the one before it."""
+    points = points.astype(np.int64)
+    return (np.r_[0, points[:-1]] << POINT) | points
+
+
+def _tally(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of texts, as first and last pair, and their counts."""
+    points, token = _joined(texts)
+    pairs = _pairs(points)
+    known = np.unique(pairs)
+    ids = np.searchsorted(known, pairs)
+    at = np.flatnonzero(token)
+    keys, counts = np.unique((ids[at - 2] << 32) | ids[at], return_counts=True)
+    return known[keys >> 32], known[keys & 0xFFFFFFFF], counts
+
+
+def _merged(block: int, parts: list) -> pa.RecordBatch:
+    """One row for each distinct n-gram of a block."""
+    first, last, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    good = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+    known = np.unique(np.r_[first, last])
+    keys = (np.searchsorted(known, first) << 32) | np.searchsorted(known, last)
+    keys, owner = np.unique(keys, return_inverse=True)
+    target = np.bincount(owner, counts * good, len(keys)).astype(np.int64)
+    background = np.bincount(owner, counts, len(keys)).astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(keys), block, np.int32)),
+            pa.array(known[keys >> 32]),
+            pa.array(known[keys & 0xFFFFFFFF]),
+            pa.array(target),
+            pa.array(background),
+        ],
+        ["block", "first", "last", "target", "background"],
+    )
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Rows of one block and kind side by side."""
+    blocks = batch.column("block").to_numpy(zero_copy_only=False)
+    texts = batch.column("is_text").to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (texts[1:] != texts[:-1])) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+        if end > start:
+            yield int(blocks[start]), bool(texts[start]), batch.slice(start, end - start)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a block's n-grams; the ids of its targets come before its texts."""
+    place, chosen, parts = None, set(), []
+    for batch in batches:
+        for block, is_text, run in _runs(batch):
+            if block != place:
+                if parts:
+                    yield _merged(place, parts)
+                place, chosen, parts = block, set(), []
+            ids = run.column("doc_id").to_pylist()
+            if not is_text:
+                chosen.update(ids)
+                continue
+            texts = run.column("text").to_pylist()
+            for wanted in (False, True):
+                part = [t for t, i in zip(texts, ids) if t and (i in chosen) == wanted]
+                parts += [(wanted, *_tally(chunk)) for _, chunk in _chunks(part)]
+    if parts:
+        yield _merged(place, parts)
+
+
+def ngram_losses(tallies: DataFrame) -> DataFrame:
+    """``first, last, target_loss, background_loss`` of every distinct n-gram in bits.
+
+    ``tallies`` has counts by n-gram, in any number of parts. An n-gram of lower order
+    counts where it ends an n-gram of full order.
+    """
+    models = ("target", "background")
+    added = [F.sum(m).alias(m) for m in models]
+    four = materialise(tallies.groupBy("first", "last").agg(*added), "ngrams")
+    three = four.groupBy(F.col("first").bitwiseAND(LOW).alias("before"), "last").agg(*added)
+    three = materialise(three, "trigrams")
+    two = materialise(three.groupBy("last").agg(*added), "bigrams")
+    one = materialise(two.groupBy(F.col("last").bitwiseAND(LOW).alias("last")).agg(*added), "points")
+    # Both models give an n-gram the same chance before any count: one vocabulary.
+    size, *totals = one.agg(F.count("*"), *[F.coalesce(F.sum(m), F.lit(0)) for m in models]).first()
+
+    def chances(known: Column | float, lower, model: str) -> Column:
+        return ((F.col(model) + PSEUDO * lower) / (known + PSEUDO)).alias(f"{model}_chance")
+
+    def step(grams: DataFrame, keys: list[str], suffix: dict[str, Column], lower: DataFrame, context: dict[str, Column], shorter: DataFrame) -> DataFrame:
+        """Chances of one order from those of the suffixes and the counts of the contexts."""
+        keyed = grams.select(
+            "*", *[v.alias(f"s_{k}") for k, v in suffix.items()], *[v.alias(f"c_{k}") for k, v in context.items()]
+        )
+        below = lower.select(*[F.col(k).alias(f"s_{k}") for k in suffix], *[F.col(f"{m}_chance").alias(f"{m}_low") for m in models])
+        held = shorter.select(*[F.col(k).alias(f"c_{k}") for k in context], *[F.col(m).alias(f"{m}_held") for m in models])
+        return (
+            keyed.join(below, [f"s_{k}" for k in suffix])
+            .join(held, [f"c_{k}" for k in context], "left")
+            .select(
+                *keys,
+                *[chances(F.coalesce(F.col(f"{m}_held"), F.lit(0)), F.col(f"{m}_low"), m) for m in models],
+            )
+        )
+
+    def context(pair: Column, point: Column) -> Column:
+        return F.shiftleft(pair.bitwiseAND(LOW), POINT).bitwiseOR(F.shiftright(point, POINT))
+
+    last, first = F.col("last"), F.col("first")
+    p1 = one.select("last", *[chances(float(t), 1.0 / max(size, 1), m) for m, t in zip(models, totals)])
+    p2 = step(two, ["last"], {"last": last.bitwiseAND(LOW)}, p1, {"last": F.shiftright(last, POINT)}, one)
+    p3 = step(three, ["before", "last"], {"last": last}, p2, {"last": context(F.col("before"), last)}, two)
+    p4 = step(
+        four,
+        ["first", "last"],
+        {"before": first.bitwiseAND(LOW), "last": last},
+        p3,
+        {"before": F.shiftright(first, POINT), "last": context(first, last)},
+        three,
+    )
+    # A pad never counts as a context, so the chance after one can pass one.
+    return p4.select(
+        "first", "last", *[(-F.log2(F.least(F.col(f"{m}_chance"), F.lit(1.0)))).alias(f"{m}_loss") for m in models]
+    )
+
+
+class _Losses:
+    """The losses of a block's n-grams."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        first, last, *bits = (
+            np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+            for c in ("first", "last", "target_loss", "background_loss")
+        )
+        first, last = first.astype(np.int64), last.astype(np.int64)
+        self.pairs = np.unique(np.r_[first, last])
+        keys = (np.searchsorted(self.pairs, first) << 32) | np.searchsorted(self.pairs, last)
+        order = np.argsort(keys)
+        self.keys, self.bits = keys[order], [b[order] for b in bits]
+
+    def means(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Tokens of each text, and its mean loss under each model (0 without tokens)."""
+        tokens = np.array([len(t or "") for t in texts], np.int64)
+        sums = np.zeros((2, len(texts)))
+        for start, chunk in _chunks(texts):
+            points, token = _joined(chunk)
+            ids = np.searchsorted(self.pairs, _pairs(points))
+            at = np.flatnonzero(token)
+            found = np.searchsorted(self.keys, (ids[at - 2] << 32) | ids[at])
+            owner = np.repeat(np.arange(len(chunk)), tokens[start : start + len(chunk)])
+            for i, bits in enumerate(self.bits):
+                sums[i, start : start + len(chunk)] = np.bincount(owner, bits[found], len(chunk))
+        return tokens, list(sums / np.maximum(tokens, 1))
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores a block's texts; the losses of its n-grams come before them."""
+    place, parts, table = None, [], None
+    for batch in batches:
+        for block, is_text, run in _runs(batch):
+            if block != place:
+                place, parts, table = block, [], None
+            if not is_text:
+                parts.append(run)
+                continue
+            texts = run.column("text").to_pylist()
+            if table is None and parts:
+                table, parts = _Losses(parts), []
+            if table is None:  # no text of the block has a token
+                tokens, mean = np.zeros(len(texts), np.int64), [np.zeros(len(texts))] * 2
+            else:
+                tokens, mean = table.means(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(tokens), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
+                [run.column("doc_id"), pa.array(tokens), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])],
                 ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
             )
 
-    return run
-
 
 def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Losses of every row of ``docs``; ``target`` holds the ids of the target documents.
@@ -150,13 +285,31 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
     count; repeated target ids count once; other columns are ignored; an empty table gives
     an empty result.
     """
+    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # The targets have no bound, so they are never broadcast: one plan at every size.
-    chosen = target.select("doc_id").distinct().withColumn("target", F.lit(True))
-    counts = models(count_ngrams(docs.join(chosen.hint("shuffle_hash"), "doc_id", "left")))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 * ORDER * CELLS numbers
-    return docs.mapInArrow(
-        _score(shared),
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BLOCK))
+    # A target is found by its id, so rows of one id share a block; those without are spread.
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    block = F.pmod(place, F.lit(blocks)).cast("int").alias("block")
+    texts = docs.select(block, F.lit(True).alias("is_text"), "doc_id", "text")
+
+    def dealt(others: DataFrame) -> DataFrame:
+        return (
+            others.unionByName(texts, allowMissingColumns=True)
+            .repartition(blocks, "block")
+            .sortWithinPartitions("block", "is_text")
+        )
+
+    chosen = target.select(F.col("doc_id").cast(kind).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    chosen = chosen.withColumn("text", F.lit(None).cast("string"))
+    marks = chosen.select(block, F.lit(False).alias("is_text"), "doc_id", "text")
+    tallies = materialise(
+        dealt(marks).mapInArrow(_count, "block int, first long, last long, target long, background long"), "tallies"
+    )
+    bits = tallies.select("block", "first", "last").join(ngram_losses(tallies), ["first", "last"])
+    return dealt(bits.withColumn("is_text", F.lit(False))).mapInArrow(
+        _score,
         f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double",
     )
