@@ -115,3 +115,20 @@ def test_copies_of_one_text_reveal_nothing(spark):
 def test_overlapping_spans_are_replaced_as_one(spark):
     docs = spark.createDataFrame([(1, "call +4111111111111111 é x@y.z 1.2.3.4 end")], "doc_id long, text string")
     assert pii.sanitise(docs).first().text == "call +[CARD] é [EMAIL] [IP] end"
+
+
+def test_terms_far_from_an_address_and_with_digits_are_found(spark):
+    words = [f"{a}{b}" for a in ("gar", "wan", "blo", "tre") for b in ("den", "der", "mel", "ish", "ow")]
+    rnd = random.Random(3)
+    rows = []
+    for i in range(200):
+        rows.append(" ".join(rnd.choices(words, k=60)))
+        if i % 25 == 0:
+            far = " ".join(rnd.choices(words, k=60))
+            near = " ".join(rnd.choices(words, k=30))
+            rows.append(f"Quillon or jdoe42 {far} {near} at q@mail.example {near}")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = [r.text for r in pii.sanitise(docs).collect()]
+    assert sum("[EMAIL]" in t for t in clean) == 8
+    assert not any("Quillon" in t or "jdoe42" in t for t in clean)
+    assert any("garden" in t for t in clean)

@@ -1,8 +1,8 @@
 """Personal data: pattern matches, and terms that reveal them.
 
 Four kinds of values are found by pattern and checked. Each is then a protected entity, and
-the corpus tells which terms give it away: a term that stands near an entity in several
-distinct contexts, and whose texts mostly hold that entity, carries nearly the whole
+the corpus tells which terms give it away: a term whose texts hold an entity in several
+distinct contexts, and mostly hold that entity, carries nearly the whole
 information about it. Terms beyond the disclosure thresholds are spans too; the strongest
 are removed, the others generalised.
 
@@ -35,9 +35,10 @@ HINTS = {
 }
 TERM_PATTERN = r"[\p{L}\p{N}]+"
 
+# Contexts only tell near copies apart; terms are taken from whole texts.
 CONTEXT_CHARS = 160  # on each side of a match
 CONTEXT_TERMS = 10
-MIN_CONTEXTS = 3  # distinct contexts in which a term stands near an entity
+MIN_CONTEXTS = 3  # distinct contexts of an entity in the texts with a term
 MIN_SHARE = 0.5  # of a term's texts that hold the entity
 MIN_BITS = 3.0  # gained about the entity by seeing the term
 REMOVE_SHARE = 0.9
@@ -129,14 +130,34 @@ def _base(text: Column, kind: str) -> Column:
 def _terms(text: Column) -> Column:
     return F.filter(
         F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)),
-        lambda t: (F.length(t) > 1) & ~t.rlike(r"[0-9]"),
+        lambda t: F.length(t) > 1,
+    )
+
+
+def _outside(text: Column, found: Column) -> Column:
+    """``text`` with a space in place of each match."""
+
+    def step(done: Column, m: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(m["start"] - done["at"], F.lit(0)))
+        return F.struct(
+            F.greatest(done["at"], m["end"]).alias("at"), F.concat(done["out"], F.array(gap)).alias("out")
+        )
+
+    ordered = F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+    zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        ordered,
+        zero,
+        step,
+        lambda done: F.concat_ws(" ", done["out"], F.substring(text, done["at"] + 1, F.length(text))),
     )
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """Rows ``(row, entity, context)``: each match in ``texts`` with its context terms.
+    """Rows ``(key, terms, found)`` of the distinct texts that hold an entity.
 
-    ``row`` numbers the documents; it is fixed once the result is written.
+    ``terms`` are those outside matches, ``found`` has the entity and a hash of the context
+    terms of each match.
     """
     text = F.col("text")
 
@@ -149,7 +170,7 @@ def mentions(texts: DataFrame) -> DataFrame:
             value = F.lower(m["value"]) if kind == "email" else _digits(m["value"]) if kind != "ip" else m["value"]
             return F.struct(
                 F.concat(F.lit(kind + ":"), value).alias("entity"),
-                F.array_distinct(
+                F.xxhash64(
                     F.concat(
                         F.slice(before, F.greatest(F.size(before) - CONTEXT_TERMS + 1, F.lit(1)), CONTEXT_TERMS),
                         F.slice(after, 1, CONTEXT_TERMS),
@@ -159,28 +180,42 @@ def mentions(texts: DataFrame) -> DataFrame:
 
         return one
 
-    kinds = [F.transform(_base(text, kind), near(kind)) for kind in KINDS]
-    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "text")
-    return numbered.select("row", F.explode(F.concat(*kinds)).alias("m")).select("row", "m.*")
+    bases = [_base(text, kind) for kind in KINDS]
+    found = F.array_distinct(F.concat(*[F.transform(b, near(k)) for b, k in zip(bases, KINDS)]))
+    terms = F.array_distinct(_terms(_outside(text, F.concat(*bases))))
+    return (
+        texts.select("key", found.alias("found"), terms.alias("terms"))
+        .where(F.size("found") > 0)
+        .dropDuplicates(["key"])
+    )
 
 
 def revealing_terms(texts: DataFrame) -> DataFrame:
     """Terms beyond the disclosure thresholds: ``term, share``, over the column ``text``.
 
-    Counts are of documents, copies included on both sides of every share; a term needs
-    MIN_CONTEXTS distinct contexts besides. ``share`` is the largest share of a term's
-    documents that hold one entity; the gain in bits is log2 of that share over the
-    entity's own share of all documents. The documents with a term near any entity bound
-    its documents from below, which rules out common words before they are counted.
+    Counts are of whole texts; a term's texts need MIN_CONTEXTS distinct contexts of the
+    entity besides. ``share`` is the largest share of a term's texts that hold one entity;
+    the gain in bits is log2 of that share over the entity's own share of all texts.
+    The texts with a term and any entity bound its texts from below, which rules out
+    common words before they are counted.
     """
     found = materialise(mentions(texts), "mentions")
     total = texts.count()
-    entities = found.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
-    pairs = found.select(
-        "row", "entity", F.xxhash64("context").alias("context"), F.explode("context").alias("term")
+    matches = found.select("key", F.explode("found").alias("m")).select("key", "m.*")
+    # An entity of too few contexts has no term of enough.
+    entities = materialise(
+        matches.groupBy("entity")
+        .agg(F.count_distinct("key").alias("n_e"), F.count_distinct("context").alias("contexts"))
+        .where(F.col("contexts") >= MIN_CONTEXTS)
+        .select("entity", "n_e"),
+        "entities",
+    )
+    pairs = (
+        matches.join(entities.select("entity"), "entity", "left_semi")
+        .join(found.select("key", "terms"), "key")
+        .select("entity", F.xxhash64("key").alias("row"), "context", F.explode("terms").alias("term"))
     )
-    # Repeats of a pair in one context or document are merged before anything is moved.
-    near = pairs.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    near = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     candidates = materialise(
         pairs.groupBy("entity", "term")
         .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_te"))
