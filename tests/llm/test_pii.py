@@ -132,3 +132,11 @@ def test_terms_far_from_an_address_and_with_digits_are_found(spark):
     assert sum("[EMAIL]" in t for t in clean) == 8
     assert not any("Quillon" in t or "jdoe42" in t for t in clean)
     assert any("garden" in t for t in clean)
+
+
+def test_copies_of_a_text_without_the_entity_count_once(spark):
+    rows = [f"plain words number n{'abcdefghij'[i % 10] * (i + 2)} about gardens" for i in range(200)]
+    rows += [f"{c * 5} Quillon {c * 7} at q@mail.example {c * 9}" for c in "abcdefghij"]
+    rows += ["Quillon wrote without any address"] * 100
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert not any("Quillon" in r.text for r in pii.sanitise(docs).collect())

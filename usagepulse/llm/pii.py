@@ -193,14 +193,14 @@ def mentions(texts: DataFrame) -> DataFrame:
 def revealing_terms(texts: DataFrame) -> DataFrame:
     """Terms beyond the disclosure thresholds: ``term, share``, over the column ``text``.
 
-    Counts are of whole texts; a term's texts need MIN_CONTEXTS distinct contexts of the
+    Counts are of distinct whole texts, however many copies there are; a term's texts need MIN_CONTEXTS distinct contexts of the
     entity besides. ``share`` is the largest share of a term's texts that hold one entity;
     the gain in bits is log2 of that share over the entity's own share of all texts.
     The texts with a term and any entity bound its texts from below, which rules out
     common words before they are counted.
     """
     found = materialise(mentions(texts), "mentions")
-    total = texts.count()
+    total = texts.select("key").distinct().count()
     matches = found.select("key", F.explode("found").alias("m")).select("key", "m.*")
     # An entity of too few contexts has no term of enough.
     entities = materialise(
@@ -229,8 +229,9 @@ def revealing_terms(texts: DataFrame) -> DataFrame:
         return candidates.select("term", F.lit(0.0).alias("share"))
     wanted = candidates.select("term").distinct()
     holding = (
-        texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+        texts.select("key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
         .join(wanted, "term", "left_semi")
+        .distinct()
         .groupBy("term")
         .agg(F.count("*").alias("n_t"))
     )
