@@ -80,3 +80,14 @@ def test_awkward_rows(spark, awkward, no_rows):
     assert all(r.held_out for r in got if r.doc_id is None)
     assert toxicity.classify(no_rows, labels).count() == 0
     assert toxicity.classify(awkward, labels.where("doc_id > 99")).count() == awkward.count()
+
+
+def test_copies_do_not_raise_the_share_of_toxic_texts(spark, monkeypatch):
+    texts = [f"a garden number n{'abcdefghij'[i % 10] * (i + 2)}" for i in range(90)]
+    texts += ["you are worthless"] * 90
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 90)) for i in range(180)] + [(90, 0)], "doc_id long, toxic int")
+    seen, telling = [], toxicity.telling
+    monkeypatch.setattr(toxicity, "telling", lambda t, c, w, base: seen.append(base) or telling(t, c, w, base))
+    toxicity.train(docs, labels)
+    assert 0 < seen[0] < 0.05

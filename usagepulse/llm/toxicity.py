@@ -332,14 +332,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         docs.join(bounded_sample(known, "doc_id", sample), "doc_id").select("doc_id", "text", "label"),
         "lessons",
     )
-    distinct = lessons.select("text", "label").distinct()  # a copied text teaches once
+    # A copied text teaches once; it is toxic if at least half of its labels say so.
+    distinct = lessons.groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     counted = materialise(
         distinct.mapInArrow(_words_of_sentences, "unit string, toxic long, clean long")
         .groupBy("unit")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
         "units",
     )
-    ones, rows = lessons.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    ones, rows = distinct.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     base = (ones + 1) / (rows + 2)
     # Pairs of counts of at most ``sample`` documents, however many words share them.
     pairs = counted.groupBy("toxic", "clean").count().toPandas()
