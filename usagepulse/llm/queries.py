@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import fingerprints, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from usagepulse.llm import chat, fingerprints, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,41 @@ FROM led
 """
 
 
+def op11_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts are made of control strings."""
+    tricky = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+        "(-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.summary(chat.format_examples(rows.unionByName(tricky)))
+
+
+CHAT_FORMATTING_SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+    SELECT *, [length(x) + len(regexp_extract_all(x,
+            '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|endoftext\|>|\\'))
+        FOR x IN [role, text]] AS chars
+    FROM said
+), placed AS (
+    SELECT *, row_number() OVER turns AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+        sum(chars[1] + chars[2] + 12 + 10 + 10) OVER (turns ROWS UNBOUNDED PRECEDING) AS upto
+    FROM escaped WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(upto) FILTER (role = 'assistant' OR place = n))::BIGINT AS formatted_chars,
+    count(*) FILTER (role = 'assistant' OR place = n) AS n_examples
+FROM placed GROUP BY conv_id
+"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -145,8 +180,13 @@ def llm_queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_warc": op10_warc,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op11_chat_formatting": op11_chat_formatting,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op4_source_mixing": SOURCE_MIXING_SQL, "op10_warc": WARC_SQL}
+    return {
+        "op4_source_mixing": SOURCE_MIXING_SQL,
+        "op10_warc": WARC_SQL,
+        "op11_chat_formatting": CHAT_FORMATTING_SQL,
+    }
