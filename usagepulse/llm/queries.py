@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import chat, fingerprints, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from usagepulse.llm import chat, fingerprints, lm_scoring, merkle, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,72 @@ FROM placed GROUP BY conv_id
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """A manifest of all documents, and a climb from every leaf, some of them tampered with."""
+    docs = table(spark, root, "documents")
+    return merkle.verify(merkle.build(docs, tampered=merkle.tampered_text()))
+
+
+MERKLE_MANIFEST_SQL = """
+WITH RECURSIVE framed AS (
+    SELECT doc_id, lang, text,
+        list_reduce(string_split(doc_id::VARCHAR, ''), lambda crc, digit: list_reduce(
+            range(8), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, ascii(digit)::BIGINT)
+        ), 4294967295::BIGINT) AS crc,
+        array_to_string([coalesce(strlen(f)::VARCHAR || ':' || f, '-')
+            FOR f IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]], '') AS frame
+    FROM documents
+), hashed AS (
+    SELECT doc_id, lang, sha256(frame || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+        sha256(frame || coalesce(strlen(text)::VARCHAR || ':' || CASE WHEN xor(crc, 4294967295) % 3 = 0
+            THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed
+    FROM framed
+), leaves AS (
+    SELECT doc_id, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+        count(*) OVER (PARTITION BY lang) AS size, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+    FROM hashed
+), nodes AS (
+    SELECT tree, 0 AS height, place AS node, size, leaf AS hash FROM leaves
+    UNION ALL
+    SELECT tree, height + 1, node // 8, size, sha256(string_agg(hash, '' ORDER BY node))
+    FROM nodes WHERE size > 8 ** height GROUP BY tree, height, node // 8, size
+), subroots AS (
+    SELECT tree, arg_max(hash, height) AS subroot, max(height) AS levels, count(*) OVER () AS size
+    FROM nodes GROUP BY tree
+), tops AS (
+    SELECT 0 AS height, tree AS node, size, subroot AS hash FROM subroots
+    UNION ALL
+    SELECT height + 1, node // 8, size, sha256(string_agg(hash, '' ORDER BY node))
+    FROM tops WHERE size > 8 ** height GROUP BY height, node // 8, size
+), met AS (
+    SELECT l.tree, l.place, n.height + 1 AS step, n.node, n.hash, l.place // (8 ** n.height)::BIGINT AS own
+    FROM leaves l JOIN subroots s USING (tree) JOIN nodes n
+        ON n.tree = l.tree AND n.height < s.levels AND n.node // 8 = l.place // (8 ** (n.height + 1))::BIGINT
+    UNION ALL
+    SELECT l.tree, l.place, s.levels + t.height + 1, t.node, t.hash, l.tree // (8 ** t.height)::BIGINT
+    FROM leaves l JOIN subroots s USING (tree) JOIN tops t
+        ON t.size > 8 ** t.height AND t.node // 8 = l.tree // (8 ** (t.height + 1))::BIGINT
+), steps AS (
+    SELECT tree, place, step, coalesce(string_agg(hash, '' ORDER BY node) FILTER (node < own), '') AS l,
+        coalesce(string_agg(hash, '' ORDER BY node) FILTER (node > own), '') AS r
+    FROM met GROUP BY ALL
+), climb AS (
+    SELECT tree, place, 0 AS step, changed AS folded FROM leaves
+    UNION ALL
+    SELECT c.tree, c.place, s.step, sha256(s.l || c.folded || s.r)
+    FROM climb c JOIN steps s ON s.tree = c.tree AND s.place = c.place AND s.step = c.step + 1
+), folds AS (
+    SELECT tree, place, arg_max(folded, step) AS folded_root FROM climb GROUP BY ALL
+), proofs AS (
+    SELECT tree, place, string_agg(l || r, '' ORDER BY step) AS proof FROM steps GROUP BY ALL
+), tip AS (
+    SELECT arg_max(hash, height) AS root FROM tops
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN folds USING (tree, place) JOIN subroots USING (tree) CROSS JOIN tip LEFT JOIN proofs USING (tree, place)
+"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -181,6 +247,7 @@ def llm_queries() -> dict[str, Query]:
         "op10_warc": op10_warc,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op11_chat_formatting": op11_chat_formatting,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -189,4 +256,5 @@ def llm_oracles() -> dict[str, str]:
         "op4_source_mixing": SOURCE_MIXING_SQL,
         "op10_warc": WARC_SQL,
         "op11_chat_formatting": CHAT_FORMATTING_SQL,
+        "op12_merkle_manifest": MERKLE_MANIFEST_SQL,
     }
