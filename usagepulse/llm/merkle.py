@@ -7,9 +7,9 @@ group's subroot. The subroots are the leaves of one more such tree, whose top is
 The manifest is written as leaves and as nodes linked to their parents, each with the run of
 its children's hashes. A recursive query climbs from every leaf by the parent links: each
 step appends a row with the siblings met there and folds the hash at hand with them. Nothing
-gathered is carried upwards, so a level moves a key and a hash for each leaf. Far up, where
-all leaves of a group meet in one node, its run is repeated for each block of leaves below
-it, so that no task of the climb gets more than a few blocks.
+gathered is carried upwards, so a level moves a key and a hash for each leaf. Above a block of
+64 leaves, all of them meet the same siblings: their run is repeated for each block, so that
+no task of the climb gets many leaves of one node, and the climb appends no copies of it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from usagepulse.llm.common import fresh_path, materialise
 
 BITS = 3  # eight children a node
-BLOCK_HEIGHT = 3  # runs above this height are stored by block of 8 ** BLOCK_HEIGHT leaves
+BLOCK_HEIGHT = 2  # runs above this height are stored by block of 8 ** BLOCK_HEIGHT leaves
 TOP = -1  # the tree over the subroots
 PIECE_ROWS = 1_000_000  # rows of a range of the sort that numbers the leaves, about
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -241,62 +241,86 @@ def _any_number_of_rows(spark: SparkSession):
 
 CLIMB = f"""
 WITH RECURSIVE climb AS (
-    SELECT tree, place, 0 AS step, changed AS folded, CAST(X'' AS BINARY) AS siblings FROM {{leaves}}
+    SELECT tree, place, last, 0 AS step, changed AS folded, CAST(X'' AS BINARY) AS siblings FROM {{leaves}}
     UNION ALL
-    SELECT tree, place, step,
+    SELECT tree, place, last, step,
         unhex(sha2(lower(hex(concat(substring(run, 1, 32 * at), folded, substring(run, 32 * at + 33)))), 256)),
-        concat(substring(run, 1, 32 * at), substring(run, 32 * at + 33))
+        CASE WHEN shared THEN X'' ELSE concat(substring(run, 1, 32 * at), substring(run, 32 * at + 33)) END
     FROM (
-        SELECT c.tree, c.place, r.step, c.folded, r.run,
+        SELECT c.tree, c.place, c.last, r.step, c.folded, r.run, r.at IS NOT NULL AS shared,
             CAST(coalesce(r.at, shiftright(c.place, {BITS} * (r.step - 1)) & {(1 << BITS) - 1}) AS INT) AS at
         FROM climb c JOIN {{rungs}} r
         ON r.tree = c.tree AND r.step = c.step + 1
             AND r.spot = shiftright(c.place, {BITS} * least(c.step + 1, {BLOCK_HEIGHT}))
     )
 )
-SELECT * FROM climb
+SELECT tree, place, step, siblings, CASE WHEN step = last THEN folded END AS folded
+FROM climb WHERE step = last OR siblings <> X''
 """
 
 
-def climb(manifest: Manifest) -> DataFrame:
-    """One row per leaf and step: tree, place, step, folded, siblings.
+def climb(manifest: Manifest, met: DataFrame) -> DataFrame:
+    """What every leaf appends on its way over the rungs ``met``: tree, place, step, siblings, folded.
 
-    Step 0 is the leaf, with the hash that ``changed`` has; the last step holds the root
-    folded from it. ``siblings`` are the other hashes of the run met, left to right.
+    ``siblings`` are the other hashes of the run met, left to right, up to BLOCK_HEIGHT.
+    ``folded`` is in a leaf's last step: the root folded from the hash that ``changed`` has.
     """
     spark = manifest.leaves.sparkSession
-    met = materialise(rungs(manifest), "merkle-rungs")
-    leaves = manifest.leaves.select("tree", "place", "changed")
+    levels = manifest.trees.select("tree", (F.col("levels") + manifest.top_levels).alias("last"))
+    leaves = manifest.leaves.select("tree", "place", "changed").join(levels, "tree")
     with _any_number_of_rows(spark):
         return materialise(spark.sql(CLIMB, leaves=leaves, rungs=met), "merkle-climb")
 
 
+def _text(steps: str) -> Column:
+    """The siblings of an array of structs step, siblings as hex, lowest step first."""
+    return F.array_join(F.transform(F.sort_array(steps), lambda s: F.lower(F.hex(s["siblings"]))), "")
+
+
+def proofs(manifest: Manifest) -> DataFrame:
+    """Per leaf: tree, place, proof (hex of all siblings, the lowest step first), folded."""
+    met = materialise(rungs(manifest), "merkle-rungs")
+    run, at = F.col("run"), F.col("at").cast("int")
+    others = F.concat(run.substr(F.lit(1), 32 * at), run.substr(32 * at + 33, F.octet_length(run)))
+    above = (
+        met.where("at IS NOT NULL")
+        .groupBy("tree", F.col("spot").alias("block"))
+        .agg(F.collect_list(F.struct("step", others.alias("siblings"))).alias("steps"))
+        .select("tree", "block", _text("steps").alias("above"))
+    )
+    # Dealt by block once, which serves the grouping by leaf and the join.
+    below = (
+        climb(manifest, met)
+        .withColumn("block", F.shiftright("place", BITS * BLOCK_HEIGHT))
+        .repartition("tree", "block")
+        .groupBy("tree", "block", "place")
+        .agg(F.collect_list(F.struct("step", "siblings")).alias("steps"), F.max("folded").alias("folded"))
+        .select("tree", "block", "place", _text("steps").alias("below"), "folded")
+    )
+    return below.join(above, ["tree", "block"], "left").select(
+        "tree", "place", F.concat("below", F.coalesce("above", F.lit(""))).alias("proof"), "folded"
+    )
+
+
 def verify(manifest: Manifest) -> DataFrame:
     """Per leaf: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
-    The proof is the siblings of all steps, the lowest first; ``folded_root`` is what they
-    and ``changed`` give, ``verified`` whether that is the root.
+    ``folded_root`` is what the proof and ``changed`` give, ``verified`` whether that is
+    the root.
     """
-    steps = (
-        climb(manifest)
-        .groupBy("tree", "place")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("steps"),
-            F.max_by("folded", "step").alias("folded"),
-        )
-    )
-    proof = F.array_join(F.transform("steps", lambda s: F.lower(F.hex(s["siblings"]))), "")
+    root = F.lit(manifest.root).cast("string")
+    climbed = proofs(manifest).select("tree", "place", F.sha2("proof", 256).alias("proof_sha256"), "folded")
     return (
-        manifest.leaves.join(steps, ["tree", "place"])
+        manifest.leaves.join(climbed, ["tree", "place"])
         .join(manifest.trees.select("tree", "subroot"), "tree")
         .select(
             "doc_id",
             F.lower(F.hex("leaf")).alias("leaf"),
             F.lower(F.hex("subroot")).alias("subroot"),
-            F.lit(manifest.root).cast("string").alias("root"),
-            F.sha2(proof, 256).alias("proof_sha256"),
+            root.alias("root"),
+            "proof_sha256",
             F.lower(F.hex("folded")).alias("folded_root"),
-            (F.lower(F.hex("folded")) == F.lit(manifest.root)).alias("verified"),
+            (F.lower(F.hex("folded")) == root).alias("verified"),
         )
     )
 
