@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagepulse.llm import chat, fingerprints, lm_scoring, merkle, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
+from usagepulse.llm import chat, divergence, fingerprints, lm_scoring, merkle, mixing, packing, pii, quality_classifier, quality_rules, simhash, toxicity, warc
 from usagepulse.llm.common import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +234,45 @@ FROM leaves JOIN folds USING (tree, place) JOIN subroots USING (tree) CROSS JOIN
 """
 
 
+def op13_source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit(table(spark, root, "documents"))
+
+
+SOURCE_DIVERGENCE_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), named AS (
+    SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS n FROM docs GROUP BY ALL HAVING count(DISTINCT id) >= 10
+), used AS (
+    SELECT lang, source, term, count(*)::HUGEINT AS n FROM docs SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), dense AS (
+    SELECT lang, source, term, coalesce(u.n, 0) AS n,
+        1 + 1000000000 * (coalesce(u.n, 0) + 2) // (sum(coalesce(u.n, 0)) OVER (PARTITION BY lang, source)
+            + 2 * count(*) OVER (PARTITION BY lang, source)) AS p,
+        1 + 1000000000 * (k.n + 2) // (sum(k.n) OVER (PARTITION BY lang, source)
+            + 2 * count(*) OVER (PARTITION BY lang, source)) AS q
+    FROM named JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM named a JOIN named b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM dense WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -248,6 +287,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op11_chat_formatting": op11_chat_formatting,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -257,4 +297,5 @@ def llm_oracles() -> dict[str, str]:
         "op10_warc": WARC_SQL,
         "op11_chat_formatting": CHAT_FORMATTING_SQL,
         "op12_merkle_manifest": MERKLE_MANIFEST_SQL,
+        "op13_source_divergence": SOURCE_DIVERGENCE_SQL,
     }
