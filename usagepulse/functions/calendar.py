@@ -94,6 +94,44 @@ def spine(spark: SparkSession, start: date | str, end: date | str, granularity:
     )
 
 
+@dataclass(frozen=True)
+class Steps:
+    """The periods of a spine, numbered from 0: the one holding the start of a range first."""
+
+    period: Period
+    granularity: str
+
+    def __post_init__(self) -> None:
+        truncate(F.lit(None), self.granularity)
+
+    @property
+    def opening(self) -> date:
+        start = self.period.start
+        if self.granularity == "week":
+            return start - timedelta(days=start.weekday())
+        return start.replace(day=1) if self.granularity == "month" else start
+
+    @property
+    def count(self) -> int:
+        first, last = self.opening, self.period.end
+        if self.granularity == "month":
+            return (last.year - first.year) * 12 + last.month - first.month + 1
+        return (last - first).days // (7 if self.granularity == "week" else 1) + 1
+
+    def number(self, day: str) -> str:
+        """SQL for the number of the period holding ``day``."""
+        if self.granularity == "month":
+            return bit_positions(day, f"DATE'{self.opening}'")["month"]
+        days = f"date_diff({day}, DATE'{self.opening}')"
+        return f"CAST({days} DIV 7 AS int)" if self.granularity == "week" else days
+
+    def start(self, number: str) -> str:
+        """SQL for the first date of a period, NULL for a NULL number."""
+        if self.granularity == "month":
+            return f"add_months(DATE'{self.opening}', {number})"
+        return f"date_add(DATE'{self.opening}', {number}{' * 7' if self.granularity == 'week' else ''})"
+
+
 def bit_positions(day: str, start: str) -> dict[str, str]:
     """SQL for the bit of ``day`` in the day and month bitmaps of a period."""
     months = f"(year({day}) - year({start})) * 12 + month({day}) - month({start})"
@@ -171,6 +209,21 @@ def set_positions(prefix: str, bits: int) -> str:
     return f"flatten(array({', '.join(words)}))"
 
 
+def array_positions(words: str, bits: int) -> str:
+    """`set_positions` of a bitmap held as one array column."""
+    return (
+        f"flatten(transform(sequence(0, {-(-bits // WORD_BITS) - 1}), w -> transform("
+        f"filter(sequence(0, {WORD_BITS - 1}), i -> getbit(get({words}, w), i) = 1), "
+        f"i -> w * {WORD_BITS} + i)))"
+    )
+
+
+def array_has(words: str, position: str) -> str:
+    """SQL for whether an array bitmap holds a position; false for a NULL one."""
+    word = f"get({words}, CAST({position} DIV {WORD_BITS} AS int))"
+    return f"coalesce(getbit({word}, CAST({position} % {WORD_BITS} AS int)) = 1, false)"
+
+
 def with_next_bit(frame: DataFrame, words: str, after: str) -> DataFrame:
     """Adds ``next_pos``, the first set bit beyond ``after`` in its word or the one following.
 
@@ -201,6 +254,86 @@ def with_next_bit(frame: DataFrame, words: str, after: str) -> DataFrame:
     )
 
 
+def monday(day: date) -> date:
+    return day - timedelta(days=day.weekday())
+
+
+def days_from_monday(opening: date, end: date) -> int:
+    return (end - monday(opening)).days + 1
+
+
+def _masks(first: date, last: date, origin: date, words: int) -> list[int]:
+    """Words with a bit for each day of a range, counted from ``origin``."""
+    whole = (1 << (last - origin).days + 1) - (1 << (first - origin).days)
+    return [whole >> WORD_BITS * k & (1 << WORD_BITS) - 1 for k in range(words)]
+
+
+def _cut(first: date, last: date, origin: date, words: int) -> dict:
+    """Where the words of a range begin in bitmaps from ``origin``, and which bits it holds."""
+    word, shift = divmod((monday(first) - origin).days, WORD_BITS)
+    return {"w": word, "s": shift, "m": _masks(first, last, monday(first), words)}
+
+
+def period_cuts(periods: Sequence[Period], opening: date) -> Column:
+    """Array of the periods as what cuts them out of bitmaps that start on the Monday of ``opening``.
+
+    Per period: period_start, period_end; ``now`` and ``past`` for `cut_words`, of the period
+    and of its history; and ``months``, the masks of its calendar months within the words of
+    ``now``. A constant of the plan, one entry per period.
+    """
+    if not periods:
+        raise ValueError("at least one period is needed")
+    if len(set(periods)) != len(periods):
+        raise ValueError("periods repeat")
+    origin = monday(opening)
+    now_words = words_of(max(p.days for p in periods))
+    past_words = words_of(max(p.history_days for p in periods) + 1)
+    cuts = []
+    for p in periods:
+        months = [
+            _masks(m.start, m.end, monday(p.start), now_words) for m in monthly_periods(p.start, p.end)
+        ]
+        cuts.append(
+            {
+                "period_start": str(p.start),
+                "period_end": str(p.end),
+                "now": _cut(p.start, p.end, origin, now_words),
+                "past": _cut(p.history_start, p.start, origin, past_words),
+                "months": months,
+            }
+        )
+    cut = "struct<w:int,s:int,m:array<bigint>>"
+    kind = f"array<struct<period_start:date,period_end:date,now:{cut},past:{cut},months:array<array<bigint>>>>"
+    return F.expr(f"from_json('{json.dumps(cuts)}', '{kind}')")
+
+
+def words_of(days: int) -> int:
+    """Words that hold any range of so many days, counted from its Monday."""
+    return -(-bitmap_lengths(days)["day"] // WORD_BITS)
+
+
+def cut_words(words: str, cut: str, count: int) -> list[str]:
+    """SQL for the words of a range out of an array bitmap; both start on a Monday.
+
+    Two neighbouring words are shifted into one. The expressions are the same for every
+    period, whose word, shift and masks are data.
+    """
+    full = (1 << WORD_BITS) - 1
+
+    def at(k: int) -> str:
+        return f"coalesce(get({words}, {cut}.w + {k}), 0L)"
+
+    return [
+        f"((shiftrightunsigned({at(k)}, {cut}.s) | shiftleft({at(k + 1)}, {WORD_BITS} - {cut}.s)) "
+        f"& {full}L & get({cut}.m, {k}))"
+        for k in range(count)
+    ]
+
+
+def any_set(words: list[str]) -> str:
+    return f"(({' | '.join(words)}) <> 0)"
+
+
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     """``(period_start, period_end)``, one row per period."""
     rows = [

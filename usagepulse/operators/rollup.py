@@ -12,6 +12,7 @@ costs the driver one call this way instead of ten.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,49 @@ def numbered_features(activity: DataFrame, features: Sequence[str]) -> DataFrame
     )
 
 
+def with_first_day(
+    activity: DataFrame, features: Sequence[str], first: DataFrame | None, opening: date, end: date
+) -> DataFrame:
+    """Numbered activity up to ``end`` with ``first_ever``, whose minimum per user is its first day.
+
+    Without ``first`` that takes all activity up to ``end``. ``first`` is a `first_seen`
+    frame: the state per user as of any day. Its rows join the activity from ``opening`` on as
+    rows without a date, and the minimum merges both, so nothing before ``opening`` is read.
+    The state has to cover every day before ``opening``; what it knows later does no harm.
+    """
+    day = F.col("activity_date")
+    if first is None:
+        return numbered_features(activity.filter(day <= F.lit(end)), features).withColumn("first_ever", day)
+    recent = numbered_features(activity.filter(day.between(F.lit(opening), F.lit(end))), features)
+    known = first.filter(F.col("first_ever") <= F.lit(end)).select(
+        "user_id", F.lit(None).cast("date").alias("activity_date"),
+        F.lit(None).cast("int").alias("feature_pos"), "first_ever",
+    )
+    return recent.withColumn("first_ever", day).unionByName(known)
+
+
+def day_matrix(
+    activity: DataFrame, features: Sequence[str], first: DataFrame | None, opening: date, end: date
+) -> DataFrame:
+    """A row per user: ``first_ever`` and array bitmaps of its days from the Monday of ``opening``.
+
+    ``days`` has the days of any activity, ``days_<n>`` those of the n-th feature. Activity
+    shrinks to this row on the map side, and every period within the range can be cut out of
+    it (`calendar.cut_words`), so one shuffle of users serves any number of periods.
+    """
+    bits = calendar.days_from_monday(opening, end)
+    place = f"date_diff(activity_date, DATE'{calendar.monday(opening)}')"
+    inside = f"activity_date >= DATE'{opening}'"
+    return with_first_day(activity, features, first, opening, end).groupBy("user_id").agg(
+        F.min("first_ever").alias("first_ever"),
+        calendar.mark_bit_array(place, inside, "days", bits),
+        *(
+            calendar.mark_bit_array(place, f"{inside} AND feature_pos = {n}", f"days_{n}", bits)
+            for n in range(len(features))
+        ),
+    )
+
+
 def feature_marks(inside: str, prefix: str, features: Sequence[str]) -> list[Column]:
     """Bitmap aggregates of the features used inside a window."""
     return calendar.mark_bits("feature_pos", inside, prefix, len(features))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagepulse.functions.calendar import GRANULARITIES, Period, spine, truncate
+from usagepulse.functions import calendar
+from usagepulse.functions.calendar import GRANULARITIES, Period, Steps, spine, truncate
 from usagepulse.operators import rollup
 from usagepulse.operators.engagement import unrestricted
 from usagepulse.sources.registry import FEATURES, of_feature
@@ -55,25 +56,32 @@ def active_user_series(
 ) -> DataFrame:
     """The daily, weekly and monthly series as ``(granularity, period_start, users)``.
 
-    Activity shrinks to distinct users and days before anything else; each such pair
-    then counts for its day, week and month.
+    Activity shrinks to a row of day bits per user on the map side and is shuffled once. The
+    row unfolds into the user's own days, weeks and months, which are only counted then.
     """
     period = Period.of(start, end)
-    day = F.col("activity_date")
-    buckets = F.array(
-        *(
-            F.struct(F.lit(g).alias("granularity"), truncate(day, g).alias("period_start"))
-            for g in GRANULARITIES
+    bits = calendar.days_from_monday(period.start, period.end)
+    opening = f"DATE'{calendar.monday(period.start)}'"
+    per_user = (
+        of_feature(activity, feature, features)
+        .filter(period.holds(F.col("activity_date")))
+        .groupBy("user_id")
+        .agg(calendar.mark_bit_array(f"date_diff(activity_date, {opening})", "true", "days", bits))
+        .selectExpr(
+            "user_id",
+            f"transform({calendar.array_positions('days', bits)}, pos -> date_add({opening}, pos)) AS dates",
         )
     )
+    starts = {"day": "d", "week": "trunc(d, 'week')", "month": "trunc(d, 'month')"}
+    unfolded = ", ".join(
+        f"transform(array_distinct(transform(dates, d -> {starts[g]})), "
+        f"d -> named_struct('granularity', '{g}', 'period_start', d))"
+        for g in GRANULARITIES
+    )
     return (
-        of_feature(activity, feature, features)
-        .filter(period.holds(day))
-        .select("user_id", "activity_date")
-        .distinct()
-        .select("user_id", F.inline(buckets))
+        per_user.selectExpr("user_id", f"inline(concat({unfolded}))")
         .groupBy("granularity", "period_start")
-        .agg(F.count_distinct("user_id").alias("users"))
+        .agg(F.count("user_id").alias("users"))
     )
 
 
@@ -92,6 +100,7 @@ def overview_trend(
     granularity: str = "day",
     fill: str = "carry",
     features: Sequence[str] = FEATURES,
+    first: DataFrame | None = None,
 ) -> DataFrame:
     """Per period: signups, active users, users per feature and running totals.
 
@@ -99,57 +108,48 @@ def overview_trend(
     inception; ``fill="carry"`` keeps the last value through quiet periods,
     ``fill="zero"`` shows 0 in a period without signups (or without activity).
 
-    Activity is read once. It shrinks to a row per user and period, with all time
-    before the spine as one more period, and the earliest of a user's rows marks the
-    newcomer. The running total of distinct users is then a running sum of newcomers,
-    so nothing is compared across periods.
+    Activity shrinks to a row per user, with its first day and a bitmap of the periods it
+    was active in, and is shuffled once. The row unfolds into the user's own periods; the
+    running total of distinct users is a running sum of those whose first day is in a
+    period, so nothing is compared across periods. With ``first``, a `first_seen` frame of
+    the time before, no activity before the spine is read.
     """
     if fill not in CUMULATIVE_FILLS:
         raise ValueError(f"unknown fill {fill!r}, expected one of {CUMULATIVE_FILLS}")
     period = Period.of(start, end)
-    day, signed_up = F.col("activity_date"), F.col("signup_date")
-    opening = truncate(F.lit(period.start), granularity)
-
-    def bucket(column: Column) -> Column:
-        """Period on the spine; NULL, which sorts first, for everything before it."""
-        return F.when(column >= opening, truncate(column, granularity)).alias("dt")
-
+    steps = Steps(period, granularity)
+    place, opening = steps.number("activity_date"), f"DATE'{steps.opening}'"
     # The first period may open before the range: its earlier days are not counted,
     # but they are activity as far as the running totals go.
     inside = period.sql_holds("activity_date")
+    marks = {"seen": f"activity_date >= {opening}", "active_users": inside}
+    marks |= {f"{f}_users": f"{inside} AND feature_pos = {n}" for n, f in enumerate(features)}
     per_user = (
-        rollup.numbered_features(activity.filter(day <= period.end), features)
-        .groupBy(bucket(day), "user_id")
+        rollup.with_first_day(activity, features, first, steps.opening, period.end)
+        .groupBy("user_id")
         .agg(
-            F.min("activity_date").alias("first_here"),
-            rollup.any_mark(inside, "is_active"),
-            *rollup.feature_marks(inside, "uses", features),
+            F.min("first_ever").alias("first_ever"),
+            *(calendar.mark_bit_array(place, met, name, steps.count) for name, met in marks.items()),
         )
+        # NULL stands for everything before the spine.
+        .withColumn("first_no", F.expr(f"CASE WHEN first_ever >= {opening} THEN {steps.number('first_ever')} END"))
     )
-    flags = rollup.feature_flags("uses", features)
-    first_ever = F.min("first_here").over(Window.partitionBy("user_id"))
-    usage = (
-        per_user.withColumn("is_new", F.col("first_here") == first_ever)
-        .groupBy("dt")
-        .agg(
-            F.lit(True).alias("any_activity"),
-            *rollup.count_where(
-                {
-                    "active_users": "is_active AND user_id IS NOT NULL",
-                    **{f"{f}_users": f"{flag} AND user_id IS NOT NULL" for f, flag in flags.items()},
-                    "new_users": "is_new AND user_id IS NOT NULL",
-                }
-            ),
-        )
+    periods = f"array_union({calendar.array_positions('seen', steps.count)}, array(first_no))"
+    usage = per_user.selectExpr("*", f"explode({periods}) AS no").selectExpr(
+        f"{steps.start('no')} AS dt",
+        "true AS any_activity",
+        *(
+            f"CAST({calendar.array_has(name, 'no')} AND user_id IS NOT NULL AS bigint) AS {name}"
+            for name in marks
+            if name != "seen"
+        ),
+        "CAST(no <=> first_no AND user_id IS NOT NULL AS bigint) AS new_users",
     )
-    signups = (
-        unrestricted(users)
-        .filter(signed_up <= period.end)
-        .groupBy(bucket(signed_up))
-        .agg(
-            F.count_if(signed_up >= period.start).alias("signups"),
-            F.count("*").alias("signups_to_date"),
-        )
+    signed_up = F.col("signup_date")
+    signups = unrestricted(users).filter(signed_up <= period.end).select(
+        F.when(signed_up >= F.lit(steps.opening), truncate(signed_up, granularity)).alias("dt"),
+        (signed_up >= period.start).cast("bigint").alias("signups"),
+        F.lit(1).cast("bigint").alias("signups_to_date"),
     )
     grid = spine(activity.sparkSession, period.start, period.end, granularity).select(
         "dt", F.lit(True).alias("on_spine")
