@@ -66,20 +66,21 @@ def comprehensive_metrics(
     start: date | str,
     end: date | str,
     features: Sequence[str] = FEATURES,
+    first: DataFrame | None = None,
 ) -> DataFrame:
     """One row with every engagement metric of ``[start, end]``.
 
     Reads activity once: a rollup per user, a full join with the unrestricted
-    users on the same key, and one global aggregate over user rows.
+    users on the same key, and one global aggregate over user rows. With ``first``, a
+    `first_seen` frame of the time before, no activity before ``start`` is read.
     """
     period = Period.of(start, end)
     inside = period.sql_holds("activity_date")
-    history = activity.filter(F.col("activity_date") <= period.end)
     per_user = (
-        rollup.numbered_features(history, features)
+        rollup.with_first_day(activity, features, first, period.start, period.end)
         .groupBy("user_id")
         .agg(
-            F.min("activity_date").alias("first_ever"),
+            F.min("first_ever").alias("first_ever"),
             *rollup.calendar_marks(inside, positions_in(period), period.days),
             *rollup.feature_marks(inside, "uses", features),
         )
@@ -189,10 +190,16 @@ def metrics_by_feature(
     return _with_stickiness(merged).select("feature", *FEATURE_METRICS)
 
 
-def first_seen(activity: DataFrame) -> DataFrame:
-    """``(user_id, first_ever)``: each user's first active day. Kept up to date in a table,
-    it spares reports that look back to the beginning all activity before their period."""
-    return activity.groupBy("user_id").agg(F.min("activity_date").alias("first_ever"))
+def first_seen(activity: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(user_id, first_ever)``: each user's first active day.
+
+    Kept in a table, it spares reports that look back to the beginning all activity before
+    their period. ``before`` is such a table of earlier days, which ``activity`` then brings up
+    to date: the minimum of both, whatever days they share.
+    """
+    days = activity.select("user_id", F.col("activity_date").alias("first_ever"))
+    known = days if before is None else days.unionByName(before.select("user_id", "first_ever"))
+    return known.groupBy("user_id").agg(F.min("first_ever").alias("first_ever"))
 
 
 def churn_count(

@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagepulse.functions.calendar import Period, bit_positions, period_frame, periods_holding
+from usagepulse.functions import calendar
+from usagepulse.functions.calendar import Period, period_frame, periods_holding
 from usagepulse.functions.numeric import one_decimal_text, percent, sql_percent
 from usagepulse.functions.sql_text import quoted
 from usagepulse.operators import dormancy, rollup
@@ -45,69 +46,124 @@ def _holding_signup(periods: Sequence[Period]) -> Column:
     return periods_holding([Period(p.start, p.end) for p in periods], "signup_date")
 
 
-def usage_by_period(
+def _user_periods(
     activity: DataFrame,
     users: DataFrame,
     periods: Sequence[Period],
-    by: str | None = None,
-    features: Sequence[str] = FEATURES,
+    by: str | None,
+    features: Sequence[str],
+    first: DataFrame | None,
 ) -> DataFrame:
-    """Engagement and dormancy counts per period, and per value of user column ``by``.
+    """A row per user and period in which, or in whose history, the user did something.
 
-    Every period has a row when ``by`` is None; otherwise the pairs that occur do.
-    Activity without a registered user falls into the NULL segment.
+    Activity shrinks to one row of day bits per user and feature and meets the users on the
+    same key; only that row unfolds into periods, each cut out of the bits by its masks.
+    Carries the calendar and feature bitmaps that the counts are taken from, the user's
+    ``member``, ``signup_date`` and ``by``, and ``first_return``, the first activity after
+    the signup where that is within the range of the periods.
     """
-    spark = activity.sparkSession
-    keys = _keys(by)
+    opening = min(p.history_start for p in periods)
+    starts, last_day = min(p.start for p in periods), max(p.end for p in periods)
+    per_user = rollup.day_matrix(activity, features, first, opening, last_day)
+    attributes = users.select(
+        "user_id", "signup_date", (~F.col("restricted")).alias("member"), *([by] if by else [])
+    )
+    joined = per_user.join(attributes, "user_id", "full_outer")
+    monday = f"DATE'{calendar.monday(opening)}'"
+    signup = f"CASE WHEN signup_date BETWEEN DATE'{starts}' AND DATE'{last_day}' THEN date_diff(signup_date, {monday}) END"
+    found = calendar.with_next_bit(joined, "days", signup).withColumn(
+        "first_return", F.expr(f"date_add({monday}, CAST(next_pos AS int))")
+    )
     longest = max(p.days for p in periods)
-    last_day = max(p.end for p in periods)
-    # A row per user and period, plus one without a period for days outside of all:
-    # the earliest of a user's rows is the first activity ever, in the same scan.
-    history = activity.filter(F.col("activity_date") <= F.lit(last_day))
-    positions = bit_positions("activity_date", "period_start")
-    in_period, in_history = "activity_date >= period_start", "activity_date <= period_start"
-    per_user = (
-        rollup.numbered_features(history, features)
-        .select("*", F.explode_outer(periods_holding(periods, "activity_date")).alias("held"))
-        .select("user_id", "activity_date", "feature_pos", "held.*")
-        .groupBy("user_id", "period_start", "period_end")
-        .agg(
-            F.min("activity_date").alias("first_here"),
-            *rollup.calendar_marks(in_period, positions, longest),
-            *dormancy.presence_marks(in_history, in_period, features),
+    now_words = calendar.words_of(longest)
+    past_words = calendar.words_of(max(p.history_days for p in periods) + 1)
+
+    def now(words: str) -> list[str]:
+        return calendar.cut_words(words, "p.now", now_words)
+
+    def past(words: str) -> list[str]:
+        return calendar.cut_words(words, "p.past", past_words)
+
+    def marks(cut, prefix: str) -> list[str]:
+        """Bitmaps of the features with a day in a range."""
+        names = calendar.word_names(prefix, len(features))
+        bits = [f"CASE WHEN {calendar.any_set(cut(f'days_{n}'))} THEN 1L ELSE 0L END" for n in range(len(features))]
+        words = [bits[k : k + calendar.WORD_BITS] for k in range(0, len(bits), calendar.WORD_BITS)]
+        return [
+            " | ".join(f"shiftleft({bit}, {n})" for n, bit in enumerate(word)) + f" AS {name}"
+            for word, name in zip(words, names)
+        ]
+
+    carried = ["user_id", "first_ever", "member", "signup_date", "first_return", *([by] if by else [])]
+    cut = (
+        found.select("*", F.explode(calendar.period_cuts(periods, opening)).alias("p"))
+        .selectExpr(
+            *carried,
+            "p.period_start",
+            "p.period_end",
+            "p.months",
+            *(f"{word} AS {name}" for word, name in zip(now("days"), _day_names(longest))),
+            f"{calendar.any_set(past('days'))} AS was_active",
+            *marks(now, "uses"),
+            *marks(past, "used"),
         )
-        .withColumn("first_ever", F.min("first_here").over(Window.partitionBy("user_id")))
-        .filter(F.col("period_start").isNotNull())
-        .withColumn("active_days", F.expr(rollup.active_units(longest)["day"]))
-    )
-    attributes = users.select(
-        "user_id", (~F.col("restricted")).alias("member"), *([by] if by else [])
+        .withColumn("is_active", F.expr(calendar.any_set(_day_names(longest))))
+        .filter("is_active OR was_active OR member AND signup_date BETWEEN period_start AND period_end")
     )
-    sums, averages = rollup.average_active_users(longest)
-    first_time = "first_ever BETWEEN period_start AND period_end"
+    month_bits = calendar.bitmap_lengths(longest)["month"]
+    months = []
+    for low in range(0, month_bits, calendar.WORD_BITS):
+        held = [
+            calendar.any_set([f"{d} & coalesce(get(get(months, {n}), {k}), 0L)" for k, d in enumerate(_day_names(longest))])
+            for n in range(low, min(month_bits, low + calendar.WORD_BITS))
+        ]
+        months.append(" | ".join(f"CASE WHEN {h} THEN {1 << n}L ELSE 0L END" for n, h in enumerate(held)))
+    with_months = cut.selectExpr(
+        "*", *(f"{word} AS {name}" for word, name in zip(months, calendar.word_names("month", month_bits)))
+    ).drop("months")
+    return with_months.withColumn("active_days", F.expr(rollup.active_units(longest)["day"]))
+
+
+def _day_names(longest: int) -> list[str]:
+    return calendar.word_names("day", calendar.bitmap_lengths(longest)["day"])
+
+
+def _usage_and_retention(
+    activity: DataFrame,
+    users: DataFrame,
+    periods: Sequence[Period],
+    by: str | None,
+    features: Sequence[str],
+    first: DataFrame | None,
+) -> DataFrame:
+    """All counts per period and segment, retention among them, from one row per user."""
+    keys = _keys(by)
+    sums, averages = rollup.average_active_users(max(p.days for p in periods))
+    signed = "member AND signup_date BETWEEN period_start AND period_end"
+    counts = {"total_signups": signed, "signups": f"{signed} AND user_id IS NOT NULL"}
+    for name, days in HORIZONS.items():
+        counts[f"{name}_users"] = (
+            f"{signed} AND user_id IS NOT NULL AND first_return <= period_end "
+            f"AND date_diff(first_return, signup_date) <= {days}"
+        )
     counted = (
-        per_user.join(attributes, "user_id", "left")
+        _user_periods(activity, users, periods, by, features, first)
         .groupBy(*keys)
         .agg(
-            *period_counts(features, first_time),
+            *period_counts(features, "first_ever BETWEEN period_start AND period_end"),
             *sums,
             *dormancy.dormancy_counts(features),
+            *rollup.count_where(counts),
         )
         .withColumns(averages)
     )
-    signups = (
-        unrestricted(users)
-        .select(*([by] if by else []), F.inline(_holding_signup(periods)))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("total_signups"))
-    )
-    measures = [*comprehensive_columns(features), *dormancy_columns(features)]
-    parts = [counted, signups] + ([] if by else [period_frame(spark, periods)])
-    stacked = parts[0].select(*keys, *(m for m in measures if m != "total_signups"))
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    # Each measure comes from one of the parts; averages stay NULL without activity.
-    return stacked.groupBy(*keys).agg(
+    measures = [*comprehensive_columns(features), *dormancy_columns(features), "signups", *(f"{n}_users" for n in HORIZONS)]
+    found = counted.select(*keys, *measures)
+    if by:
+        return found
+    # Every period has a row; averages stay NULL without activity.
+    listed = found.unionByName(period_frame(activity.sparkSession, periods), allowMissingColumns=True)
+    return listed.groupBy(*keys).agg(
         *(
             F.expr(f"max({m}) AS {m}" if m in averages else f"coalesce(max({m}), 0) AS {m}")
             for m in measures
@@ -115,6 +171,24 @@ def usage_by_period(
     )
 
 
+def usage_by_period(
+    activity: DataFrame,
+    users: DataFrame,
+    periods: Sequence[Period],
+    by: str | None = None,
+    features: Sequence[str] = FEATURES,
+    first: DataFrame | None = None,
+) -> DataFrame:
+    """Engagement and dormancy counts per period, and per value of user column ``by``.
+
+    Every period has a row when ``by`` is None; otherwise the pairs that occur do.
+    Activity without a registered user falls into the NULL segment. With ``first``, a
+    `first_seen` frame of the time before, no activity before the first history is read.
+    """
+    counted = _usage_and_retention(activity, users, periods, by, features, first)
+    return counted.select(*_keys(by), *comprehensive_columns(features), *dormancy_columns(features))
+
+
 def retention_by_period(
     activity: DataFrame,
     users: DataFrame,
@@ -489,19 +563,21 @@ def insights(
     periods: Sequence[Period],
     by: str | None = None,
     features: Sequence[str] = FEATURES,
+    first: DataFrame | None = None,
 ) -> DataFrame:
-    """Activation and retention insights per period.
+    """Activation and retention insights per period, from one pass over activity and users.
 
     Activation is judged only with signups. Missing or zero retention counts as 0,
-    so the day-1 rule then applies.
+    so the day-1 rule then applies. ``first`` as in `usage_by_period`.
     """
-    usage = usage_by_period(activity, users, periods, by, features)
-    return usage_insights(usage, retention_by_period(activity, users, periods, by), by)
+    counted = _usage_and_retention(activity, users, periods, by, features, first)
+    percents = (F.expr(f"{sql_percent(f'{n}_users', 'signups')} AS {n}_percent") for n in HORIZONS)
+    measured = counted.select(*_keys(by), "total_signups", "total_active_users", *percents)
+    return _advice_rows(measured, _keys(by), F.expr(_usage_advice()))
 
 
-def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None) -> DataFrame:
-    """Insights from finished `usage_by_period` and `retention_by_period` frames."""
-    keys = _keys(by)
+def _usage_advice() -> str:
+    """SQL for the array of insights that hold for a row of usage and retention."""
     activation = sql_percent("total_active_users", "total_signups")
     day1, week1 = "coalesce(day1_percent, 0D)", "coalesce(week1_percent, 0D)"
     fired = [
@@ -514,6 +590,12 @@ def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None)
         _advice_if(f"{day1} < {DAY1_LOW}", LOW_DAY1, day1),
         _advice_if(f"{week1} > {WEEK1_HIGH}", HIGH_WEEK1, week1),
     ]
+    return f"array_compact(array({', '.join(fired)}))"
+
+
+def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None) -> DataFrame:
+    """Insights from finished `usage_by_period` and `retention_by_period` frames."""
+    keys = _keys(by)
     # One row per period and segment on either side; stacking them keeps NULL
     # segments together, which an equi-join would not.
     measured = usage.select(*keys, "total_signups", "total_active_users").unionByName(
@@ -521,7 +603,7 @@ def usage_insights(usage: DataFrame, retained: DataFrame, by: str | None = None)
     )
     columns = [c for c in measured.columns if c not in keys]
     merged = measured.groupBy(*keys).agg(*(F.max(c).alias(c) for c in columns))
-    return _advice_rows(merged, keys, F.expr(f"array_compact(array({', '.join(fired)}))"))
+    return _advice_rows(merged, keys, F.expr(_usage_advice()))
 
 
 def feature_insights(retained: DataFrame) -> DataFrame:

@@ -559,9 +559,11 @@ FROM rate
 """
 
 
-RETENTION_MONTHLY = f"""
+def _retention_monthly(segment: bool = False) -> str:
+    seg = "segment" if segment else "NULL"
+    return f"""
 cohort AS (
-    SELECT period_start, period_end, user_id, signup_date
+    SELECT period_start, period_end, {seg} AS seg, user_id, signup_date
     FROM period JOIN person ON signup_date BETWEEN period_start AND period_end
     WHERE NOT restricted
 ),
@@ -578,7 +580,7 @@ returned AS (
     ) ON who = user_id AND p0 = period_start
 ),
 retained AS (
-    SELECT period_start, period_end,
+    SELECT period_start, period_end, seg,
            coalesce(sum(day1), 0) / count(*) * 100 AS day1_percent,
            coalesce(sum(week1), 0) / count(*) * 100 AS week1_percent,
            coalesce(sum(month1), 0) / count(*) * 100 AS month1_percent
@@ -586,31 +588,33 @@ retained AS (
 )"""
 
 
-def _insights() -> str:
+def _insights(segment: bool = False) -> str:
+    seg = ", segment" if segment else ""
     return f"""
-WITH {_usage_by_period(MONTHS)}, {RETENTION_MONTHLY},
+WITH {_usage_by_period(MONTHS, segment)}, {_retention_monthly(segment)},
 m AS (
-    SELECT k.period_start, k.period_end, total_signups,
+    SELECT k.period_start, k.period_end, k.seg AS segment, total_signups,
            CASE WHEN total_signups > 0 THEN total_active_users / total_signups * 100 END AS activation,
            coalesce(day1_percent, 0) AS day1, coalesce(week1_percent, 0) AS week1
-    FROM kpi k LEFT JOIN retained r USING (period_start)
+    FROM kpi k LEFT JOIN retained r
+        ON r.period_start = k.period_start AND r.seg IS NOT DISTINCT FROM k.seg
 )
-SELECT period_start, period_end, 'low_activation' AS rule_id, 'Low Activation Rate Alert' AS title,
+SELECT period_start, period_end{seg}, 'low_activation' AS rule_id, 'Low Activation Rate Alert' AS title,
        format('Only {{:.1f}}% of signups become active users.', activation) AS insight,
        'Improve onboarding flow and feature discovery.' AS recommendation
 FROM m WHERE activation < 30
 UNION ALL
-SELECT period_start, period_end, 'high_activation', 'Excellent Activation Rate',
+SELECT period_start, period_end{seg}, 'high_activation', 'Excellent Activation Rate',
        format('{{:.1f}}% activation rate shows strong product-market fit.', activation),
        'Scale marketing efforts and maintain current onboarding quality.'
 FROM m WHERE activation > 70
 UNION ALL
-SELECT period_start, period_end, 'low_day1_retention', 'Day 1 Retention Needs Attention',
+SELECT period_start, period_end{seg}, 'low_day1_retention', 'Day 1 Retention Needs Attention',
        format('Only {{:.1f}}% of users return the next day.', day1),
        'Implement push notifications and email sequences for new users.'
 FROM m WHERE day1 < 20
 UNION ALL
-SELECT period_start, period_end, 'high_week1_retention', 'Strong Week 1 Retention',
+SELECT period_start, period_end{seg}, 'high_week1_retention', 'Strong Week 1 Retention',
        format('{{:.1f}}% of users return within a week.', week1),
        'Focus on converting these engaged users to power users.'
 FROM m WHERE week1 > 50
@@ -746,8 +750,11 @@ FROM change
         "feature_ranking": _ranking(),
         "kpi_alerts": _alerts(MONTHS, False),
         "kpi_alerts_by_segment": _alerts(ONE_MONTH, True),
-        "retention_monthly": f"WITH {COMMERCE}, {MONTHS}, {RETENTION_MONTHLY} SELECT * FROM retained",
+        "retention_monthly": (
+            f"WITH {COMMERCE}, {MONTHS}, {_retention_monthly()} SELECT * EXCLUDE (seg) FROM retained"
+        ),
         "insights": _insights(),
+        "insights_by_segment": _insights(segment=True),
         "recommendations": _recommendations(),
         "survey_completion": f"""
 WITH {SUBMISSIONS},
@@ -771,8 +778,9 @@ SELECT concat(upper(left(event_type, 1)), lower(substr(event_type, 2))) AS react
 FROM events WHERE {in_event_weeks}
 """,
     }
-    for name in ("churn_count", "absolute_metrics"):
+    for name in ("churn_count", "absolute_metrics", "comprehensive_metrics", "kpi_monthly"):
         oracles[f"{name}_first_seen"] = oracles[name]
+    oracles["overview_trend_week_first_seen"] = oracles["overview_trend_week_zero"]
     series = {"day": ("activity_date", "dau"), "week": ("week", "wau"), "month": ("month", "mau")}
     for f in FEATURES:
         oracles[f"feature_metrics_{f}"] = _feature_metrics(f, SPRING)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from usagepulse.functions.calendar import Period, monthly_periods
 from usagepulse.operators import (
@@ -105,6 +106,18 @@ def _with_first_seen(op, *args) -> Query:
     return run
 
 
+def _since(op, opening: str, *args, **kwargs) -> Query:
+    """A report from the first-seen state as of the day before ``opening`` and what came later."""
+
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        read = parquet_reader(spark, root)
+        activity = COMMERCE.activity(read)
+        state = engagement.first_seen(activity.filter(F.col("activity_date") < F.lit(opening)))
+        return op(activity, COMMERCE.users(read), *args, first=state, **kwargs)
+
+    return run
+
+
 def _churn_since(activity: DataFrame, read: TableReader, first: DataFrame) -> DataFrame:
     return engagement.churn_count(activity, *MARCH, first=first)
 
@@ -149,6 +162,14 @@ def all_queries() -> dict[str, Query]:
         "churn_count_first_seen": _with_first_seen(_churn_since),
         "absolute_metrics_first_seen": _with_first_seen(_absolute_since),
         "absolute_metrics": _on_both(COMMERCE, engagement.absolute_metrics, MARCH[1]),
+        "comprehensive_metrics_first_seen": _since(engagement.comprehensive_metrics, MARCH[0], *MARCH),
+        "overview_trend_week_first_seen": _since(
+            trends.overview_trend, "1998-02-16", *MIDWEEK, "week", fill="zero"
+        ),
+        "kpi_monthly_first_seen": _then(
+            _since(kpis.usage_by_period, str(months[0].history_start), months), kpis.kpi_long
+        ),
+        "insights_by_segment": _on_both(COMMERCE, kpis.insights, months, by="segment"),
         "trend_dau_sql": _daily_users_sql,
         "trend_series": _on_activity(EVENTS, trends.active_user_series, *EVENT_WEEKS),
         "overview_trend_day": overview,
