@@ -1,13 +1,16 @@
 """The shape of the plans: what is scanned, shuffled and joined, and how."""
 
 import re
+from datetime import date
 
 import pytest
 
 from conftest import TESTDATA
-from usagepulse.operators import engagement
+from usagepulse.functions.calendar import Period
+from usagepulse.operators import engagement, kpis, trends
 from usagepulse.plans.queries import all_queries
 from usagepulse.sources.registry import DimensionJoin, FeatureSource, build_events
+from usagepulse.sources.tables import read_activity, save_by_user, write_activity
 
 ROOT = f"{TESTDATA}/sf0.001"
 QUERIES = all_queries()
@@ -173,3 +176,94 @@ def test_hot_join_key_is_merged_before_the_join(no_broadcast):
     # The fact's own rows: 20,000 cold ones, and five dates of the hot key per map task.
     assert 80_000 in unmerged
     assert max(w for w in written if w != 80_000) <= 20_000 + 8 * 5
+
+
+def counts_in(plan, pattern):
+    return len(re.findall(pattern, plan))
+
+
+@pytest.mark.parametrize("name", ["insights", "kpi_monthly", "kpi_alerts", "recommendations"])
+def test_periods_and_retention_come_from_one_row_per_user(no_broadcast, name):
+    plan = plan_of(QUERIES[name](no_broadcast, ROOT))
+    # Lines, orders as events and as owners, and the two tables of the users.
+    assert plan.count("FileScan") == 5
+    assert plan.count("lineitem.parquet") == 1
+    assert plan.count("Exchange hashpartitioning") <= 7
+    assert "Window" not in plan
+    # Read from the bottom, users merge before their row unfolds into periods.
+    assert plan.index("Generate explode(") < plan.index("keys=[user_id#")
+
+
+MARCH = ("2024-03-01", "2024-03-31")
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Activity by date, and its first-seen state as of the end of February."""
+    activity = spark.range(0, 20_000, 1, 4).selectExpr(
+        "CAST(id % 500 AS string) AS user_id",
+        "date_add(DATE'2024-01-01', CAST(id % 97 AS int)) AS activity_date",
+        "IF(id % 3 = 0, 'spending', 'savings') AS feature",
+    )
+    write_activity(activity.distinct(), str(tmp_path / "activity"))
+    users = spark.range(400).selectExpr(
+        "CAST(id AS string) AS user_id", "date_add(DATE'2024-02-20', CAST(id % 40 AS int)) AS signup_date",
+        "id % 7 = 0 AS restricted",
+    )
+    return read_activity(spark, str(tmp_path / "activity")), users
+
+
+@pytest.mark.parametrize("granularity", ["day", "week", "month"])
+def test_overview_shuffles_users_once(stored, granularity):
+    plan = plan_of(trends.overview_trend(*stored, *MARCH, granularity))
+    # By user, by period, and the running totals over the few periods.
+    assert counts_in(plan, r"Exchange hashpartitioning\(user_id#") == 1
+    assert counts_in(plan, r"Exchange hashpartitioning\(dt#") == plan.count("Exchange SinglePartition") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_series_shuffles_users_once(stored):
+    plan = plan_of(trends.active_user_series(stored[0], *MARCH))
+    assert counts_in(plan, r"Exchange hashpartitioning\(user_id#") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+REPORTS = {
+    "comprehensive": (lambda a, u, **k: engagement.comprehensive_metrics(a, u, *MARCH, **k), "2024-03-01"),
+    "overview": (lambda a, u, **k: trends.overview_trend(a, u, *MARCH, "week", **k), "2024-02-26"),
+    "usage": (lambda a, u, **k: kpis.usage_by_period(a, u, [Period.of(*MARCH, 10)], **k), "2024-02-20"),
+    "insights": (lambda a, u, **k: kpis.insights(a, u, [Period.of(*MARCH)], **k), "2024-03-01"),
+}
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_a_first_seen_state_spares_earlier_dates(no_broadcast, stored, name):
+    activity, users = stored
+    report, opening = REPORTS[name]
+    for known_until in (opening, "2024-04-01"):
+        state = engagement.first_seen(activity.filter(f"activity_date < '{known_until}'"))
+        state = state.sparkSession.createDataFrame(state.toPandas(), state.schema)
+        result = report(activity, users, first=state)
+        scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan_of(result))
+        days = str((date.fromisoformat(opening) - date(1970, 1, 1)).days)
+        assert scans and all(f">= {days})" in f or f">= {opening})" in f for f in scans)
+        assert sorted(map(str, result.collect())) == sorted(map(str, report(activity, users).collect()))
+
+
+@pytest.mark.parametrize("name", ["comprehensive", "usage", "insights"])
+def test_tables_bucketed_by_user_meet_without_an_exchange(no_broadcast, stored, name):
+    activity, users = stored
+    report, opening = REPORTS[name]
+    state = engagement.first_seen(activity.filter(f"activity_date < '{opening}'"))
+    frames = {"activity": activity, "users": users, "state": state}
+    tables = {n: f"bucketed_{name}_{n}" for n in frames}
+    try:
+        for n, frame in frames.items():
+            save_by_user(frame, tables[n], 4)
+        a, u, s = (no_broadcast.table(t) for t in tables.values())
+        for result in (report(a, u), report(a, u, first=s)):
+            assert "hashpartitioning(user_id" not in plan_of(result)
+            assert sorted(map(str, result.collect())) == sorted(map(str, report(activity, users).collect()))
+    finally:
+        for t in tables.values():
+            no_broadcast.sql(f"DROP TABLE IF EXISTS {t}")

@@ -116,3 +116,31 @@ def test_a_day_is_replaced_and_first_seen_gives_the_same_reports(spark, activity
         == engagement.absolute_metrics(stored, users, month[1]).first()
         == (1, 3)
     )
+
+
+def test_a_date_without_activity_any_more_goes(spark, activity_of, tmp_path):
+    path = str(tmp_path / "activity")
+    rows = [("a", f"2024-03-0{d}", "spending") for d in range(1, 7)] + [(None, "2024-02-29", "savings")]
+    write_activity(activity_of(rows), path)
+    days = lambda: sorted((r.user_id, r.activity_date.day, r.feature) for r in read_activity(spark, path).collect() if r.user_id)
+
+    # The third and fourth vanish, the second is replaced, the rest is out of the range.
+    write_activity(activity_of([("b", "2024-03-02", "savings"), ("z", "2024-03-05", "savings")]), path, date(2024, 3, 2), date(2024, 3, 4))
+    assert days() == [("a", 1, "spending"), ("a", 5, "spending"), ("a", 6, "spending"), ("b", 2, "savings")]
+
+    # Nothing is left of an open range; a second write of the same day replaces the first.
+    write_activity(activity_of([]), path, start=date(2024, 3, 5))
+    write_activity(activity_of([("b", "2024-03-02", "savings")]), path, end=date(2024, 3, 2))
+    assert days() == [("b", 2, "savings")]
+
+    new = str(tmp_path / "new")
+    write_activity(activity_of([("a", "2024-03-01", "spending")]), new, start=date(2024, 3, 1))
+    assert read_activity(spark, new).count() == 1
+
+
+def test_first_seen_is_brought_up_to_date(activity_of):
+    rows = [("a", "2024-03-04", "spending"), ("a", "2024-03-02", "savings"), ("b", "2024-03-03", "spending"), (None, "2024-03-01", "savings")]
+    whole = sorted(map(str, engagement.first_seen(activity_of(rows)).collect()))
+    for cut in range(len(rows) + 1):
+        state = engagement.first_seen(activity_of(rows[cut:]), engagement.first_seen(activity_of(rows[:cut])))
+        assert sorted(map(str, state.collect())) == whole

@@ -172,6 +172,23 @@ def mark_bit_array(position: str, inside: str, name: str, bits: int) -> Column:
     return F.expr(f"array({', '.join(_words(position, inside, bits))}) AS {name}")
 
 
+def placed(position: str) -> list[str]:
+    """SQL for the word and the bit of a position, worked out once per row; NULL for none."""
+    return [
+        f"CAST({position} DIV {WORD_BITS} AS int) AS word_no",
+        f"shiftleft(1L, CAST({position} % {WORD_BITS} AS int)) AS place_bit",
+    ]
+
+
+def mark_placed(name: str, bits: int, met: str = "true") -> Column:
+    """`mark_bit_array` over rows that are ``placed``."""
+    words = (
+        f"coalesce(bit_or(CASE WHEN word_no = {k} AND {met} THEN place_bit END), 0L)"
+        for k in range(-(-bits // WORD_BITS))
+    )
+    return F.expr(f"array({', '.join(words)}) AS {name}")
+
+
 def merge_bits(prefix: str, bits: int) -> list[Column]:
     """Aggregates uniting finished bitmaps."""
     return [F.expr(f"bit_or({name}) AS {name}") for name in word_names(prefix, bits)]

@@ -76,18 +76,23 @@ def comprehensive_metrics(
     """
     period = Period.of(start, end)
     inside = period.sql_holds("activity_date")
+    seen = activity.filter(F.col("activity_date") <= period.end)
+    if first is not None:
+        seen = seen.filter(F.col("activity_date") >= period.start)
     per_user = (
-        rollup.with_first_day(activity, features, first, period.start, period.end)
+        rollup.numbered_features(seen, features)
         .groupBy("user_id")
         .agg(
-            F.min("first_ever").alias("first_ever"),
+            F.min("activity_date").alias("first_ever"),
             *rollup.calendar_marks(inside, positions_in(period), period.days),
             *rollup.feature_marks(inside, "uses", features),
         )
         .withColumn("active_days", F.expr(rollup.active_units(period.days)["day"]))
     )
     members = unrestricted(users).select("user_id", "signup_date", F.lit(True).alias("member"))
-    joined = per_user.join(members, "user_id", "full_outer")
+    joined = per_user.join(rollup.with_known_first(members, first), "user_id", "full_outer").withColumn(
+        "first_ever", F.least("first_ever", "known_first")
+    )
 
     sums, averages = rollup.average_active_users(period.days)
     totals = joined.agg(

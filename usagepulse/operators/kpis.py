@@ -64,11 +64,15 @@ def _user_periods(
     """
     opening = min(p.history_start for p in periods)
     starts, last_day = min(p.start for p in periods), max(p.end for p in periods)
-    per_user = rollup.day_matrix(activity, features, first, opening, last_day)
+    if first is not None:
+        activity = activity.filter(F.col("activity_date") >= F.lit(opening))
+    per_user = rollup.day_matrix(activity, features, opening, last_day)
     attributes = users.select(
         "user_id", "signup_date", (~F.col("restricted")).alias("member"), *([by] if by else [])
     )
-    joined = per_user.join(attributes, "user_id", "full_outer")
+    joined = per_user.join(rollup.with_known_first(attributes, first), "user_id", "full_outer").withColumn(
+        "first_ever", F.least("first_ever", "known_first")
+    )
     monday = f"DATE'{calendar.monday(opening)}'"
     signup = f"CASE WHEN signup_date BETWEEN DATE'{starts}' AND DATE'{last_day}' THEN date_diff(signup_date, {monday}) END"
     found = calendar.with_next_bit(joined, "days", signup).withColumn(

@@ -71,9 +71,18 @@ def with_first_day(
     return recent.withColumn("first_ever", day).unionByName(known)
 
 
-def day_matrix(
-    activity: DataFrame, features: Sequence[str], first: DataFrame | None, opening: date, end: date
-) -> DataFrame:
+def with_known_first(users: DataFrame, first: DataFrame | None) -> DataFrame:
+    """``users`` with ``known_first``, their day in a `first_seen` frame of the time before.
+
+    A left join keeps the users where they lie, so tables bucketed by user meet without an
+    exchange, which a union would need.
+    """
+    if first is None:
+        return users.withColumn("known_first", F.lit(None).cast("date"))
+    return users.join(first.select("user_id", F.col("first_ever").alias("known_first")), "user_id", "left")
+
+
+def day_matrix(activity: DataFrame, features: Sequence[str], opening: date, end: date) -> DataFrame:
     """A row per user: ``first_ever`` and array bitmaps of its days from the Monday of ``opening``.
 
     ``days`` has the days of any activity, ``days_<n>`` those of the n-th feature. Activity
@@ -81,15 +90,18 @@ def day_matrix(
     it (`calendar.cut_words`), so one shuffle of users serves any number of periods.
     """
     bits = calendar.days_from_monday(opening, end)
-    place = f"date_diff(activity_date, DATE'{calendar.monday(opening)}')"
-    inside = f"activity_date >= DATE'{opening}'"
-    return with_first_day(activity, features, first, opening, end).groupBy("user_id").agg(
-        F.min("first_ever").alias("first_ever"),
-        calendar.mark_bit_array(place, inside, "days", bits),
-        *(
-            calendar.mark_bit_array(place, f"{inside} AND feature_pos = {n}", f"days_{n}", bits)
-            for n in range(len(features))
-        ),
+    origin = calendar.monday(opening)
+    place = f"CASE WHEN activity_date >= DATE'{opening}' THEN date_diff(activity_date, DATE'{origin}') END AS place"
+    return (
+        numbered_features(activity.filter(F.col("activity_date") <= F.lit(end)), features)
+        .selectExpr("user_id", "activity_date", "feature_pos", place)
+        .selectExpr("user_id", "activity_date", "feature_pos", *calendar.placed("place"))
+        .groupBy("user_id")
+        .agg(
+            F.min("activity_date").alias("first_ever"),
+            calendar.mark_placed("days", bits),
+            *(calendar.mark_placed(f"days_{n}", bits, f"feature_pos = {n}") for n in range(len(features))),
+        )
     )
 
 

@@ -118,18 +118,21 @@ def overview_trend(
         raise ValueError(f"unknown fill {fill!r}, expected one of {CUMULATIVE_FILLS}")
     period = Period.of(start, end)
     steps = Steps(period, granularity)
-    place, opening = steps.number("activity_date"), f"DATE'{steps.opening}'"
+    opening = f"DATE'{steps.opening}'"
+    place = f"CASE WHEN activity_date >= {opening} THEN {steps.number('activity_date')} END AS place"
     # The first period may open before the range: its earlier days are not counted,
     # but they are activity as far as the running totals go.
     inside = period.sql_holds("activity_date")
-    marks = {"seen": f"activity_date >= {opening}", "active_users": inside}
-    marks |= {f"{f}_users": f"{inside} AND feature_pos = {n}" for n, f in enumerate(features)}
+    marks = {"seen": "true", "active_users": "inside"}
+    marks |= {f"{f}_users": f"inside AND feature_pos = {n}" for n, f in enumerate(features)}
     per_user = (
         rollup.with_first_day(activity, features, first, steps.opening, period.end)
+        .selectExpr("user_id", "first_ever", "feature_pos", f"{inside} AS inside", place)
+        .selectExpr("user_id", "first_ever", "feature_pos", "inside", *calendar.placed("place"))
         .groupBy("user_id")
         .agg(
             F.min("first_ever").alias("first_ever"),
-            *(calendar.mark_bit_array(place, met, name, steps.count) for name, met in marks.items()),
+            *(calendar.mark_placed(name, steps.count, met) for name, met in marks.items()),
         )
         # NULL stands for everything before the spine.
         .withColumn("first_no", F.expr(f"CASE WHEN first_ever >= {opening} THEN {steps.number('first_ever')} END"))

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 # UTC fixes what "the day of a timestamp" means; adaptive execution sizes shuffle
 # partitions, splits skewed join partitions and switches joins by measured size.
 SETTINGS = {
+    # HotSpot leaves a method of more bytecode uncompiled; rows then run through smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -56,8 +56,9 @@ def write_activity(
 ) -> None:
     """Store the fact once, partitioned by date, for every later report to prune.
 
-    With ``start`` or ``end`` only those dates are written, over what is stored for them;
-    the others stay. A date that has no activity any more keeps what it had.
+    With ``start`` or ``end`` only those dates are replaced, the others stay. A date of the
+    range that has no activity any more goes: new dates are written first, then every stored
+    date of the range that the write has left untouched is removed.
 
     The rebalance hint lets adaptive execution split a date that holds a large
     share of the rows and pack small ones, instead of one writer task per date.
@@ -68,6 +69,8 @@ def write_activity(
     if end is not None:
         activity = activity.filter(day <= F.lit(end))
     part = start is not None or end is not None
+    spark = activity.sparkSession
+    before = _stored_files(spark, path, start, end) if part else {}
     (
         activity.hint("rebalance", "activity_date")
         .write.mode("overwrite")
@@ -75,7 +78,54 @@ def write_activity(
         .partitionBy("activity_date")
         .parquet(path)
     )
+    # A date that was written has files of this write's own names.
+    after = _stored_files(spark, path, start, end) if before else {}
+    for folder in before:
+        if before[folder] == after.get(folder):
+            _store(spark, folder).delete(_path(spark, folder), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _stored_files(
+    spark: SparkSession, path: str, start: date | None, end: date | None
+) -> dict[str, set[str]]:
+    """File names by folder of the stored dates of a range: one listing per date."""
+    store, found = _store(spark, path), {}
+    if not store.exists(_path(spark, path)):
+        return found
+    for folder in store.listStatus(_path(spark, path)):
+        name, _, value = folder.getPath().getName().partition("=")
+        if name == "activity_date" and value[:1].isdigit() and folder.isDirectory():
+            day = date.fromisoformat(value)
+            if (start is None or day >= start) and (end is None or day <= end):
+                files = store.listStatus(folder.getPath())
+                found[folder.getPath().toString()] = {f.getPath().getName() for f in files}
+    return found
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("user_id string, feature string, activity_date date").parquet(path)
+
+
+def save_by_user(frame: DataFrame, table: str, buckets: int) -> None:
+    """Store a frame with ``user_id`` as a table bucketed by user.
+
+    Grouping by user, and joining tables of as many buckets, then needs no exchange: the
+    fact, its first-seen state and the users meet where they lie. Take buckets so that one
+    fits a task; a user's rows share a bucket, so store the fact distinct.
+    """
+    (
+        # One writer task per bucket, so that each bucket is one file.
+        frame.repartition(buckets, "user_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "user_id")
+        .sortBy("user_id")
+        .saveAsTable(table)
+    )
