@@ -100,3 +100,18 @@ def test_ids_can_be_kept(spark):
     pieces = packing.pack(docs, with_ids=True).orderBy("piece").collect()
     assert [len(p.ids) for p in pieces] == [953, 2048]
     assert all(zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in pieces)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "\u3000"])
+@pytest.mark.parametrize("size", [100_000, 1_000_000])
+def test_long_runs_of_whitespace_are_encoded(blank, size):
+    """The fast encoder runs out of stack in them; beyond a length they go the other way."""
+    encode = packing.encoder(None)
+    text = "before " + blank * (size // len(blank)) + "after"
+    ids = encode.ids(text)
+    assert encode._whole.decode(ids, skip_special_tokens=False) == text
+
+
+def test_a_long_unbroken_word_is_encoded():
+    encode = packing.encoder(None)
+    assert encode._whole.decode(encode.ids("a" * 1_000_000), skip_special_tokens=False) == "a" * 1_000_000
