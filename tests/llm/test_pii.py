@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 from usagepulse.llm import pii
 
@@ -140,3 +141,13 @@ def test_copies_of_a_text_without_the_entity_count_once(spark):
     rows += ["Quillon wrote without any address"] * 100
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert not any("Quillon" in r.text for r in pii.sanitise(docs).collect())
+
+
+@pytest.mark.parametrize("count", [0, 1, pii.MATCH_BLOCK, pii.MATCH_BLOCK + 1, 100_000])
+def test_many_matches_in_one_text(spark, count):
+    """Placing them takes time in proportion: a log file of 100,000 addresses is one text."""
+    text = "é " + " - ".join(f"10.{n % 250}.0.{n % 7}" for n in range(count))
+    docs = spark.createDataFrame([(text,)], "text string")
+    found = docs.select(pii._base(F.col("text"), "ip").alias("found")).first().found
+    assert [("ip", m.start, m.end) for m in found] == [s for s in slow_base(text) if s[0] == "ip"]
+    assert [m.value for m in found] == [text[m.start : m.end] for m in found]

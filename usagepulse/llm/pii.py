@@ -11,6 +11,8 @@ Built-in functions only. Matches are placed by the lengths of the pieces between
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ MIN_BITS = 3.0  # gained about the entity by seeing the term
 REMOVE_SHARE = 0.9
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 
+# Matches placed together: a long list of them is folded block by block.
+MATCH_BLOCK = 128
+
 _NO_SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -87,25 +92,60 @@ def _placed(text: Column, pattern: Column) -> Column:
     values = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
 
-    def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + pair["gap"]
-        end = start + F.length(pair["value"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(
-                done["found"],
-                F.array(F.struct(pair["value"].alias("value"), start.alias("start"), end.alias("end"))),
-            ).alias("found"),
-        )
-
     pairs = F.filter(
         F.arrays_zip(values.alias("value"), gaps.alias("gap")), lambda p: p["value"].isNotNull()
     )
-    zero = F.struct(
-        F.lit(0).cast("int").alias("at"),
-        F.array().cast("array<struct<value:string,start:int,end:int>>").alias("found"),
+    return _let(pairs, lambda known: _let(_blocks(known), _running))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(pairs: Column) -> Column:
+    """An array in parts of MATCH_BLOCK elements."""
+    count = F.ceil(F.size(pairs) / MATCH_BLOCK).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
+        lambda n: F.slice(pairs, n * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK)),
+    )
+
+
+def _running(blocks: Column) -> Column:
+    """Places matches by the lengths before them: of whole blocks first, then within each.
+
+    A fold that grows one array copies it at every step; here none grows beyond a block, or
+    beyond one entry per block.
+    """
+
+    def extent(pair: Column) -> Column:
+        return pair["gap"] + F.length(pair["value"])
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda done, pair: done + extent(pair))
+
+    def onward(done: Column, length: Column) -> Column:
+        return F.struct(
+            (done["at"] + length).alias("at"), F.concat(done["starts"], F.array(done["at"])).alias("starts")
+        )
+
+    def add(done: Column, pair: Column) -> Column:
+        end = done["at"] + extent(pair)
+        match = F.struct(
+            pair["value"].alias("value"), (done["at"] + pair["gap"]).alias("start"), end.alias("end")
+        )
+        return F.struct(end.alias("at"), F.concat(done["found"], F.array(match)).alias("found"))
+
+    none = F.array().cast("array<struct<value:string,start:int,end:int>>")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.transform(blocks, total), first, onward)["starts"]
+    return F.flatten(
+        F.transform(
+            F.arrays_zip(blocks.alias("block"), starts.alias("start")),
+            lambda b: F.aggregate(b["block"], F.struct(b["start"].alias("at"), none.alias("found")), add)["found"],
+        )
     )
-    return F.aggregate(pairs, zero, add)["found"]
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -256,8 +296,13 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     text is empty and has none. Rows are searched one by one: repeated rows, null ids and
     other columns pass through; ``_pii`` is replaced. An empty table gives an empty result.
     """
-    whole = F.coalesce(F.col("_text"), F.lit(""))
-    docs = docs.drop("_pii", "_text", "_key", "_terms").withColumn("_text", F.col(text).cast("string"))
+    return _found(docs.drop("_pii"), text).select("row", F.col("pii").alias("_pii")).select("row.*", "_pii")
+
+
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    """``row``, the columns of ``docs`` as one, so that no name meets those in use here; and ``pii``."""
+    whole = F.coalesce(F.col("body"), F.lit(""))
+    docs = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("body"))
     keyed = docs.withColumn("_key", F.md5(whole.cast("binary")))
     texts = keyed.select(F.col("_key").alias("key"), whole.alias("text"))
     revealing = revealing_terms(texts)
@@ -293,15 +338,15 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat("_generalised", "_removed"),
         lambda a, b: (a["start"] - b["start"]).cast("int"),
     )
-    return marked.withColumn(
-        "_pii",
+    return marked.select(
+        "row",
         F.struct(
             F.col("_base").alias("base"),
             F.concat("_base", terms).alias("spans"),
             F.col("_generalised").alias("generalised"),
             F.col("_removed").alias("removed"),
-        ),
-    ).drop("_text", "_terms", "_base", "_generalised", "_removed")
+        ).alias("pii"),
+    )
 
 
 def _labelled(spans: Column, label: Column | None = None) -> Column:
@@ -316,18 +361,20 @@ def _labelled(spans: Column, label: Column | None = None) -> Column:
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; texts without any stay as they are.
 
-    Spans that overlap are replaced as one, by the placeholder of the first.
+    Spans that overlap are replaced as one, by the placeholder of the first. Nulls stay null,
+    empty texts empty; repeated rows and other columns pass through, whatever their names; an
+    empty table gives an empty result.
     """
-    found = find(docs, text)
+    found = _found(docs, text)
     spans = F.array_sort(
         F.concat(
-            _labelled(F.col("_pii.base")),
-            _labelled(F.col("_pii.generalised"), F.lit("generalised")),
-            _labelled(F.col("_pii.removed"), F.lit("removed")),
+            _labelled(F.col("pii.base")),
+            _labelled(F.col("pii.generalised"), F.lit("generalised")),
+            _labelled(F.col("pii.removed"), F.lit("removed")),
         )
     )
     holder = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
-    body = F.col(text).cast("string")
+    body = F.col(f"row.`{text}`").cast("string")
 
     def step(done: Column, span: Column) -> Column:
         fresh = span["start"] >= done["at"]
@@ -348,8 +395,8 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
             F.array_join(done["out"], ""), F.substring(body, (done["at"] + 1).cast("int"), F.length(body))
         ),
     )
-    clean = F.when(F.size("_pii.spans") > 0, built).otherwise(body)
-    return found.withColumn(text, clean).select(*docs.columns)
+    clean = F.when(F.size("pii.spans") > 0, built).otherwise(body)
+    return found.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _count(spans: Column, kind: str) -> Column:
@@ -357,7 +404,11 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and digests of the spans found: one row per document."""
+    """Counts and digests of the spans found: one row per document.
+
+    A null or empty text has none; null ids and repeated rows keep their rows; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
+    """
     found = find(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     base = F.col("_pii.base")
     return found.select(
