@@ -9,6 +9,7 @@ import pytest
 from conftest import TESTDATA
 
 from usagepulse.llm import quality_classifier, quality_rules
+from usagepulse.llm.common import at_most
 from usagepulse.llm.textstats import RATIOS, repeated_words, statistics
 
 from .conftest import LONG
@@ -134,3 +135,23 @@ def test_classifier_on_awkward_rows(spark, awkward, no_rows):
     unlabelled = quality_classifier.classify(awkward, labels.where("doc_id > 99")).collect()
     assert {r.score for r in unlabelled} == {0.5}
     assert len(RATIOS) == len(statistics("a word")[1])
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.1])
+@pytest.mark.parametrize("rule", range(len(quality_rules.RULES)))
+def test_junk_that_fails_one_rule_goes(rule, share):
+    """Accuracies come from the documents: one bad vote is enough where good ones draw few."""
+    good = sum(quality_rules.GOOD * 3**i for i in range(len(quality_rules.RULES)))
+    unsure, junk = good - (1 if rule else 3), good - quality_rules.GOOD * 3**rule
+    counts = np.array([0.9 * (1 - share), 0.1 * (1 - share), share]) * 100_000
+    found = quality_rules.posteriors(np.array([good, unsure, junk]), counts)
+    assert found[0] > 0.9 and found[1] > 0.8 and found[2] < quality_rules.KEEP_AT
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    rows = [(i % 3, f"Text {i} of some words.", i % 2) for i in range(90)]
+    measured = spark.createDataFrame([(i, [float(n)] * len(RATIOS)) for n, (i, _, _) in enumerate(rows)], "doc_id long, values array<double>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality long")
+    taught = at_most(measured.join(labels, "doc_id"), "doc_id", 10)
+    assert taught.count() == 10 and sorted(map(str, taught.collect())) == sorted(map(str, taught.collect()))
+    assert at_most(measured, "doc_id", 90).count() == 90

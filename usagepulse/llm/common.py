@@ -76,6 +76,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def at_most(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` if it has no more than ``rows`` rows, else its bounded sample.
+
+    A join with a bounded sample has more rows than it where ids repeat.
+    """
+    return bounded_sample(df, key, rows) if df.count() > rows else df
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows: those with the smallest hash of ``key``, all if there are fewer.
 

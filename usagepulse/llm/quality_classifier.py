@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagepulse.llm.common import bounded_sample, held_out, materialise
+from usagepulse.llm.common import at_most, bounded_sample, held_out, materialise
 from usagepulse.llm.textstats import RATIOS, statistics
 
 SAMPLE = 20_000  # labelled rows the trees are fitted on, those of the smallest id hashes
@@ -138,11 +138,8 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality", sample
     known = labels.where(
         F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     ).select("doc_id", F.col(label).cast("double").alias("label"))
-    rows = (
-        measured.join(bounded_sample(known, "doc_id", sample), "doc_id")
-        .select("values", "label")
-        .toArrow()
-    )
+    taught = measured.join(bounded_sample(known, "doc_id", sample), "doc_id").select("doc_id", "values", "label")
+    rows = at_most(taught, "doc_id", sample).select("values", "label").toArrow()
     values = np.array(rows.column("values").to_pylist(), float).reshape(len(rows), len(RATIOS))
     return fit(values, rows.column("label").to_numpy())
 

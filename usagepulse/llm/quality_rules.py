@@ -25,11 +25,13 @@ MAX_REPEAT_PERCENT = 30
 KEEP_AT = 0.5
 BAD, ABSTAIN, GOOD = 0, 1, 2
 # How often a rule is expected to vote bad, abstain and vote good on a bad and on a good
-# document, and how much that weighs beside the documents. Without it one kind of junk
-# becomes the bad class and other kinds are explained as good documents that a rule
-# happens to dislike.
-EXPECTED = ((0.3, 0.2, 0.5), (0.002, 0.1, 0.898))
-EXPECTED_WEIGHT = 10.0
+# document, given as so many documents of each class; a larger corpus outgrows them.
+EXPECTED = ((0.3, 0.2, 0.5), (0.001, 0.1, 0.899))
+EXPECTED_DOCS = 20.0
+# What makes the classes differ: a rule dislikes at most this share of the good documents.
+# Without it one kind of junk becomes the bad class and the documents of other kinds pass
+# as good ones that some rule happens to dislike.
+MAX_GOOD_DISLIKED = 0.001
 
 
 @dataclass(frozen=True)
@@ -90,8 +92,9 @@ def vote_patterns(ratios: np.ndarray, rules: tuple[Rule, ...] = RULES) -> np.nda
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES), rounds: int = 100) -> np.ndarray:
     """Probability that a document with each pattern is good.
 
-    The first guess takes a document with a bad vote for bad. The counts of every rule and
-    class are smoothed by one document per outcome and drawn to ``EXPECTED``.
+    The first guess takes a document with a bad vote for bad. How every rule votes on each
+    class is estimated from the documents and EXPECTED_DOCS expected ones, under the
+    one constraint of MAX_GOOD_DISLIKED.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -101,9 +104,13 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES)
     for _ in range(rounds):
         mass = np.stack([counts * (1 - good), counts * good])
         prior = (mass.sum(axis=1) + 1) / (counts.sum() + 2)
-        chance = np.einsum("cp,prv->crv", mass, outcome) + 1
-        chance += EXPECTED_WEIGHT * (mass.sum(axis=1)[:, None] * np.array(EXPECTED))[:, None, :]
+        chance = np.einsum("cp,prv->crv", mass, outcome)
+        chance += EXPECTED_DOCS * np.array(EXPECTED)[:, None, :]
         chance /= chance.sum(axis=2, keepdims=True)
+        over = chance[1, :, BAD] > MAX_GOOD_DISLIKED
+        rest = chance[1, over, BAD + 1 :]
+        chance[1, over, BAD + 1 :] = rest * ((1 - MAX_GOOD_DISLIKED) / rest.sum(axis=1))[:, None]
+        chance[1, over, BAD] = MAX_GOOD_DISLIKED
         logs = np.einsum("prv,crv->pc", outcome, np.log(chance)) + np.log(prior)
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
         if np.abs(new - good).max() < 1e-9:
@@ -137,27 +144,26 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     keep = docs.columns if keep is None else keep
     # Only texts go to Python and only counts come back; the other columns stay behind.
     measure = F.arrow_udf(_measured, StructType([StructField(n, LongType()) for n in _COUNTS]))
+    # The row travels as one column, so its names meet none of those in use here.
     measured = materialise(
-        docs.select(*keep, measure(F.col(text).cast("string")).alias("_rules")), "rules"
+        docs.select(F.struct(*keep).alias("row"), measure(F.col(text).cast("string")).alias("found")), "rules"
     )
-    counted = measured.groupBy(F.col("_rules.pattern").alias("pattern")).count().toPandas()
+    counted = measured.groupBy(F.col("found.pattern").alias("pattern")).count().toPandas()
     patterns = counted["pattern"].to_numpy(np.int64)
     good = posteriors(patterns, counted["count"].to_numpy(float))
     known = docs.sparkSession.createDataFrame(
-        list(zip(patterns.tolist(), good.tolist())), "_pattern long, _posterior double"
+        list(zip(patterns.tolist(), good.tolist())), "pattern long, posterior double"
     )
-    failed = (F.col("_rules.n_words") < MIN_WORDS) | (
-        100 * F.col("_rules.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_rules.n_words")
+    failed = (F.col("found.n_words") < MIN_WORDS) | (
+        100 * F.col("found.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("found.n_words")
     )
-    judged = measured.join(
-        F.broadcast(known), F.col("_rules.pattern") == F.col("_pattern"), "left"
-    )
-    return judged.withColumn(
-        "_rules",
+    judged = measured.join(F.broadcast(known), F.col("found.pattern") == F.col("pattern"), "left")
+    return judged.select(
+        "row",
         F.struct(
-            *[F.col(f"_rules.{n}") for n in BASE],
+            *[F.col(f"found.{n}") for n in BASE],
             failed.alias("base_failed"),
-            (~failed & (F.col("_posterior") >= KEEP_AT)).alias("kept"),
-            F.col("_posterior").alias("posterior"),
-        ),
-    ).drop("_pattern", "_posterior")
+            (~failed & (F.col("posterior") >= KEEP_AT)).alias("kept"),
+            "posterior",
+        ).alias("_rules"),
+    ).select("row.*", "_rules")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagepulse.llm.common import bounded_sample, held_out, materialise
+from usagepulse.llm.common import at_most, bounded_sample, held_out, materialise
 
 SAMPLE = 20_000  # labelled documents the machine is trained on, those of the smallest id hashes
 HARD = 6_000  # clean words that a first machine takes for toxic
@@ -332,6 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         docs.join(bounded_sample(known, "doc_id", sample), "doc_id").select("doc_id", "text", "label"),
         "lessons",
     )
+    lessons = at_most(lessons, "doc_id", sample)
     # A copied text teaches once; it is toxic if at least half of its labels say so.
     distinct = lessons.groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     counted = materialise(
