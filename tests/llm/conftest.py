@@ -2,10 +2,17 @@ import pytest
 
 from usagepulse.llm.common import prepare
 
+# Names that operators use, or have used, for columns of their own.
+WORKING = (
+    "_row _number _none _source _bucket _order _words _at _first _passes _copies _middle _slope _size _time "
+    "_pattern _posterior pattern posterior found _text _key _terms _base _generalised _removed body pii row whole place"
+).split()
+WORKING = [name for name in WORKING if name != "row"]
 AWKWARD = (
     "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, "
     "root string, key string, band int, size string, target int, row string, term string, unit string, "
-    "piece string, ids string, values string"
+    "piece string, ids string, values string, "
+    + ", ".join(f"{name} string" for name in WORKING)
 )
 LONG = " ".join(f"word{i % 977} and" for i in range(20_000)) + "."
 
@@ -33,7 +40,7 @@ def awkward(spark):
         (9, "word"),
     ]
     rows = [
-        (i, t, None if n % 3 else "en", None if n % 4 == 0 else f"s{n % 2}", None, 1, 2, *["z"] * 2, 3, "4", 5, *["q"] * 6)
+        (i, t, None if n % 3 else "en", None if n % 4 == 0 else f"s{n % 2}", None, 1, 2, *["z"] * 2, 3, "4", 5, *["q"] * 6, *(f"{name} kept" for name in WORKING))
         for n, (i, t) in enumerate(texts)
     ]
     return spark.createDataFrame(rows, AWKWARD)

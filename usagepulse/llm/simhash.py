@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagepulse.llm.common import materialise
@@ -271,28 +271,32 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of ``docs`` that stand for their near-duplicate group, all columns kept.
 
     That is the row with the smallest ``doc_id`` (nulls last); of several with that id, one
-    of those with the smallest hash of their text. A column ``_row`` is replaced.
+    of those with the smallest hash of their text, and of those the one whose columns hash
+    lowest. Nulls, empty texts and repeated rows are grouped as in ``near_duplicates``; an
+    empty table gives an empty result.
     """
-    columns = [c for c in docs.columns if c != "_row"]
-    row = F.concat_ws(
+    place = F.concat_ws(
         ":",
         F.coalesce(F.col(doc_id).cast("string"), F.lit("null")),
         F.hex(F.xxhash64(F.col(text).cast("string"))),
     )
-    marked = docs.withColumn("_row", row)
-    prints, ids = _groups(marked, doc_id, text, "_row")
+    # The row travels as one column, so its names meet none of those in use here.
+    marked = docs.select(
+        F.struct(*docs.columns).alias("whole"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), place.alias("place")
+    )
+    prints, ids = _groups(marked, "doc_id", "text", "place")
     # Merged on the map side: a group of any size leaves each task as one row.
     chosen = (
         prints.join(ids, "fp")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least"))
-        .select(F.col("least.key").alias("_row"))
+        .select(F.col("least.key").alias("place"))
         .distinct()
     )
-    number = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+    # Rows equal in id and text merge on the map side, however many there are.
     return (
-        marked.join(chosen, "_row", "left_semi")
-        .withColumn("_number", number)
-        .where("_number = 1")
-        .select(*columns)
+        marked.join(chosen, "place", "left_semi")
+        .groupBy("place")
+        .agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+        .select("whole.*")
     )
