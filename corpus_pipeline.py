@@ -32,9 +32,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents as the mix takes them, in training order."""
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(sized, size="_size").drop("_size")
-    return mixing.training_order(mixed)
+    return mixing.training_order(mixing.mix(docs, size=mixing.word_count(F.col("text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
