@@ -51,6 +51,23 @@ SUBMISSIONS = {
     '{"plan":[{"question":null,"answer":"z"},{"question":null,"answer":""}]}': 0,
     '{"plan":[{"question":"[q","answer":"z"},{"question":"{r","answer":false}]}': 2,
     '{"plan":[{"question":"q","answer":{}},{"question":"r","answer":{"a":null}},{"question":"s","answer":[null]}]}': 2,
+    # NaN and infinities are answers; the last value of a repeated key stands.
+    '{"plan":[{"question":"q","answer":NaN},{"question":"r","answer":-Infinity},{"question":"s","answer":""}]}': 2,
+    '{"plan":[{"question":"q","answer":1,"answer":""},{"question":"r","answer":null,"answer":0}]}': 1,
+    '{"plan":[{"question":"q","answer":1}],"plan":[]}': 0,
+    '{"plan":[],"plan":[5,"x",null,[1],{"question":"q","answer":{"a":1,"a":2}},{"question":"r","answer":[]}]}': 1,
+    '{"plan":[{"question":"q","question":"r","answer":1},{"question":"r","answer":null}]}': 0,
+    '{"plan":[{"question":["q"],"answer":NaN}]}': 0,
+    '{"plan":[{"question":"q","answer":NaN},{"question":"r"}]}': 0,
+    '{"plan":[{"question":"q","answer":"null","answer":"[]"}]}': 1,
+    '{"plan":[{"question":"q","answer":1}],"note":NaN,"note":{"a":1,"a":2}}': 1,
+    # Still no JSON: something after the document, a comma too many, single quotes, nan.
+    '{"plan":[{"question":"q","answer":NaN}]} x': 0,
+    '{"plan":[{"question":"q","answer":NaN}]}{}': 0,
+    '{"plan":[{"question":"q","answer":NaN}],}': 0,
+    '{"plan":[{"question":"q","answer":NaN}]': 0,
+    "{'plan':[{'question':'q','answer':1}]}": 0,
+    '{"plan":[{"question":"q","answer":nan}]}': 0,
     '{"plan":[{"question":"q","answer":" "},"x",null,[1],{"question":"é\\n","answer":"null"}]}': 2,
 }
 

@@ -1,6 +1,7 @@
 """The shape of the plans: what is scanned, shuffled and joined, and how."""
 
 import re
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from conftest import TESTDATA
 from usagepulse.functions.calendar import Period
 from usagepulse.operators import engagement, kpis, trends
+from usagepulse.operators.combinations import combination_highlights, feature_combinations
 from usagepulse.plans.queries import all_queries
 from usagepulse.sources.registry import DimensionJoin, FeatureSource, build_events
 from usagepulse.sources.tables import read_activity, save_by_user, write_activity
@@ -106,6 +108,64 @@ def test_a_hot_key_is_split_where_repeats_are_not_merged(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+@pytest.mark.parametrize("merge_repeats", [False, True])
+def test_a_declared_hot_key_is_dealt_over_join_keys(no_broadcast, merge_repeats):
+    """Nearly all lines of one order: no join key holds more than a share of them."""
+    lines = no_broadcast.range(0, 40_000, 1, 8).selectExpr(
+        "IF(id % 10 < 8, 0, IF(id % 10 = 9, NULL, id)) AS order",
+        "DATE'2024-03-01' + CAST(id % 500 AS int) AS at",
+        "id % 3 = 0 AS salt",
+    )
+    orders = no_broadcast.range(0, 40_000, 1, 4).selectExpr("id", "CAST(id % 100 AS string) AS user")
+    tables = {"lines": lines, "orders": orders}
+
+    def events(**declared):
+        join = DimensionJoin("orders", "order", "id", merge_repeats=merge_repeats, **declared)
+        both = [
+            FeatureSource("spending", "lines", "user", "at", join=join),
+            FeatureSource("savings", "lines", "user", "at", "salt", join=join),
+        ]
+        return build_events(tables.__getitem__, both)
+
+    salted = events(hot_keys=(0, 7), spread=16)
+    by_row = ["user_id", "activity_date", "feature"]
+    found, expected = (
+        {tuple(r) for r in df.groupBy(*by_row).count().collect()} for df in (salted, events())
+    )
+    assert found == expected
+    plan = plan_of(salted)
+    assert re.search(r"Join \[key#\w+, salt#\w+\], \[key#\w+, salt#\w+\], Inner", plan)
+    plain = plan_of(events())
+    assert "salt#" not in plain.split("Inner")[0]
+
+
+def test_combinations_are_never_gathered_in_one_task(no_broadcast):
+    """Twenty features, all in use: many combinations, none numbered or sorted in one task."""
+    names = [f"f{i:02d}" for i in range(20)]
+    activity = no_broadcast.range(4000).selectExpr(
+        "CAST(id AS string) AS user_id", "DATE'2024-03-01' AS activity_date",
+        "explode(filter(transform(sequence(0, 19), i -> "
+        "IF(shiftright(1 + id * 7919, i) % 2 = 1, format_string('f%02d', i), NULL)), "
+        "f -> f IS NOT NULL)) AS feature",
+    )
+    combos = feature_combinations(activity, "2024-03-01", "2024-03-01", names)
+    users = {}
+    for user, _, feature in activity.collect():
+        users.setdefault(user, []).append(feature)
+    expected = Counter(" + ".join(sorted(f)) for f in users.values() if len(f) > 1)
+    rows = combos.collect()
+    assert {r["feature_combination"]: r["user_count"] for r in rows} == expected
+    best = sorted(expected, key=lambda c: (-expected[c], c))
+    assert [r["feature_combination"] for r in rows if r["band"] == "top"] == best[:1]
+    row = combination_highlights(combos).first()
+    assert (row["top_combination"], row["total_combinations"]) == (best[0], len(expected))
+    share = {r["feature_combination"]: r["percentage"] for r in rows}
+    assert row["top2_percentage"] == share[best[0]] + share[best[1]]
+    for plan in (plan_of(combos), plan_of(combination_highlights(combos))):
+        assert "Window" not in plan
+        assert not re.search(r"Sort [^\n]*\n[^\n]*Exchange SinglePartition", plan)
+
+
 def test_filters_and_columns_reach_the_scans(no_broadcast):
     plan = plan_of(QUERIES["trend_dau"](no_broadcast, ROOT))
     scans = re.findall(r"FileScan parquet \[(.*?)\].*?PushedFilters: \[(.*?)\]", plan)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagepulse.functions.calendar import Period
@@ -40,44 +40,47 @@ def feature_combinations(
         per_user.groupBy(F.concat_ws(" + ", *names).alias("feature_combination"))
         .agg(F.count("*").alias("user_count"))
     )
-    # At most 2^features rows from here on, so the unpartitioned windows are small.
+    # There may be 2^features combinations, so none is numbered or sorted: the total and
+    # the leader are one mergeable aggregate over the same counts, read as a scalar.
+    whole = counted.agg(
+        F.struct(F.sum("user_count").alias("users"), F.min(_place()).alias("leader"))
+    ).scalar()
     share = F.round(
-        F.col("user_count") * F.lit(100).cast("decimal(20,1)")
-        / F.sum("user_count").over(Window.partitionBy()),
-        2,
+        F.col("user_count") * F.lit(100).cast("decimal(20,1)") / whole["users"], 2
     )
-    place = F.row_number().over(Window.orderBy(F.desc("user_count"), "feature_combination"))
-    return (
-        counted.select("*", share.cast("double").alias("percentage"), place.alias("place"))
-        .withColumn(
-            "band",
-            F.when(F.col("place") == 1, "top")
-            .when(F.col("percentage") > HIGH_USAGE_PERCENT, "high")
-            .otherwise(""),
-        )
-        .select("feature_combination", "user_count", "percentage", "band")
+    leads = F.col("feature_combination") == whole["leader"]["feature_combination"]
+    return counted.select("*", share.cast("double").alias("percentage")).withColumn(
+        "band",
+        F.when(leads, "top")
+        .when(F.col("percentage") > HIGH_USAGE_PERCENT, "high")
+        .otherwise(""),
     )
 
 
+def _place() -> Column:
+    """Orders combinations by users, most first, then by name."""
+    return F.struct((-F.col("user_count")).alias("order"), "feature_combination")
+
+
 def combination_highlights(combinations: DataFrame) -> DataFrame:
     """The leading combination, how many there are, and the share of the first two.
 
     No row without combinations; ``top2_percentage`` is NULL when there is one.
     """
-    place = F.row_number().over(Window.orderBy(F.desc("user_count"), "feature_combination"))
-    first, second = F.col("place") == 1, F.col("place") == 2
+    # Each partition keeps its best two, and the best two of those remain.
+    best = combinations.orderBy(F.desc("user_count"), "feature_combination").limit(2)
+    total = combinations.agg(F.count("*")).scalar()
     return (
-        combinations.withColumn("place", place)
-        .agg(
-            F.max(F.when(first, F.col("feature_combination"))).alias("top_combination"),
-            F.max(F.when(first, F.col("user_count"))).alias("top_user_count"),
-            F.max(F.when(first, F.col("percentage"))).alias("top_percentage"),
-            F.count("*").alias("total_combinations"),
-            F.max(F.when(second, F.col("percentage"))).alias("second_percentage"),
+        best.agg(
+            F.min_by(F.struct("feature_combination", "user_count", "percentage"), _place()).alias("top"),
+            F.when(F.count("*") == 2, F.sum("percentage")).alias("top2_percentage"),
         )
-        .filter(F.col("total_combinations") > 0)
+        .filter("top IS NOT NULL")
         .select(
-            "top_combination", "top_user_count", "top_percentage", "total_combinations",
-            (F.col("top_percentage") + F.col("second_percentage")).alias("top2_percentage"),
+            F.col("top.feature_combination").alias("top_combination"),
+            F.col("top.user_count").alias("top_user_count"),
+            F.col("top.percentage").alias("top_percentage"),
+            total.alias("total_combinations"),
+            "top2_percentage",
         )
     )

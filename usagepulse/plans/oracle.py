@@ -7,6 +7,7 @@ only if both are right.
 
 from __future__ import annotations
 
+from usagepulse.plans.profiles import FIVE_FEATURES
 from usagepulse.plans.queries import (
     DORMANT_DAYS,
     EVENT_START,
@@ -41,6 +42,25 @@ usage AS (
     FROM orders WHERE o_orderpriority = '1-URGENT'
 )"""
 
+# The same over tables with gaps.
+GAPS = """
+gap_orders AS (
+    SELECT o_orderkey, o_orderdate,
+           CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS o_custkey,
+           CASE WHEN o_orderkey % 7 <> 3 THEN o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderkey % 13 <> 5 THEN o_orderpriority END AS o_orderpriority
+    FROM orders
+),
+gap_customer AS (
+    SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal
+    FROM customer
+),""" + COMMERCE.replace(" orders", " gap_orders").replace(" customer", " gap_customer")
+
+FIVE = COMMERCE.removesuffix(")") + """    UNION
+    SELECT CAST(o_custkey AS VARCHAR), CAST(l_shipdate AS DATE), 'returns'
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'
+)"""
+
 EVENTS = """
 person AS (
     SELECT CAST(c_custkey AS VARCHAR) AS user_id,
@@ -106,14 +126,14 @@ def _average_actives(unit: str, source: str) -> str:
     )
 
 
-def _comprehensive(profile: str, window: tuple[str, str]) -> str:
+def _comprehensive(profile: str, window: tuple[str, str], features=FEATURES) -> str:
     per_feature = ",\n".join(
         f"(SELECT count(DISTINCT user_id) FROM recent WHERE feature = '{f}') AS {f}_users"
-        for f in FEATURES
+        for f in features
     )
     only = ",\n".join(
         f"(SELECT count(*) FROM per_user WHERE kinds = 1 AND some_kind = '{f}') AS only_{f}_users"
-        for f in FEATURES
+        for f in features
     )
     return f"""
 WITH {profile},
@@ -762,6 +782,25 @@ recent AS (SELECT * FROM submission WHERE {_between('created', EVENT_WEEKS)})
 SELECT count(*) AS submissions,
        count(*) FILTER (WHERE answers = (SELECT max(answers) FROM recent)) AS completed
 FROM recent
+""",
+        "survey_odd_documents": f"""
+WITH submission AS (
+    SELECT CASE turn % 6 WHEN 4 THEN 0 ELSE
+               CASE turn % 6 WHEN 1 THEN 0 ELSE 1 END + CASE WHEN "text" <> '' THEN 1 ELSE 0 END
+           END AS answers
+    FROM conversations
+    WHERE {_between("DATE '2024-01-01' + CAST(conv_id % 30 AS INTEGER)", EVENT_WEEKS)}
+)
+SELECT answers, count(*) AS submissions FROM submission GROUP BY answers
+""",
+        "activity_fact_gaps": f"WITH {GAPS} SELECT user_id, d AS activity_date, feature FROM usage",
+        "comprehensive_metrics_gaps": _comprehensive(GAPS, LAUNCH),
+        "comprehensive_metrics_five": _comprehensive(FIVE, LAUNCH, FIVE_FEATURES),
+        "feature_combinations_five": f"WITH {_combinations(FIVE, LAUNCH)} SELECT * FROM banded",
+        "activity_fact_reserved": """
+SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderdate AS DATE) AS activity_date,
+       'spending' AS feature
+FROM orders WHERE o_orderstatus = 'F'
 """,
         "survey_daily": f"""
 WITH {SUBMISSIONS}

@@ -123,6 +123,87 @@ def conversation_submissions(read: TableReader) -> DataFrame:
     )
 
 
+def _entry(question: str, answer: Column | str) -> Column:
+    return F.concat(F.lit(f'{{"question":"{question}","answer":'), F.lit(answer), F.lit("}"))
+
+
+def _plan(*items: Column | str) -> Column:
+    return F.concat(F.lit('"plan":['), F.concat_ws(",", *map(F.lit, items)), F.lit("]"))
+
+
+def odd_submissions(read: TableReader) -> DataFrame:
+    """Each conversation turn as the answer of a document of one of six shapes.
+
+    By turn: NaN, a repeated key of an item, a repeated plan with an infinity and items
+    that are no objects, an answer that repeats a key, text that is no JSON, plain JSON.
+    """
+    turns = read("conversations").select("conv_id", "turn", "text")
+    listed = F.to_json(F.array("text"), {"ignoreNullFields": "false"})
+    said = _entry("said", F.expr("substring(j, 2, length(j) - 2)"))
+    good = _entry("good", "1")
+    shapes = [
+        F.concat(F.lit("{"), _plan(_entry("odd", "NaN"), said), F.lit("}")),
+        F.concat(F.lit("{"), _plan('{"question":"odd","answer":1,"answer":""}', said), F.lit("}")),
+        F.concat(
+            F.lit("{"), _plan(good, _entry("more", "2")), F.lit(","),
+            _plan(_entry("odd", "-Infinity"), "7", '"x"', said), F.lit("}"),
+        ),
+        F.concat(F.lit("{"), _plan(_entry("odd", '{"a":1,"a":[]}'), said), F.lit("}")),
+        F.concat(F.lit("{"), _plan(_entry("odd", "NaN"), said), F.lit(",}")),
+        F.concat(F.lit("{"), _plan(good, said), F.lit("}")),
+    ]
+    shape = (F.col("turn") % len(shapes) + 1).cast("int")
+    return turns.withColumn("j", listed).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 30).cast("int")).alias(
+            "created_at"
+        ),
+        F.element_at(F.array(*shapes), shape).alias("metadata"),
+    )
+
+
+def with_gaps(read: TableReader) -> TableReader:
+    """The tables with NULL for some user keys, filter values and balances.
+
+    A balance of NULL leaves open whether its customer is restricted.
+    """
+    gaps = {
+        "orders": {
+            "o_custkey": "CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END",
+            "o_orderstatus": "CASE WHEN o_orderkey % 7 <> 3 THEN o_orderstatus END",
+            "o_orderpriority": "CASE WHEN o_orderkey % 13 <> 5 THEN o_orderpriority END",
+        },
+        "customer": {"c_acctbal": "CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END"},
+    }
+
+    def gapped(name: str) -> DataFrame:
+        columns = gaps.get(name, {})
+        return read(name).withColumns({c: F.expr(sql) for c, sql in columns.items()})
+
+    return gapped
+
+
+# Besides the four: lines sent back, by the customer of their order.
+FIVE_FEATURES = ("spending", "savings", "investment", "assistant", "returns")
+FIVE_SOURCES = [
+    *COMMERCE_SOURCES,
+    FeatureSource(
+        "returns", "lineitem", "o_custkey", "l_shipdate", "l_returnflag = 'R'",
+        DimensionJoin(**_ORDER_OF_LINE),
+    ),
+]
+
+
+def reserved_words(read: TableReader) -> DataFrame:
+    """Orders with columns named as SQL's own words."""
+    return read("orders").select(
+        F.col("o_custkey").alias("user"), F.col("o_orderdate").alias("timestamp"),
+        F.col("o_orderstatus").alias("select"),
+    )
+
+
+RESERVED_SOURCES = [FeatureSource("spending", "order", "user", "timestamp", "`select` = 'F'")]
+
+
 def event_feedback(read: TableReader) -> DataFrame:
     return read("events").select(
         F.col("ts").alias("created_at"),

@@ -47,21 +47,23 @@ DAILY_USERS_SQL = """
 class Profile:
     """Activity and users of one profile, read from a directory of tables."""
 
-    def __init__(self, sources, users) -> None:
-        self._sources, self._users = sources, users
+    def __init__(self, sources, users, view=lambda read: read) -> None:
+        self._sources, self._users, self._view = sources, users, view
 
     def activity(self, read: TableReader, feature: str | None = None) -> DataFrame:
-        return build_events(read, self._sources, feature)
+        return build_events(self._view(read), self._sources, feature)
 
     def fact(self, read: TableReader) -> DataFrame:
-        return build_activity(read, self._sources)
+        return build_activity(self._view(read), self._sources)
 
     def users(self, read: TableReader) -> DataFrame:
-        return self._users(read)
+        return self._users(self._view(read))
 
 
 COMMERCE = Profile(profiles.COMMERCE_SOURCES, profiles.commerce_users)
 EVENTS = Profile(profiles.EVENT_SOURCES, profiles.event_users)
+GAPS = Profile(profiles.COMMERCE_SOURCES, profiles.commerce_users, profiles.with_gaps)
+FIVE = Profile(profiles.FIVE_SOURCES, profiles.commerce_users)
 
 
 def _on_activity(profile: Profile, op, *args, **kwargs) -> Query:
@@ -95,6 +97,11 @@ def _daily_users_sql(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql(DAILY_USERS_SQL, args=window, activity=activity)
 
 
+def _reserved_fact(spark: SparkSession, root: str) -> DataFrame:
+    orders = profiles.reserved_words(parquet_reader(spark, root))
+    return build_activity({"order": orders}.__getitem__, profiles.RESERVED_SOURCES)
+
+
 def _with_first_seen(op, *args) -> Query:
     """Activity reports from a first-seen frame, derived here and kept in a table elsewhere."""
 
@@ -200,6 +207,18 @@ def all_queries() -> dict[str, Query]:
         "survey_completion": _on_table(
             profiles.conversation_submissions, survey.survey_completion, *EVENT_WEEKS
         ),
+        "survey_odd_documents": _on_table(
+            profiles.odd_submissions, survey.answer_counts, *EVENT_WEEKS
+        ),
+        "activity_fact_gaps": lambda spark, root: GAPS.fact(parquet_reader(spark, root)),
+        "comprehensive_metrics_gaps": _on_both(GAPS, engagement.comprehensive_metrics, *LAUNCH),
+        "comprehensive_metrics_five": _on_both(
+            FIVE, engagement.comprehensive_metrics, *LAUNCH, features=profiles.FIVE_FEATURES
+        ),
+        "feature_combinations_five": _on_activity(
+            FIVE, combinations.feature_combinations, *LAUNCH, features=profiles.FIVE_FEATURES
+        ),
+        "activity_fact_reserved": _reserved_fact,
         "survey_daily": _on_table(
             profiles.conversation_submissions, survey.daily_submissions, *EVENT_WEEKS
         ),

@@ -7,7 +7,7 @@ of source tables feed it, each through a ``FeatureSource``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -44,6 +44,10 @@ class DimensionJoin:
     key holding a large share of the fact reaches the join as one row per date.
     That costs a shuffle, so leave it off where keys repeat little within a date;
     adaptive execution then splits whatever key is hot.
+
+    Keys known to be hot can be declared in ``hot_keys``. Their facts are dealt over
+    ``spread`` join keys by their point in time (with ``merge_repeats`` by its date, so
+    that repeats still merge), and the dimension row of each is repeated as often: at most ``spread`` rows for each declared key, whatever the tables' size.
     """
 
     table: str
@@ -51,6 +55,8 @@ class DimensionJoin:
     dim_key: str
     where: str | None = None
     merge_repeats: bool = True
+    hot_keys: tuple = ()
+    spread: int = 64
 
 
 @dataclass(frozen=True)
@@ -90,7 +96,7 @@ class UserSource:
 
 def _shares_scan(source: FeatureSource) -> tuple:
     join = source.join
-    keys = (join.table, join.fact_key, join.dim_key, join.merge_repeats) if join else None
+    keys = replace(join, where=None) if join else None
     return source.table, source.user_col, source.ts_col, source.zone, keys
 
 
@@ -134,9 +140,16 @@ def _tag_joined(fact: DataFrame, dim: DataFrame, group: list[FeatureSource]) ->
     head, join = group[0], group[0].join
     fact_met = [_predicate(s.where) for s in group]
     dim_met = [_predicate(s.join.where) for s in group]
+    salted = ["salt"] if join.hot_keys else []
+    day = day_of(fact, head.ts_col, head.zone)
+    dealt = F.pmod(
+        F.xxhash64(day if join.merge_repeats else head.ts_col), F.lit(join.spread)
+    ).cast("int")
+    salt = F.when(F.col(join.fact_key).isin(*join.hot_keys), dealt).otherwise(F.lit(0))
     events = fact.filter(reduce(or_, fact_met) & F.col(join.fact_key).isNotNull()).select(
         F.col(join.fact_key).alias("key"),
-        day_of(fact, head.ts_col, head.zone).alias("activity_date"),
+        *(salt.alias(name) for name in salted),
+        day.alias("activity_date"),
         *(met.alias(f"fact_met{i}") for i, met in enumerate(fact_met)),
     )
     if join.merge_repeats:
@@ -146,10 +159,13 @@ def _tag_joined(fact: DataFrame, dim: DataFrame, group: list[FeatureSource]) ->
         F.col(head.user_col).cast("string").alias("user_id"),
         *(met.alias(f"dim_met{i}") for i, met in enumerate(dim_met)),
     )
+    if salted:
+        last = F.when(F.col("key").isin(*join.hot_keys), F.lit(join.spread - 1)).otherwise(F.lit(0))
+        owners = owners.select("*", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
     conditions: dict[str, Column] = {}
     for i, source in enumerate(group):
         _any_of(conditions, source.feature, F.col(f"fact_met{i}") & F.col(f"dim_met{i}"))
-    return _tag(events.join(owners, "key"), conditions)
+    return _tag(events.join(owners, ["key", *salted]), conditions)
 
 
 def build_events(
