@@ -84,6 +84,25 @@ def test_a_dense_group_is_joined_across_tiles(spark, monkeypatch):
     assert len({roots.get(s, s) for s in signed}) == len(set(tops))
 
 
+@pytest.mark.parametrize("shape", ["ordered path", "star", "cycles"])
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch, shape):
+    edges = {
+        "ordered path": [(i, i + 1) for i in range(999)],
+        "star": [(500, i) for i in range(1000)],
+        "cycles": [(i, i // 100 * 100 + (i + 1) % 100) for i in range(1000)],
+    }[shape]
+    rounds = []
+    kept = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: rounds.append(name) or kept(df, name))
+    roots = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert rounds.count("leads") <= 15
+    assert len(roots) == 1000
+    groups = {}
+    for node, root in roots.items():
+        groups.setdefault(root, set()).add(node // 100 if shape == "cycles" else 0)
+    assert len(groups) == (10 if shape == "cycles" else 1) and all(len(g) == 1 for g in groups.values())
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_forest_holds_groups_together(seed):
     rnd = random.Random(seed)

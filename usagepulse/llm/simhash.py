@@ -193,18 +193,24 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Members ``node`` of the graph of ``edges(a, b)`` and the ``root`` of their component.
 
-    Each round every node follows the smallest of itself and its neighbours; edges are
-    carried over to those leaders and repeats dropped. A component at least halves its
-    nodes each round. The leaders of the rounds are then followed from node to root.
+    Each round shuffles the nodes anew by a hash seeded with its number; every node follows
+    the first of itself and its neighbours in that order, edges are carried over to those
+    leaders and repeats dropped. As the order owes nothing to the graph, a constant share of
+    the nodes is expected to go each round whatever its shape (half of them on a path), so
+    rounds grow with the logarithm of the largest component. The leaders of the rounds are
+    then followed from node to root.
     """
     edges = materialise(edges.where("a != b").distinct(), "links")
     rounds = []
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seed = F.lit(len(rounds))
+        place = F.struct(F.xxhash64("b", seed).alias("order"), F.col("b").alias("node"))
+        own = F.struct(F.xxhash64("node", seed).alias("order"), "node")
         leads = materialise(
             both.groupBy(F.col("a").alias("node"))
-            .agg(F.min("b").alias("b"))
-            .select("node", F.least("node", "b").alias("lead")),
+            .agg(F.min(place).alias("first"))
+            .select("node", F.least(own, "first")["node"].alias("lead")),
             "leads",
         )
         rounds.append(leads)
