@@ -25,6 +25,7 @@ TUPLE = 2
 RANKS = 1 << 18  # numbers ranked at once, or one slot of a longer text
 RANGE_ROWS = 1024
 MAX_RANGES = 65_536
+TASK_ROWS = 16 * RANGE_ROWS  # documents of a task, until there are MAX_RANGES tasks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(8)
@@ -195,9 +196,11 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .collect()
     )
     before = {head: heads[i - 1][0] for i, head in enumerate(heads)}
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(MAX_RANGES, -(-count // TASK_ROWS)))
     return (
         docs.mapInArrow(_deal(bounds, before), "range long, tail boolean, doc_id long, text string")
-        .repartition("range")
+        .repartition(tasks, "range")
         .sortWithinPartitions("range", "tail", F.desc_nulls_last("doc_id"), "text")
         .mapInArrow(
             _follow,
