@@ -53,14 +53,16 @@ def test_losses_match_plain_dictionaries(spark):
         assert rows[i].score == pytest.approx(wanted[0] - wanted[1], rel=1e-3, abs=1e-4)
 
 
-def test_counts_follow_the_corpus_and_chunks_change_nothing(monkeypatch):
-    counts = np.zeros((2, lm_scoring.ORDER * lm_scoring.CELLS), np.float32)
-    counts[:, : lm_scoring.CELLS] = 1
-    texts = ["abc" * 50, None, "x", "", "long text " * 99]
-    whole = lm_scoring.losses(counts, texts)
-    monkeypatch.setattr(lm_scoring, "STEP", 5)
-    for a, b in zip(whole, lm_scoring.losses(counts, texts)):
-        assert np.allclose(a, b)
+def test_chunks_and_blocks_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(["abc" * 50, None, "x", "", "long text " * 99])), "doc_id long, text string")
+    target = docs.where("doc_id = 4").select("doc_id")
+    whole = {r.doc_id: r for r in lm_scoring.score(docs, target).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK", 10)
+    cut = {r.doc_id: r for r in lm_scoring.score(docs, target).collect()}
+    assert whole.keys() == cut.keys()
+    for i, row in whole.items():
+        assert cut[i].n_tokens == row.n_tokens
+        assert cut[i].score == pytest.approx(row.score)
 
 
 def test_good_documents_score_lower(spark):

@@ -19,13 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none, as in tests on one machine, a local one is made
-    and set.
+    Only where a session on one machine names none, as in tests, a local one is made and
+    set. On a cluster that is an error, as its executors would not share the folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext._conf.get("spark.checkpoint.dir", None)
     )
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="usagepulse-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -30,13 +30,6 @@ BLOCK = 1 << 22  # code points of a block, about
 POINT = 21  # bits of a code point; an n-gram is two pairs of them
 LOW = (1 << POINT) - 1
 
-# Cells of ``losses``, which scores by hashed counts held in memory. No query uses it.
-BITS = 20
-CELLS = 1 << BITS
-
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xC2B2AE3D27D4EB4F)
-
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of texts, each after ORDER - 1 zeros, and which of them are tokens."""
@@ -49,18 +42,6 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points.astype(np.uint64), token
 
 
-def _cells(points: np.ndarray) -> Iterator[np.ndarray]:
-    """Cell of the n-gram that ends at each place, from order 1 to ORDER.
-
-    Before the first place stand zeros, which only pads see.
-    """
-    hashes = np.zeros(len(points), np.uint64)
-    for _ in range(ORDER):
-        before = np.r_[np.zeros(1, np.uint64), hashes[:-1]]
-        hashes = ((before ^ (before >> np.uint64(29))) * _P + points + np.uint64(1)) * _Q
-        yield ((hashes ^ (hashes >> np.uint64(32))) >> np.uint64(64 - BITS - 12)).astype(np.int64) & (CELLS - 1)
-
-
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     at, size, held = 0, 0, []
     for i, text in enumerate(texts):
@@ -73,32 +54,6 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield at, held
 
 
-def losses(counts: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each text, and its mean loss in bits under each model (0 without tokens).
-
-    ``counts`` are hashed to cells, which n-grams share when they are many.
-    """
-    tokens = np.array([len(t or "") for t in texts], np.int64)
-    sums = np.zeros((len(counts), len(texts)))
-    # Both models give an n-gram the same chance before any count: one vocabulary.
-    size = max(1, int((counts[:, :CELLS].sum(axis=0) > 0).sum()))
-    totals = counts[:, :CELLS].sum(axis=1, dtype=np.float64)
-    for at, chunk in _chunks(texts):
-        points, token = _joined(chunk)
-        owner = np.repeat(np.arange(len(chunk)), tokens[at : at + len(chunk)])
-        chance = np.full((len(counts), len(points)), 1.0 / size)
-        context = np.repeat(totals[:, None], len(points), axis=1)
-        for n, cells in enumerate(_cells(points)):
-            found = counts[:, n * CELLS + cells]
-            chance = (found + PSEUDO * chance) / (context + PSEUDO)
-            context = np.concatenate([np.zeros((len(counts), 1)), found[:, :-1]], axis=1)
-        # The hashed count of a context can fall short of its n-gram's; a chance stays one.
-        loss = -np.log2(np.minimum(chance[:, token], 1.0))
-        for i in range(len(counts)):
-            sums[i, at : at + len(chunk)] = np.bincount(owner, loss[i], len(chunk))
-    return tokens, sums / np.maximum(tokens, 1)
-
-
 def _pairs(points: np.ndarray) -> np.ndarray:
     """Each code point with the one before it."""
     points = points.astype(np.int64)
