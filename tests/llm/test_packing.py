@@ -95,6 +95,68 @@ def test_gaps_of_many_partitions_close(spark, monkeypatch):
     assert bins <= -(-tokens // 2048) + 2
 
 
+@pytest.mark.parametrize("items", [25, packing.ITEMS])
+def test_certificates(spark, monkeypatch, items):
+    """The total is that of the result and the bound is no more; one part packs as best-fit does."""
+    monkeypatch.setattr(packing, "ITEMS", items)
+    rnd = random.Random(6)
+    rows = [(i, " the" * rnd.randint(1, 3000)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    used = len({r.sequence_id for r in got})
+    lengths = np.array([r.length for r in got])
+    (pair,) = {(r.bins, r.bound) for r in got}
+    assert pair == (used, packing.lower_bound(lengths[lengths < 2048]) + int((lengths == 2048).sum()))
+    assert pair[1] <= used
+    if items > len(rows):
+        assert used == packing.best_fit(lengths[lengths < 2048])[0].max() + 1 + (lengths == 2048).sum()
+    assert all(r.part_bound <= r.part_bins for r in got)
+
+
+@pytest.mark.parametrize("loose", [0, 16, 2047])
+def test_last_rounds_open_bins_with_any_gap(spark, monkeypatch, loose):
+    """Even where the first rounds may open few bins or none, the last ones close the gaps."""
+    monkeypatch.setattr(packing, "ITEMS", 25)
+    rnd = random.Random(5)
+    rows = [(i, " the" * rnd.randint(1, 900)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack(docs, loose=loose)
+    bins, tokens = check(packed, rows)
+    assert packed.first().bound <= bins
+    if loose:  # without it all bins are opened at once, and small partitions stay uneven
+        assert bins <= -(-tokens // 2048) + 2
+
+
+def test_sequences_follow_positions(spark, monkeypatch):
+    """Most sequences hold neighbours only, and copies are told apart."""
+    monkeypatch.setattr(packing, "ITEMS", 50)
+    rnd = random.Random(8)
+    rows = [(i % 500, " the" * rnd.randint(1, 2500), i << 20) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(7)
+    packed = packing.pack(docs, position="at")
+    bins, tokens = check(packed, [r[:2] for r in rows])
+    got = packed.collect()
+    assert bins <= 1.02 * got[0].bound  # partitions of 50 neighbours
+    assert {(r.doc_id, r.position >> 20) for r in got} == {(i % 500, i) for i in range(1000)}
+    assert len({(r.position, r.piece) for r in got}) == len(got)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    near = 0
+    for pieces in sequences.values():
+        places = [r.position for r in pieces]
+        assert {r.sequence_position for r in pieces} == {min(places)}
+        near += max(places) - min(places) <= 150 << 20
+    assert near >= 0.9 * len(sequences)
+
+
+def test_positions_may_be_missing_or_equal(spark):
+    rows = [(1, "a b", None), (1, "a b", None), (2, "c", 5), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    check(packing.pack(docs, position="at"), [r[:2] for r in rows])
+    assert packing.pack(docs.where("false"), position="at").count() == 0
+
+
 def test_ids_can_be_kept(spark):
     docs = spark.createDataFrame([(1, " the" * 3000)], "doc_id long, text string")
     pieces = packing.pack(docs, with_ids=True).orderBy("piece").collect()

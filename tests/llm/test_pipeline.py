@@ -11,7 +11,9 @@ from .test_simhash import slow_fingerprint, slow_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from usagepulse.llm.common import materialise
+from pyspark.sql import functions as F
+from usagepulse.llm import mixing
+from usagepulse.llm.common import file_position, materialise
 
 ROOT = f"{TESTDATA}/sf0.001"
 
@@ -81,6 +83,22 @@ def test_everything_is_packed(steps):
     assert len({r.sequence_id for r in rows}) <= -(-tokens // 2048) + 1
 
 
+def test_the_order_of_the_mix_reaches_the_sequences(spark, steps):
+    """Positions number the copies in the order in which the mix wrote them."""
+    copies = steps[4].select("doc_id", file_position(steps[4]).alias("position")).collect()
+    assert len({r.position for r in copies}) == len(copies)
+    rows = steps[5].collect()
+    assert {(r.doc_id, r.position) for r in rows} == {(r.doc_id, r.position) for r in copies}
+    again = mixing.mix(steps[3], size=mixing.word_count(F.col("text")))
+    times = {r.doc_id: sorted(r.times) for r in again.select("doc_id", "_mix.times").collect()}
+    passed, last = Counter(), 0.0
+    for r in sorted(copies, key=lambda r: r.position):
+        time = times[r.doc_id][passed[r.doc_id]]
+        passed[r.doc_id] += 1
+        assert time >= last
+        last = time
+
+
 def test_run_is_the_chain_of_its_stages(spark, steps):
     def summary(df):
         return sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())

@@ -49,6 +49,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_position(docs: DataFrame) -> Column:
+    """Where a row stands in what a sorted write left: by number of its file, then row.
+
+    ``docs`` reads Parquet files that Spark wrote; names that Spark does not give count as
+    the first file.
+    """
+    file = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).try_cast("long")
+    return F.shiftleft(F.coalesce(number, F.lit(0).cast("long")), 40) + file["row_index"]
+
+
 def prepare(spark: SparkSession) -> None:
     """Let the Python workers of this session import the package from where it lies."""
     place = str(Path(usagepulse.__file__).parent.parent)

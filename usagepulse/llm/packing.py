@@ -5,7 +5,11 @@ alone. The others are dealt over partitions and packed by best-fit decreasing; d
 functions give a lower bound on each partition's bins. Partitions whose bins exceed the
 bound, or whose roundings add up to more than the bound of all pieces together, give the
 documents of their unfilled bins to the next round, where fewer partitions pack them again.
-Rounds end when the bound is met or a round saves nothing.
+Rounds end when the bound is met or a round saves next to nothing. Bins with hardly a gap wait
+for the last rounds, which open fuller and fuller bins while the bound is still exceeded.
+
+Documents with a position, such as the copies of a curriculum, are packed by ranges of it:
+a partition holds neighbours, and so do the partitions that exchange documents.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagepulse.llm.common import materialise
 
 CAPACITY = 2048
 ITEMS = 20_000  # pieces that one task packs together
-ROUNDS = 6
 LOOSE = 16  # a bin with more free tokens than this is given to the next round
+GAIN = 0.001  # share of the opened bins that a round saves if another is worth it
 VOCABULARY = "byte_bpe_50k.json"
 LONG_BLANK = 100_000  # characters
 BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
@@ -81,7 +85,7 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, length, capacity)]
 
 
-def _pieces(path: str | None, end_id: int, capacity: int, with_ids: bool):
+def _pieces(path: str | None, end_id: int, capacity: int, with_ids: bool, ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).ids
         for batch in batches:
@@ -101,6 +105,9 @@ def _pieces(path: str | None, end_id: int, capacity: int, with_ids: bool):
                 *[pa.array(c, pa.int64()) for c in columns[1:]],
             ]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if ordered:
+                arrays.append(batch.column("position").take(pa.array(which, pa.int64())))
+                names.append("position")
             if with_ids:
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
@@ -171,39 +178,77 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return bound(feasible_sums(np.bincount(lengths, minlength=capacity + 1), capacity))
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, ordered: bool):
     def run(part: pa.Table) -> pa.Table:
         lengths = part.column("length").to_numpy()
         bins, offsets = best_fit(lengths, capacity)
-        free = capacity - np.bincount(bins, weights=lengths).astype(np.int64)
-        # With a bin too many, every bin with a gap is opened; else only the loose ones.
-        limit = 0 if len(free) > lower_bound(lengths, capacity) else LOOSE
-        for name, values in (("bin", bins), ("offset", offsets), ("open", free[bins] > limit)):
-            part = part.append_column(name, pa.array(values))
+        used = np.bincount(bins, weights=lengths).astype(np.int64)
+        least = np.full(len(bins), lower_bound(lengths, capacity))
+        added = [("bin", bins), ("offset", offsets), ("free", (capacity - used)[bins])]
+        added += [("part_bins", np.full(len(bins), len(used))), ("part_bound", least)]
+        if ordered:
+            positions = part.column("position").to_numpy()
+            first = np.full(len(used), np.iinfo(np.int64).max)
+            np.minimum.at(first, bins, positions)
+            added.append(("sequence_position", first[bins]))
+        for name, values in added:
+            part = part.append_column(name, pa.array(values, pa.int64()))
         return part
 
     return run
 
 
-def _packed(items: DataFrame, parts: int, capacity: int) -> DataFrame:
-    """``items`` with part, bin, offset, and whether the bin is open to the next round."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    dealt = items.withColumn(
-        "part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+def _dealt(items: DataFrame, parts: int) -> DataFrame:
+    """``items`` with the partition that packs each: by rank of position, else at random."""
+    if "position" not in items.columns:
+        return items.withColumn(
+            "part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+        )
+    blocks = materialise(
+        items.repartitionByRange(parts, "position").withColumn("block", F.spark_partition_id()),
+        "blocks",
+    )
+    # One row per block of about ITEMS pieces.
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        blocks.groupBy("block")
+        .agg(F.count("*").alias("n"))
+        .select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     )
+    within = F.row_number().over(Window.partitionBy("block").orderBy("position"))
+    return (
+        blocks.withColumn("within", within)
+        .join(bases, "block")
+        .select(*items.columns, F.floor((F.col("base") + F.col("within") - 1) / ITEMS).alias("part"))
+    )
+
+
+def _packed(items: DataFrame, count: int, capacity: int) -> DataFrame:
+    """``items`` with part, bin, offset, the bin's free tokens, and the part's bins and bound."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    ordered = "position" in items.columns
+    added = "part long, bin long, offset long, free long, part_bins long, part_bound long"
     return materialise(
-        dealt.groupBy("part").applyInArrow(
-            _pack(capacity), f"{fields}, part long, bin long, offset long, open boolean"
+        _dealt(items, -(-count // ITEMS))
+        .groupBy("part")
+        .applyInArrow(
+            _pack(capacity, ordered), f"{fields}, {added}" + ", sequence_position long" * ordered
         ),
         "packed",
     )
 
 
-def _bins(packed: DataFrame) -> tuple[int, int, int]:
+def _open(loose: int) -> Column:
+    """Bins given to the next round: all with a gap where the part has a bin too many."""
+    limit = F.when(F.col("part_bins") > F.col("part_bound"), 0).otherwise(loose)
+    return F.col("free") > limit
+
+
+def _bins(packed: DataFrame, is_open: Column) -> tuple[int, int, int]:
     """Bins, open bins and pieces in open bins; a bin has one piece at offset 0."""
     first = F.col("offset") == 0
     row = packed.agg(
-        F.count(F.when(first, 1)), F.count(F.when(first & F.col("open"), 1)), F.count(F.when(F.col("open"), 1))
+        F.count(F.when(first, 1)), F.count(F.when(first & is_open, 1)), F.count(F.when(is_open, 1))
     ).first()
     return tuple(row)
 
@@ -216,20 +261,38 @@ def pack(
     end_id: int = 0,
     capacity: int = CAPACITY,
     with_ids: bool = False,
+    position: str | Column | None = None,
+    loose: int = LOOSE,
+    gain: float = GAIN,
 ) -> DataFrame:
     """Pack all documents into as few sequences of ``capacity`` tokens as it can.
 
     A document is its tokens and ``end_id``. Returns a row per piece: doc_id, piece,
     start, length, ids_crc32 (of the little-endian unsigned 32-bit ids), sequence_id,
-    offset, and with ``with_ids`` the ids themselves. A null or empty text is the single
-    token ``end_id``. Repeated rows and null ids are documents of their own; other columns
-    are ignored; an empty table gives an empty result.
+    offset, and with ``with_ids`` the ids themselves. The certificates follow: ``part_bins``
+    and ``part_bound`` of the partition that packed the piece, and over everything
+    ``bins`` and ``bound``, which no packing can go below. Bins with up to ``loose`` free
+    tokens are opened by the last round only.
+
+    With ``position``, a whole number per row (null: before all others), partitions are
+    ranges of it. The result then has ``position``, which tells copies of a document apart,
+    and ``sequence_position``, the smallest position in the sequence: sequences sorted by it
+    follow the order of the documents. Equal positions stand in any order.
+
+    A null or empty text is the single token ``end_id``. Repeated rows and null ids are
+    documents of their own; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
+    wanted = [F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")]
+    ordered = position is not None
+    if ordered:
+        place = F.col(position) if isinstance(position, str) else position
+        wanted.append(F.coalesce(place.cast("long"), F.lit(-1).cast("long")).alias("position"))
     pieces = materialise(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-            _pieces(vocabulary, end_id, capacity, with_ids),
+        docs.select(*wanted).mapInArrow(
+            _pieces(vocabulary, end_id, capacity, with_ids, ordered),
             f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+            + ", position long" * ordered
             + ", ids array<int>" * with_ids,
         ),
         "pieces",
@@ -239,38 +302,71 @@ def pack(
         "*",
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
+        F.lit(1).cast("long").alias("part_bins"),
+        F.lit(1).cast("long").alias("part_bound"),
+        *([F.col("position").alias("sequence_position")] if ordered else []),
     )
     items = pieces.where(F.col("length") < capacity)
     # At most ``capacity`` rows: one per length.
     histogram = np.zeros(capacity + 1, np.int64)
-    for length, n in items.groupBy("length").count().toLocalIterator():
-        histogram[length] = n
+    whole = 0
+    for length, n in pieces.groupBy("length").count().toLocalIterator():
+        if length == capacity:
+            whole = n
+        else:
+            histogram[length] = n
     least = bound(feasible_sums(histogram, capacity))
+    count = int(histogram.sum())
+    if not count:
+        return alone.withColumns(
+            {"bins": F.lit(whole).cast("long"), "bound": F.lit(whole).cast("long")}
+        )
+
+    # Packed tables, each with the condition of the rows that stay as they are.
+    done: list[tuple[DataFrame, Column]] = []
+    pool, settled, limit = _packed(items, count, capacity), 0, loose
+    bins, open_bins, open_items = _bins(pool, _open(limit))
+    while settled + bins > least:
+        if open_items:
+            again = _packed(pool.where(_open(limit)).select(*columns), open_items, capacity)
+            found = _bins(again, _open(limit))
+            if open_bins - found[0] >= max(1, gain * open_bins):
+                done.append((pool, ~_open(limit)))
+                settled += bins - open_bins
+                pool, (bins, open_bins, open_items) = again, found
+                continue
+        if not limit:
+            break
+        # Later rounds open ever fuller bins, those settled before included, at last all with a gap.
+        limit //= 4
+        gap = F.col("free") > limit
+        kept = [*done, (pool, F.lit(True))]
+        everything = _union([packed.where(stays) for packed, stays in kept])
+        total, gapped, gap_items = _bins(everything, gap)
+        open_items = 0
+        if gap_items:
+            again = _packed(everything.where(gap).select(*columns), gap_items, capacity)
+            found = _bins(again, _open(limit))
+            if found[0] < gapped:
+                done = [(packed, stays & ~gap) for packed, stays in kept]
+                settled = total - gapped
+                pool, (bins, open_bins, open_items) = again, found
+    done.append((pool, F.lit(True)))
+    extra = ["sequence_id", "offset", "part_bins", "part_bound"] + ["sequence_position"] * ordered
+    for n, (packed, stays) in enumerate(done):
+        number = F.lit(n << 56) + F.col("part") * (1 << 20) + F.col("bin")
+        kept = packed.where(stays).withColumn("sequence_id", number)
+        alone = alone.union(kept.select(*columns, *extra))
+    return alone.withColumns(
+        {
+            "bins": F.lit(whole + settled + bins).cast("long"),
+            "bound": F.lit(whole + least).cast("long"),
+        }
+    )
+
 
-    done = []
-
-    def settle(packed: DataFrame, only: str | None) -> None:
-        number = F.lit(len(done) << 58) + F.col("part") * (1 << 20) + F.col("bin")
-        part = packed if only is None else packed.where(only)
-        done.append(part.select(*columns, number.alias("sequence_id"), "offset"))
-
-    count, settled = int(histogram.sum()), 0
-    if count:
-        pool = _packed(items, -(-count // ITEMS), capacity)
-        bins, open_bins, open_items = _bins(pool)
-        for _ in range(ROUNDS):
-            if settled + bins == least or not open_items:
-                break
-            again = _packed(
-                pool.where("open").select(*columns), -(-open_items // ITEMS), capacity
-            )
-            found = _bins(again)
-            if found[0] >= open_bins:
-                break
-            settle(pool, "NOT open")
-            settled += bins - open_bins
-            pool, (bins, open_bins, open_items) = again, found
-        settle(pool, None)
-    for part in done:
-        alone = alone.union(part)
-    return alone
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
