@@ -7,11 +7,12 @@ for the next. Only the last stage's columns differ from those of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagepulse.llm import mixing, packing, pii, quality_rules, simhash
-from usagepulse.llm.common import materialise, prepare
+from usagepulse.llm.common import file_position, materialise, prepare
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of packed sequences; a repeated document is packed each time."""
-    return packing.pack(docs)
+    """All documents as pieces of packed sequences; a repeated document is packed each time.
+
+    The order of ``docs`` as written is the training order: it numbers the copies of a
+    document, and sequences sorted by ``sequence_position`` follow it. Documents that are
+    not files yet are written first.
+    """
+    try:
+        position = file_position(docs)
+    except AnalysisException:
+        docs = materialise(docs, "ordered")
+        position = file_position(docs)
+    return packing.pack(docs, position=position)
 
 
 STAGES = [
