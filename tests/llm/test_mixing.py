@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagepulse.llm import mixing
+from usagepulse.llm.common import file_position
+from usagepulse.llm.queries import llm_queries
 
 
 def targets(sizes, weights, budget=1.5, limit=2.0):
@@ -94,3 +96,74 @@ def test_a_hot_source_is_spread(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(3).alias("size"))
     keyed = mixing.mix(docs).groupBy(F.substring(F.md5(F.col("doc_id").cast("string")), 1, mixing.HEX)).count()
     assert keyed.agg(F.max("count")).first()[0] < 20
+
+
+def _documents(spark, root):
+    """Documents of three sources, one null, with null ids and texts and with repeated rows."""
+    rows = [
+        (None if i % 17 == 0 else i // 2 if i % 19 == 0 else i, None if i % 23 == 0 else "w " * (i % 7), [None, "a", "b"][i % 3])
+        for i in range(600)
+    ]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, source string")
+    docs.write.parquet(f"{root}/documents.parquet")
+    return docs
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """What the operator wrote, by name."""
+    frames, keep = {}, mixing.materialise
+
+    def materialise(df, name):
+        frames[name] = keep(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(mixing, "materialise", materialise)
+    return frames
+
+
+def test_the_query_writes_the_mix_in_training_order(spark, tmp_path, written):
+    _documents(spark, tmp_path)
+    rows = llm_queries()["op4_source_mixing"](spark, str(tmp_path)).collect()
+    copies = written["ordered"].select("row.*", "time", file_position(written["ordered"]).alias("place")).collect()
+    copies.sort(key=lambda r: r.place)
+    assert [r.time for r in copies] == sorted(r.time for r in copies)
+    assert len(copies) == len({r.place for r in copies}) == sum(r.copies for r in rows)
+    assert sum(r.size for r in copies) == sum(r.taken for r in rows)
+    first = [r.source for r in copies[:60]]
+    assert set(first) == {None, "a", "b"}
+    # The first source's weight falls, the last one's rises.
+    half = len(copies) // 2
+    assert sum(r.source == "a" for r in copies[:half]) > sum(r.source == "a" for r in copies[half:])
+    assert sum(r.source is None for r in copies[:half]) < sum(r.source is None for r in copies[half:])
+
+
+def test_the_query_reads_the_written_mix_back(spark, tmp_path, monkeypatch):
+    """Copies that the ordered mix lacks are not in the result."""
+    _documents(spark, tmp_path)
+    query, order = llm_queries()["op4_source_mixing"], mixing.training_order
+    before = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+    lost = F.col("row.doc_id") == 103
+    monkeypatch.setattr(mixing, "training_order", lambda *a, **k: order(*a, **k).where(~F.coalesce(lost, F.lit(False))))
+    after = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+    assert before[103].copies > 0 and before[103].size > 0
+    assert (after[103].copies, after[103].taken, after[103].first_time) == (0, 0, None)
+    assert after[104] == before[104]
+
+
+def test_what_is_read_back_is_what_was_planned(spark, tmp_path, awkward, no_rows):
+    size = mixing.word_count(F.col("text"))
+    for docs in (_documents(spark, tmp_path), awkward.withColumn("number", F.lit("kept")), no_rows):
+        planned = mixing.mix(docs, size=size)
+        back = mixing.read_back(planned, size)
+        assert back.columns == planned.columns
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, planned.collect()))
+
+
+def test_ties_and_times_of_the_training_order(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("size"))
+    # All copies at two times.
+    planned = mixing.mix(docs).withColumn("_mix", F.col("_mix").withField("times", F.array(F.lit(0.5), F.lit(0.25))))
+    ordered = mixing.training_order(planned.repartition(4), time="when", ties=["doc_id"])
+    assert ordered.columns == ["doc_id", "source", "size", "when"]
+    assert [(r.when, r.doc_id) for r in ordered.collect()] == [(t, i) for t in (0.25, 0.5) for i in range(40)]

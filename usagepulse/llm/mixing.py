@@ -4,7 +4,8 @@ Each source has a target of words. Its documents stand in a fixed pseudo-random
 are taken in passes over that order until the target is met. The words taken so far, as a
 share of the target, are the source's cumulative demand; the source's weight over training
 time is integrated and inverted at that demand, which gives each copy its time between 0
-and 1. Sorting the copies by time interleaves the sources as their weights ask.
+and 1. Sorting the copies by time interleaves the sources as their weights ask. The mix is
+written in that order, and what each document has in it is read back from there.
 
 Built-in functions only. Prefix sums are taken in two steps, over buckets of the order and
 within each, so a source of any share is spread over ``16 ** HEX`` tasks.
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagepulse.llm.common import WORD
+from usagepulse.llm.common import WORD, file_position, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 # Slope of each source's weight over time: it runs from 1 - slope to 1 + slope times its mean.
@@ -166,12 +167,64 @@ def mix(
     )
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
+def training_order(
+    mixed: DataFrame, time: str | None = None, ties: Sequence[str] = ()
+) -> DataFrame:
     """One row per copy, range-sorted by training time; ``_mix`` is dropped.
 
     Rows the mix does not take, and those of a source without words, have no copy; nulls and
-    other columns pass through; copies of equal time stand in any order.
+    other columns pass through. ``time`` names a column for the time of each copy, which
+    replaces one of that name. Copies of equal time stand in the order of the columns
+    ``ties``, else in any order.
     """
-    columns = [c for c in mixed.columns if c != "_mix"]
+    columns = [c for c in mixed.columns if c not in ("_mix", time)]
     copies = mixed.select(F.struct(*columns).alias("row"), F.explode("_mix.times").alias("time"))
-    return copies.orderBy("time").select("row.*")
+    ordered = copies.orderBy("time", *[F.col("row")[c] for c in ties])
+    return ordered.select("row.*", *([F.col("time").alias(time)] if time else []))
+
+
+def read_back(mixed: DataFrame, size: str | Column = "size") -> DataFrame:
+    """``mixed`` with copies, taken and times of ``_mix`` read back from the mix as written.
+
+    The mix is written in training order, one row per copy with its document, and read again:
+    ``copies`` counts a document's rows there, ``taken`` adds up their ``size`` (as for
+    ``mix``; null: 0), ``times`` has their times as they stand. Rows are numbered, so repeated
+    rows and null ids stay apart. Rows not in the mix have 0 copies, 0 words and no times;
+    other columns pass through, and an empty table gives an empty result.
+    """
+    words = F.col(size) if isinstance(size, str) else size
+    numbered = materialise(
+        mixed.select(
+            F.struct(*[c for c in mixed.columns if c != "_mix"]).alias("row"),
+            F.coalesce(words.cast("long"), F.lit(0)).alias("words"),
+            "_mix",
+            F.monotonically_increasing_id().alias("number"),
+        ),
+        "mixed",
+    )
+    written = materialise(training_order(numbered, time="time", ties=["number"]), "ordered")
+    # A document has ``limit`` copies at most, so its list is short.
+    found = (
+        written.select("number", "words", F.struct(file_position(written).alias("place"), "time").alias("copy"))
+        .groupBy("number")
+        .agg(
+            F.count("*").alias("copies"),
+            F.sum("words").alias("taken"),
+            F.transform(F.array_sort(F.collect_list("copy")), lambda c: c["time"]).alias("times"),
+        )
+    )
+    nothing = F.lit(0).cast("long")
+    return (
+        numbered.join(found, "number", "left")
+        .select(
+            "row",
+            F.struct(
+                "_mix.source_size",
+                "_mix.target",
+                F.coalesce("copies", nothing).alias("copies"),
+                F.coalesce("taken", nothing).alias("taken"),
+                F.coalesce("times", F.array().cast("array<double>")).alias("times"),
+            ).alias("_mix"),
+        )
+        .select("row.*", "_mix")
+    )

@@ -31,7 +31,7 @@ def op4_source_mixing(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     sized = materialise(sized, "sizes")
-    return mixing.mix(sized).select(
+    return mixing.read_back(mixing.mix(sized)).select(
         "doc_id",
         "size",
         "_mix.source_size",
